@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from horizonspark.llm.chunk_dedup import exact_dedup
 from horizonspark.llm.common import table, text_bytes
+from horizonspark.llm.decontam import contaminated
 from horizonspark.llm.minhash import near_duplicates
 from horizonspark.llm.mixing import mix_sources
 from horizonspark.llm.sharding import shard_uniform
@@ -31,12 +32,16 @@ def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, MIX_WEIGHTS, seed="mix").select("doc_id", "source", "copy", "n_copies", "shuffle_key")
 
 
+def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_hypergeometric_shards, op5_chunk_recipe_dedup, op7_poisson_mix, op10_minhash_bayes)}
+    return {f.__name__: f for f in (op3_hypergeometric_shards, op5_chunk_recipe_dedup, op7_poisson_mix, op8_cgk_decontamination, op10_minhash_bayes)}
 
 
 def oracle_sql() -> dict[str, str]:
