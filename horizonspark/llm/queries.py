@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from horizonspark.llm.chunk_dedup import exact_dedup
 from horizonspark.llm.common import table, text_bytes
 from horizonspark.llm.decontam import contaminated
+from horizonspark.llm.langid import held_out, identify, learn_dictionaries
 from horizonspark.llm.minhash import near_duplicates
 from horizonspark.llm.mixing import mix_sources
 from horizonspark.llm.sharding import shard_uniform
@@ -23,6 +25,13 @@ def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_uniform(rows, N_SHARDS, seed=3).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_zstd_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = learn_dictionaries(docs.where(~held_out()))
+    out = docs.select("doc_id", held_out().alias("held_out"), identify(docs, learned).alias("p"))
+    return out.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
+
+
 def op5_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -41,7 +50,8 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_hypergeometric_shards, op5_chunk_recipe_dedup, op7_poisson_mix, op8_cgk_decontamination, op10_minhash_bayes)}
+    ops = {f.__name__: f for f in (op3_hypergeometric_shards, op4_zstd_langid, op5_chunk_recipe_dedup, op7_poisson_mix, op8_cgk_decontamination, op10_minhash_bayes)}
+    return ops | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
