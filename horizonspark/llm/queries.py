@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from horizonspark.llm.langid import held_out, identify, learn_dictionaries
 from horizonspark.llm.minhash import near_duplicates
 from horizonspark.llm.mixing import mix_sources
 from horizonspark.llm.sharding import shard_uniform
+from horizonspark.llm.token_counts import token_counts
 
 N_SHARDS = 24
 #: Equal shares for the twenty sources of the corpus.
@@ -36,6 +40,11 @@ def op5_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    definition = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    return token_counts(table(spark, sf_dir, "documents"), definition)
+
+
 def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mix_sources(docs, MIX_WEIGHTS, seed="mix").select("doc_id", "source", "copy", "n_copies", "shuffle_key")
@@ -50,7 +59,7 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = {f.__name__: f for f in (op3_hypergeometric_shards, op4_zstd_langid, op5_chunk_recipe_dedup, op7_poisson_mix, op8_cgk_decontamination, op10_minhash_bayes)}
+    ops = {f.__name__: f for f in (op3_hypergeometric_shards, op4_zstd_langid, op5_chunk_recipe_dedup, op6_pretoken_counts, op7_poisson_mix, op8_cgk_decontamination, op10_minhash_bayes)}
     return ops | {"pipeline": corpus_pipeline.run}
 
 
