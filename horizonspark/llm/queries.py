@@ -15,6 +15,8 @@ from horizonspark.llm.decontam import contaminated
 from horizonspark.llm.langid import held_out, identify, learn_dictionaries
 from horizonspark.llm.minhash import near_duplicates
 from horizonspark.llm.mixing import mix_sources
+from horizonspark.llm.ppm import held_out as ppm_held_out
+from horizonspark.llm.ppm import score_documents
 from horizonspark.llm.sharding import shard_uniform
 from horizonspark.llm.token_counts import token_counts
 
@@ -23,6 +25,10 @@ N_SHARDS = 24
 MIX_WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
 
 
+def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), ~ppm_held_out())
+
+
 def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", (F.octet_length(text_bytes("text")) + 8).cast("bigint").alias("size"), F.crc32(text_bytes("text")).alias("text_crc32"))
@@ -59,7 +65,7 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = {f.__name__: f for f in (op3_hypergeometric_shards, op4_zstd_langid, op5_chunk_recipe_dedup, op6_pretoken_counts, op7_poisson_mix, op8_cgk_decontamination, op10_minhash_bayes)}
+    ops = {f.__name__: f for f in (op2_ppm_score, op3_hypergeometric_shards, op4_zstd_langid, op5_chunk_recipe_dedup, op6_pretoken_counts, op7_poisson_mix, op8_cgk_decontamination, op10_minhash_bayes)}
     return ops | {"pipeline": corpus_pipeline.run}
 
 
