@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from horizonspark.llm.chunk_dedup import exact_dedup
 from horizonspark.llm.common import table, text_bytes
 from horizonspark.llm.decontam import contaminated
+from horizonspark.llm.html_extract import extract_main_text
 from horizonspark.llm.langid import held_out, identify, learn_dictionaries
+from horizonspark.llm.license_scan import labels_of, license_hits
 from horizonspark.llm.minhash import near_duplicates
 from horizonspark.llm.mixing import mix_sources
 from horizonspark.llm.ppm import held_out as ppm_held_out
@@ -25,6 +27,17 @@ N_SHARDS = 24
 MIX_WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", license_hits().alias("f")).select("doc_id", "f.n_words", "f.hits")
+    base = F.filter("hits", lambda h: h["base"])
+    firsts = F.transform(base, lambda h: h["first_word"])
+    near = F.transform("hits", lambda h: 1 - h["edits"] / F.length(h["found"]))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(firsts).alias("first_word"), F.array_max(firsts).alias("last_word"),
+        labels_of(base).alias("base_labels"), labels_of(F.col("hits")).alias("labels"), F.coalesce(F.greatest(F.lit(0.0), F.array_max(near)), F.lit(0.0)).alias("score"),
+    )
+
+
 def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), ~ppm_held_out())
 
@@ -60,12 +73,17 @@ def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_main_text(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
 def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
 def queries() -> dict:
-    ops = {f.__name__: f for f in (op2_ppm_score, op3_hypergeometric_shards, op4_zstd_langid, op5_chunk_recipe_dedup, op6_pretoken_counts, op7_poisson_mix, op8_cgk_decontamination, op10_minhash_bayes)}
+    ops = {f.__name__: f for f in (op1_license_scan, op2_ppm_score, op3_hypergeometric_shards, op4_zstd_langid, op5_chunk_recipe_dedup, op6_pretoken_counts, op7_poisson_mix, op8_cgk_decontamination, op9_template_extraction, op10_minhash_bayes)}
     return ops | {"pipeline": corpus_pipeline.run}
 
 
