@@ -29,6 +29,9 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 DROPPED = frozenset("script style textarea title noscript template iframe head nav footer aside form button select input label fieldset dialog menu object embed svg canvas audio video map noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Never template by themselves; and within an article neither is a sentence that recurs, only a box.
+WHOLE = frozenset("html body article main".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored banner promo cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus replies share sharing social related recommended widget toolbar pagination pager skip login search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 CLOSED_BY = {
@@ -112,7 +115,7 @@ def parse(page: str) -> Element:
 
 
 def subtree_hashes(root: Element) -> dict[int, int]:
-    """id of each block element with text -> hash of its tags and text (signed 64 bits)."""
+    """id of each block element with text that may be template -> hash of its tags and text (signed 64 bits)."""
     out: dict[int, int] = {}
     done: dict[int, tuple[bytes, bool]] = {}
     todo = [(root, False)]
@@ -134,7 +137,7 @@ def subtree_hashes(root: Element) -> dict[int, int]:
                 text = True
         h = xxhash.xxh64_digest(b"\x00".join(parts))
         done[id(e)] = h, text
-        if text and e.tag and e.tag not in INLINE and e.tag not in ("html", "body"):
+        if text and e.tag and e.tag not in INLINE and e.tag not in WHOLE and not (e.in_article and e.tag in PROSE):
             out[id(e)] = int.from_bytes(h, "big", signed=True)
     return out
 
