@@ -2,12 +2,12 @@
 
 Equal shingle sets are one node from the start, so a group of copies costs one
 signature. Nodes that share a band's key are candidates. A bucket is never
-expanded into all its pairs: in each round every bucket that still holds more
-than one component picks hubs and compares them with its other components'
-members. Components that have met need no more comparisons. After a few rounds
-with one hub for each bucket, the members outside a bucket's largest component
-become the hubs, until every pair of components in a bucket has been compared
-in full; so no bucket is capped and no link is lost to a bucket's size.
+expanded into rows for all its pairs. First each bucket compares its members with its
+smallest one (a star, linear in the bucket). Members that have met in one component need
+no more comparisons; a bucket whose members have not is compared in full:
+a small one as rows, a larger one in blocks of bounded bytes, pair of blocks by
+pair of blocks, where a task emits a link only if it joins two components. So no bucket is capped,
+no link between components is lost to a bucket's size, and what is emitted stays linear.
 
 A pair's signatures are compared batch by batch. After n positions with m
 matches, under a uniform prior on the similarity J, P(J >= t | m, n) is a
@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from horizonspark.llm.common import Scratch, text_bytes
@@ -32,8 +32,10 @@ from horizonspark.llm.shingles import shingle_sets
 
 #: Up to so many ids are broadcast to pick rows by id (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Hubs that a bucket takes in one of the exact rounds.
-EXACT_HUBS = 64
+#: Buckets of up to so many members are compared as rows, larger ones in blocks.
+ROWS = 16
+#: Bytes of signatures and sets in a block, about.
+BLOCK_BYTES = 8 << 20
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
@@ -112,14 +114,70 @@ def _sets(k: int):
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets' similarity is num / den or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _blocks(bands: int, rows: int, batch: int, threshold: float, miss: float, num: int, den: int):
+    """Links that join components within one pair of blocks of a bucket."""
+    positions = bands * rows
+    steps = [(lo, min(positions, lo + batch), least_matches(min(positions, lo + batch), threshold, miss)) for lo in range(0, positions, batch)]
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        first, second = int(key[1]), int(key[2])
+        sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, positions)
+        keys = np.array(group["bands"].tolist(), dtype=np.int64).reshape(-1, bands)
+        band = int(np.argmax((keys == key[0]).all(axis=0)))
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        comp, block, node = group["comp"].to_numpy(), group["block"].to_numpy(), group["node"].to_numpy()
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        counts = dict(zip(*(v.tolist() for v in np.unique(comp, return_counts=True)), strict=True))
+        main = max(counts, key=counts.get)
+        out: list[tuple[int, int]] = []
+        others = np.flatnonzero(comp != main)
+        for n, i in enumerate(others.tolist()):
+            # each pair once: with every member of the main component, and with the later ones of the others
+            with_i = np.concatenate([np.flatnonzero(comp == main), others[n + 1 :]])
+            with_i = with_i[comp[with_i] != comp[i]]
+            if first != second:
+                with_i = with_i[block[with_i] != block[i]]
+            # the first band that a pair shares is where it is compared
+            if band:
+                with_i = with_i[~(keys[with_i, :band] == keys[i, :band]).any(axis=1)]
+            seen = np.zeros(len(with_i), np.int64)
+            for lo, hi, need in steps:
+                seen += (sig[with_i, lo:hi] == sig[i, lo:hi]).sum(axis=1)
+                alive = seen >= need
+                with_i, seen = with_i[alive], seen[alive]
+            for j in with_i[np.argsort(-seen, kind="stable")].tolist():
+                a, b = find(int(comp[i])), find(int(comp[j]))
+                if a != b and _linked(sets[i], sets[j], num, den):
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def _confirm(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if den * both >= num * (len(x) + len(y) - both):
+                if _linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den):
                     keep.append(i)
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take)], names=["a", "b"])
@@ -127,9 +185,9 @@ def _confirm(num: int, den: int):
     return run
 
 
-def _only(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
-    """Rows of df whose col is among the distinct ids (one column of that name)."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, col, "left_semi")
+def _small(df: DataFrame) -> DataFrame:
+    """A saved table, to be broadcast if it has few rows; else Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -139,14 +197,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     both = scratch.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
+    few = labels.count() <= BROADCAST_IDS
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
-        step = labels.join(near, "node").select("node", F.least("comp", "low").alias("next"), "comp")
-        jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
+        known = F.broadcast(labels) if few else labels
+        near = both.join(known, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
+        step = near.join(known, "node").select("node", F.least("comp", "low").alias("next"), "comp")
+        jump = known.select(F.col("node").alias("next"), F.col("comp").alias("far"))
         moved = scratch.save(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("next"), "comp"))
-        changed = moved.where("next < comp").isEmpty()
+        settled = moved.where("next < comp").isEmpty()
         labels = moved.select("node", F.col("next").alias("comp"))
-        if changed:
+        if settled:
             return labels
 
 
@@ -159,8 +219,7 @@ def near_duplicates(
     bands: int = 32,
     rows: int = 5,
     batch: int = 32,
-    miss: float = 1e-6,
-    hub_rounds: int = 3,
+    miss: float = 1e-5,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -171,66 +230,69 @@ def near_duplicates(
     nothing. Rows with a null id have a null component_id and aren't kept; rows that
     repeat an id are one document, linked if any of its texts is. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash")
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text"))
     feats = scratch.save(src.mapInArrow(_features(shingle_words, bands, rows), "doc_id bigint, n_shingles bigint, set_key binary, sig binary, bands array<bigint>"))
     real = feats.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.save(real.groupBy("set_key").agg(F.min("doc_id").alias("node")))
-    reps = real.join(classes, (real.doc_id == classes.node) & (real.set_key == classes.set_key), "left_semi")
-    dealt = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    shared = dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = scratch.save(dealt.join(shared, "band").select("band", "node"))
-    nodes = members.select("node").distinct()
-    sigs = scratch.save(_only(reps.select(F.col("doc_id").alias("node"), "sig"), nodes, "node"))
-    comp = scratch.save(nodes.select("node", F.col("node").alias("comp")))
-    compared: list[DataFrame] = []
+    reps = real.join(classes, (real.doc_id == classes.node) & (real.set_key == classes.set_key), "left_semi").withColumnRenamed("doc_id", "node")
+    dealt = reps.select("node", F.explode("bands").alias("band"))
+    shared = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("band", "hub")
+    members = scratch.save(dealt.join(shared, "band"))
+    nodes = scratch.save(members.select("node").distinct())
+    known = scratch.save(reps.join(_small(nodes), "node", "left_semi").dropDuplicates(["node", "set_key"]).select("node", "n_shingles", "sig", "bands"))
     texts = src.withColumnRenamed("doc_id", "node").where(F.col("node").isNotNull())
-    turn = 0
-    while True:
-        held = members.join(comp, "node")
-        order = F.xxhash64("node", F.lit(turn))
-        state = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("node", order).alias("hub"), F.min_by("comp", order).alias("hub_comp")).where("lo < hi")
-        members = scratch.save(held.join(state.select("band", "hub", "hub_comp"), "band"))
-        if members.isEmpty():
-            break
-        if turn < hub_rounds:
-            hubs = members.select("band", "hub").distinct()
-            pairs = members.where("comp <> hub_comp")
-        else:
-            main = members.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-            rest = members.join(main, "band").where("comp <> main").select("band", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-            nth = F.row_number().over(Window.partitionBy("band").orderBy("hub"))
-            hubs = scratch.save(rest.withColumn("nth", nth).where(F.col("nth") <= EXACT_HUBS).drop("nth"))
-            pairs = members.drop("hub", "hub_comp").join(hubs, "band").where("comp <> hub_comp")
-        pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if compared:
-            pairs = pairs.join(reduce(DataFrame.union, compared), ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs)
-        compared.append(pairs)
-        links = _verified(pairs, sigs, texts, scratch, shingle_words, percent, bands * rows, batch, miss)
-        merged = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-        merged = scratch.save(merged.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        if not merged.isEmpty():
-            found = components(merged, scratch).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-            comp = scratch.save(comp.join(found, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
-        members = members.select("band", "node").join(hubs.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti")
-        turn += 1
+    check = (known, texts, scratch, shingle_words, percent, bands * rows, batch, miss)
+
+    star = scratch.save(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    links = _verified(star, *check)
+    comp = components(links, scratch)
+
+    # what the stars have not united: buckets whose other members are in several components
+    held = members.where("node <> hub").select("band", "node").join(_small(comp), "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
+    held = scratch.save(held)
+    state = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
+    held = scratch.save(held.join(state, "band"))
+    few = held.where(F.col("n") <= ROWS)
+    left, right = few.select("band", F.col("node").alias("a"), F.col("comp").alias("ca")), few.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    pairs = scratch.save(left.join(right, "band").where("a < b and ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
+    links = links.union(_verified(pairs, *check))
+    large = held.where(F.col("n") > ROWS)
+    if not large.isEmpty():
+        links = links.union(_compared_in_blocks(large, known, texts, scratch, shingle_words, percent, bands, rows, batch, miss))
+    comp = components(links, scratch)
     roots = classes.join(comp, "node", "left").select("set_key", F.coalesce("comp", "node").alias("root"))
     out = feats.select("doc_id", "n_shingles", "set_key").join(roots, "set_key", "left")
-    # an id with several texts takes the smallest component of them
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int, positions: int, batch: int, miss: float) -> DataFrame:
+def _full_sets(ids: DataFrame, texts: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """(node, shingles) of the nodes in ids, read again from the texts."""
+    picked = texts.join(_small(scratch.save(ids)), "node", "left_semi")
+    return scratch.save(picked.mapInArrow(_sets(k), "node bigint, shingles binary").distinct())
+
+
+def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int, positions: int, batch: int, miss: float) -> DataFrame:
     """Those of the distinct pairs (a, b) that link."""
-    both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
+    both = pairs.join(known.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
     likely = scratch.save(both.mapInArrow(_bayes(positions, batch, percent / 100, miss), "a bigint, b bigint").distinct())
     if likely.isEmpty():
         return likely
-    ids = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    sets = scratch.save(_only(texts, ids, "node").mapInArrow(_sets(k), "node bigint, shingles binary").distinct())
+    sets = _full_sets(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), texts, scratch, k)
     full = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b").select("a", "b", "xa", "xb")
-    links = scratch.save(full.mapInArrow(_confirm(percent, 100), "a bigint, b bigint").distinct())
-    return links
+    return scratch.save(full.mapInArrow(_confirm(percent, 100), "a bigint, b bigint").distinct())
+
+
+def _compared_in_blocks(large: DataFrame, known: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int, bands: int, rows: int, batch: int, miss: float) -> DataFrame:
+    """Links between components within the buckets of (band, node, comp), a pair of blocks in a task."""
+    sets = _full_sets(large.select("node").distinct(), texts, scratch, k)
+    weighed = large.select("band", "node", "comp").join(known.select("node", F.octet_length("sig").alias("s"), "n_shingles"), "node")
+    blocks = weighed.groupBy("band").agg(F.ceil(F.sum(8 * F.col("n_shingles") + 2 * F.col("s")) / BLOCK_BYTES).cast("int").alias("n_blocks"))
+    rows_of = large.select("band", "node", "comp").join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    # block i meets every block once: as the first of (i, j) for j >= i, as the second for j < i
+    met = rows_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    met = met.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
+    full = met.join(known.select("node", "sig", "bands"), "node").join(sets, "node")
+    found = full.groupBy("band", "i", "j").applyInPandas(_blocks(bands, rows, batch, percent / 100, miss, percent, 100), "a bigint, b bigint")
+    return scratch.save(found.distinct())

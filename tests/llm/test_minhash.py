@@ -45,12 +45,13 @@ def corpus(seed, n=60):
     return [(i * 3, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("k,seed,hubs", [(2, 1, 3), (5, 2, 0)])
-def test_against_brute_force(spark, k, seed, hubs, monkeypatch):
-    monkeypatch.setattr(minhash, "EXACT_HUBS", 3)
+@pytest.mark.parametrize("k,seed,few,size", [(2, 1, 1, 8 << 20), (5, 2, 16, 8 << 20), (2, 3, 1, 20_000)])
+def test_against_brute_force(spark, k, seed, few, size, monkeypatch):
+    monkeypatch.setattr(minhash, "ROWS", few)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, "x", 1, b"") for d, t in rows], "doc_id bigint, text string, band string, node int, sig binary")
-    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, shingle_words=k, hub_rounds=hubs).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, shingle_words=k).collect()}
     assert got == brute(rows, k)
 
 
