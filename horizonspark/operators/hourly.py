@@ -91,7 +91,10 @@ def split_daily(predictions: DataFrame, membership: DataFrame, decided: DataFram
     joined = hours.withColumn("named", named).join(a, ["holiday", "day_offset", "hour"], "left").join(b, ["named", "hour"], "left").join(c, ["own", "hour"], "left")
     chosen = F.when(F.col("decision") == "USE_HOLIDAY_PROFILE", F.col("of_profile")).otherwise(F.col("of_named"))
     share = F.coalesce(chosen, F.col("of_own"))
-    strategy = F.when(F.col("decision").isNotNull() & chosen.isNotNull(), F.concat("holiday", F.lit(":"), F.when(F.col("day_offset") >= 0, "+").otherwise("-"), F.abs("day_offset").cast("string"), F.lit(":"), "decision")).otherwise(F.concat(F.lit("DOW:"), F.col("own")))
+    offset = F.concat(F.when(F.col("day_offset") >= 0, "+").otherwise("-"), F.abs("day_offset").cast("string"))
+    how = F.when(F.col("decision") == "USE_HOLIDAY_PROFILE", "holiday_profile").otherwise(F.concat(F.lit("use_"), F.col("named")))
+    followed = F.col("decision").isNotNull() & chosen.isNotNull()
+    strategy = F.when(followed, F.concat("holiday", F.lit("_d"), offset, F.lit("_"), how)).otherwise(F.concat(F.lit("dow_"), F.col("own")))
     return joined.where(share.isNotNull()).select("date", "hour", *[F.round(F.col(p) * share, 4).alias(p) for p in ("p10", "p50", "p90")], strategy.alias("strategy"))
 
 

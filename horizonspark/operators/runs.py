@@ -38,17 +38,21 @@ def tracking(predictions: DataFrame, picks: DataFrame, actuals: DataFrame, first
     return days.join(of_day, "date", "left").join(actuals.select("date", F.col("demand").alias("actual")), "date", "left")
 
 
+# Families of features and the parts of a name that tell them, in order.
+CATEGORIES = [
+    ("block", ["mainland_", "block_"]),
+    ("holiday", ["Labour", "CNY", "GoldenWeek", "MidAutumn", "is_New", "is_Christmas", "is_Easter", "is_ChingMing", "holiday"]),
+    ("temporal", ["lag", "rolling", "ewma", "same_dow", "yoy"]),
+    ("calendar", ["dow", "month", "day", "week", "year", "weekend", "friday", "saturday", "sunday", "doy", "quarter"]),
+    ("reservation", ["res_"]),
+]
+
+
 def feature_category(features: DataFrame, name: str = "feature") -> DataFrame:
-    """The family a feature's name belongs to; the first rule that fits counts."""
-    n = F.col(name)
-    # Rules in order.
-    rules = [
-        ("lag_anchor|^lag_", "lag"), ("rolling|ewma", "rolling"), ("same_dow|yoy", "seasonal"), ("mainland|block", "block"), ("^res_", "reservation"), ("typhoon", "weather"),
-        ("holiday|^is_(CNY|GoldenWeek|Labour|MidAutumn|NewYear|Christmas|ChingMing|Easter|DragonBoat)|_d[mp][0-9]|_dow[0-9]", "holiday"), ("trend|growth|slope", "trend"), ("floortables|per_table", "capacity"),
-    ]
-    out = F.lit("calendar")
-    for pattern, kind in reversed(rules):
-        out = F.when(n.rlike(pattern), kind).otherwise(out)
+    """The family a feature's name belongs to; the first that fits counts."""
+    out = F.lit("other")
+    for kind, keys in reversed(CATEGORIES):
+        out = F.when(F.col(name).rlike("|".join(keys)), kind).otherwise(out)
     return features.select("*", out.alias("category"))
 
 

@@ -12,6 +12,18 @@ from horizonspark.operators import history as hist
 NOT_HOLIDAY = {"is_weekend", "is_friday", "is_saturday", "is_sunday", "is_month_start", "is_month_end"}
 
 
+def feature_names() -> list[str]:
+    """The features of the matrix without the trend block, in groups."""
+    date = "dow day week_of_month month quarter year day_of_year is_weekend is_friday is_saturday is_sunday is_month_start is_month_end dow_sin dow_cos month_sin month_cos doy_sin doy_cos".split()
+    hot = [cal.offset_name(h, o) for h in calendars.ONE_HOT for o in range(calendars.WINDOWS[h][0], calendars.WINDOWS[h][1] + 1)]
+    by_dow = [f"{h}_dow{k}" for h in (*calendars.ONE_HOT, "holiday") for k in range(7)]
+    blocks = [f"mainland_{x}" for x in ("block_length", "block_day_index", "is_first_block_day", "is_last_block_day", "is_workday", "block_pos_norm")]
+    past = [f"lag_{n}" for n in hist.LAGS] + [f"lag_anchor_{n}" for n in hist.ANCHOR_LAGS] + [f"rolling_{f}_{w}" for w in hist.WINDOWS for f in ("mean", "std", "max", "min")] + [f"ewma_{n}" for n in hist.SPANS]
+    past += ["same_dow_mean_4w", "same_dow_mean_8w", "yoy_ratio", "same_holiday_lastyear_lag", "floortables"]
+    mixed = ["lag_anchor_7_per_table", "lag_anchor_14_per_table", "trend_7_vs_28", "trend_diff_7_28", "lag_anchor_7_zscore", "same_dow_vs_overall", "yoy_anchor_diff", *(f"{h}_x_recent" for h in ("CNY", "GoldenWeek", "Labour", "MidAutumn"))]
+    return [*date, *cal.holiday_columns(), *hot, "days_to_next_holiday", "days_from_last_holiday", *by_dow, *blocks, *past, *mixed, "is_typhoon_t8plus"]
+
+
 def holiday_mask_columns(columns: list[str]) -> list[str]:
     """Flags that count as holidays for weights: every is_ column but the calendar's own; storm days are among them."""
     return [c for c in columns if c.startswith("is_") and c not in NOT_HOLIDAY]

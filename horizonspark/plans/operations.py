@@ -12,6 +12,7 @@ from horizonspark.functions import rounded
 from horizonspark.operators import hourly as H
 from horizonspark.operators import ingest, runs
 from horizonspark.plans import sql as S
+from horizonspark.plans.matrix import feature_names
 from horizonspark.sources import files, tables
 
 LEAST = 3  # a month of events holds four Fridays only
@@ -132,16 +133,8 @@ def tracking_join(spark, sf_dir):
     return runs.tracking(_runs(spark, sf_dir), runs.run_picks(_marked(spark, sf_dir)), actual, "2026-04-01", "2026-05-31", spark)
 
 
-def _feature_names(spark, sf_dir):
-    from horizonspark.plans.features import _workdays
-    from horizonspark.plans.matrix import feature_matrix
-
-    names = [c for c in feature_matrix(spark, tables.daily_series(spark, sf_dir), _workdays(spark)).columns if c not in ("series_id", "target_date", "horizon", "base_date", "y")]
-    return spark.createDataFrame([(n,) for n in names], "feature string")
-
-
 def feature_category(spark, sf_dir):
-    return runs.feature_category(_feature_names(spark, sf_dir))
+    return runs.feature_category(spark.createDataFrame([(n,) for n in feature_names()], "feature string"))
 
 
 def importance_summary(spark, sf_dir):
@@ -180,7 +173,7 @@ hours AS (SELECT p.*, h::INT AS hour, o.holiday, o.day_offset, d.decision, {_BUC
 ch AS (SELECT h.*, CASE WHEN decision = 'USE_HOLIDAY_PROFILE' THEN f.share ELSE n.share END AS chosen, w.share AS of_own FROM hours h
   LEFT JOIN prof f ON f.holiday = h.holiday AND f.day_offset = h.day_offset AND f.hour = h.hour LEFT JOIN now n ON n.bucket = lower(substr(decision, 5)) AND n.hour = h.hour LEFT JOIN now w ON w.bucket = own AND w.hour = h.hour),
 split AS (SELECT date, hour, round(p10 * coalesce(chosen, of_own), 4) AS p10, round(p50 * coalesce(chosen, of_own), 4) AS p50, round(p90 * coalesce(chosen, of_own), 4) AS p90,
-  CASE WHEN decision IS NOT NULL AND chosen IS NOT NULL THEN holiday || ':' || CASE WHEN day_offset >= 0 THEN '+' ELSE '-' END || abs(day_offset) || ':' || decision ELSE 'DOW:' || own END AS strategy FROM ch WHERE coalesce(chosen, of_own) IS NOT NULL)"""
+  CASE WHEN decision IS NOT NULL AND chosen IS NOT NULL THEN holiday || '_d' || CASE WHEN day_offset >= 0 THEN '+' ELSE '-' END || abs(day_offset) || CASE WHEN decision = 'USE_HOLIDAY_PROFILE' THEN '_holiday_profile' ELSE '_use_' || lower(substr(decision, 5)) END ELSE 'dow_' || own END AS strategy FROM ch WHERE coalesce(chosen, of_own) IS NOT NULL)"""
 _HS = _H.rstrip() + ",\n" + _SPLIT + "\n"
 _RUNS = """total AS (SELECT date, sum(demand) AS demand FROM daily GROUP BY ALL),
 runs AS (SELECT (DATE '2026-03-01' + 7 * r::INT) AS run_date, (DATE '2026-03-01' + 7 * r::INT + k::INT) AS date, demand AS p50 FROM range(0, 8) a(r), range(1, 29) b(k), total t WHERE t.date = DATE '2026-03-01' + 7 * r::INT + k::INT - 28)"""
@@ -205,6 +198,7 @@ SQL = {
     "runs_latest_k": _R + "SELECT run_date, date, p50 FROM runs QUALIFY dense_rank() OVER (ORDER BY run_date DESC) <= 6",
     "tracking_join": _R.rstrip() + f", {_PICKS}, s AS (SELECT d::DATE AS date FROM range(DATE '2026-04-01', DATE '2026-06-01', INTERVAL 1 DAY) t(d))" + """
         SELECT s.date, i.p50 AS initial_p50, l.p50 AS latest_p50, t.demand AS actual FROM s CROSS JOIN picks LEFT JOIN runs i ON i.date = s.date AND i.run_date = initial_run LEFT JOIN runs l ON l.date = s.date AND l.run_date = latest_run LEFT JOIN total t ON t.date = s.date""",
+    "feature_category": "SELECT feature, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(feature, {k!r})' for k in keys)} THEN '{kind}'" for kind, keys in runs.CATEGORIES) + " ELSE 'other' END AS category FROM (VALUES " + ", ".join(f"('{n}')" for n in feature_names()) + ") t(feature)",
     "importance_summary": """WITH i AS (SELECT 'part_' || l_partkey AS feature, l_linenumber, sum(l_quantity) AS importance FROM lineitem GROUP BY ALL)
         SELECT feature, round(round(avg(importance), 9), 6) AS mean, round(stddev_samp(importance), 6) AS std, round(max(importance), 6) AS max FROM i GROUP BY ALL ORDER BY round(avg(importance), 9) DESC, feature LIMIT 30""",
 }
