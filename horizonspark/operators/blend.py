@@ -117,12 +117,12 @@ def dow_scale(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def dow_scale_median(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The factor k with the least mape of k * blend: the median of y / blend weighted by blend / y (the smallest, if several)."""
-    r = rows.where((F.col("y") > 0) & (F.col("blend") > 0)).select(*keys, F.round(F.col("y") / F.col("blend"), DIGITS).alias("k"), (F.col("blend") / F.col("y")).alias("w"))
-    r = r.groupBy(*keys, "k").agg(F.sum("w").alias("w"))
+    r = rows.where((F.col("y") > 0) & (F.col("blend") > 0)).select(*keys, F.round(F.col("y") / F.col("blend"), DIGITS).alias("_factor"), (F.col("blend") / F.col("y")).alias("_weight"))
+    r = r.groupBy(*keys, "_factor").agg(F.sum("_weight").alias("_weight"))
     order = Window.partitionBy(*keys)
-    cum = F.sum("w").over(order.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    half = r.select(*keys, "k", cum.alias("cum"), F.sum("w").over(order).alias("total")).where(F.col("cum") >= F.col("total") * (0.5 - 1e-12))
-    return half.groupBy(*keys).agg(F.min("k").alias("scale"))
+    cum = F.sum("_weight").over(order.orderBy("_factor").rowsBetween(Window.unboundedPreceding, 0))
+    half = r.select(*keys, "_factor", cum.alias("_cum"), F.sum("_weight").over(order).alias("_total")).where(F.col("_cum") >= F.col("_total") * (0.5 - 1e-12))
+    return half.groupBy(*keys).agg(F.min("_factor").alias("scale"))
 
 
 def best_by(scores: DataFrame, keys: list[str]) -> DataFrame:
