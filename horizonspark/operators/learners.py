@@ -44,35 +44,45 @@ class Bins:
         return out
 
 
-def grow(bins: np.ndarray, n_bins: int, g: np.ndarray, h: np.ndarray, cols: np.ndarray, depth: int, leaf: int, l2: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Splits by level: (feature, last bin that goes left, whether to split) for each node of the level."""
+def grow(bins: np.ndarray, n_bins: int, g: np.ndarray, h: np.ndarray, cols: np.ndarray, depth: int, leaf: int, l2: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Splits by level: (feature, last bin that goes left) for each node of the level."""
     node = np.zeros(len(bins), dtype=np.int64)
     levels = []
     offset = np.arange(len(cols)) * n_bins
     for d in range(depth):
-        nodes = 1 << d
-        at = (node[:, None] * (len(cols) * n_bins) + bins[:, cols] + offset).ravel()
-        size = nodes * len(cols) * n_bins
-        cell = [np.bincount(at, np.repeat(v, len(cols)), size).reshape(nodes, len(cols), n_bins).cumsum(axis=2) for v in (g, h, np.ones(len(g)))]
+        live, of = np.unique(node, return_inverse=True)  # most nodes of a deep level hold no rows
+        at = (of[:, None] * (len(cols) * n_bins) + bins[:, cols] + offset).ravel()
+        size = len(live) * len(cols) * n_bins
+        cell = [np.bincount(at, np.repeat(v, len(cols)) if v is not None else None, size).reshape(len(live), len(cols), n_bins).cumsum(axis=2) for v in (g, h, None)]
         gl, hl, nl = (c[:, :, :-1] for c in cell)
         gt, ht, nt = (c[:, :, -1:] for c in cell)
         gain = gl**2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt**2 / (ht + l2)
-        gain = np.where((nl >= leaf) & (nt - nl >= leaf), gain, 0.0).reshape(nodes, -1)
+        gain = np.where((nl >= leaf) & (nt - nl >= leaf), gain, 0.0).reshape(len(live), -1)
         best = gain.argmax(axis=1)
-        split = gain[np.arange(nodes), best] > 1e-12
-        feature, cut = cols[best // (n_bins - 1)], np.where(split, best % (n_bins - 1), n_bins)
-        levels.append((feature, cut, split))
+        split = gain[np.arange(len(live)), best] > 1e-12
+        feature, cut = np.zeros(1 << d, dtype=np.int64), np.full(1 << d, n_bins)
+        feature[live], cut[live] = cols[best // (n_bins - 1)], np.where(split, best % (n_bins - 1), n_bins)
+        levels.append((feature, cut))
         node = 2 * node + (bins[np.arange(len(bins)), feature[node]] > cut[node])
     return levels
 
 
 def leaf_of(levels: list, bins: np.ndarray) -> np.ndarray:
     node = np.zeros(len(bins), dtype=np.int64)
-    for feature, cut, _ in levels:
+    for feature, cut in levels:
         node = 2 * node + (bins[np.arange(len(bins)), feature[node]] > cut[node])
     return node
 
 
+def _medians(group: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """The median of x in each of n groups, 0 in empty ones."""
+    order = np.lexsort((x, group))
+    g, x = group[order], x[order]
+    first, size = np.searchsorted(g, np.arange(n)), np.bincount(g, minlength=n)
+    lo, hi = np.minimum(first + (size - 1) // 2, len(x) - 1), np.minimum(first + size // 2, len(x) - 1)
+    return np.where(size > 0, (x[lo] + x[hi]) / 2, 0.0)
+
+
 def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, tests: list[np.ndarray], rounds: int, rate: float, depth: int, leaf: int, l2: float, rows: float, cols: float, loss: str, seed: int) -> list[np.ndarray]:
     """Predictions for each of the test matrices."""
     rng = np.random.default_rng(seed)
@@ -90,9 +100,7 @@ def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, tests: list[np.ndarray],
         if loss == "squared":
             value = np.bincount(at[some], g[some], 1 << depth) / (np.bincount(at[some], w[some], 1 << depth) + l2)
         else:
-            value = np.zeros(1 << depth)
-            for k in np.unique(at[some]):
-                value[k] = np.median(r[some][at[some] == k])
+            value = _medians(at[some], r[some], 1 << depth)
         p = p + rate * value[at]
         out = [o + rate * value[leaf_of(levels, z)] for o, z in zip(out, t, strict=True)]
     return out
