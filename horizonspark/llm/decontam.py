@@ -27,6 +27,8 @@ PIECE = 12
 _BLOCK = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BITS = 22
+#: Steps of a walk's random bits; longer walks use them again.
+STEPS = 4096
 HITS = "array<struct<item_id: bigint, edits: int, start: bigint, stop: bigint>>"
 
 
@@ -73,7 +75,7 @@ class Index:
         self.walks = max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**sampled)))
         self.width = max((len(t) for _, t in self.items), default=1)
         rng = np.random.default_rng(seed)
-        self.moves = rng.integers(0, 2, (self.walks, 2 * self.width, 256), dtype=np.uint8)
+        self.moves = rng.integers(0, 2, (self.walks, min(STEPS, 2 * self.width), 256), dtype=np.uint8)
         self.places = rng.random((self.walks, sampled))
         n = len(self.items)
         self.length = np.array([len(t) for _, t in self.items], dtype=np.int64)
@@ -96,8 +98,10 @@ class Index:
     def embed(self, windows: list[bytes], item: np.ndarray) -> np.ndarray:
         """LSH keys (window x walk) at the steps sampled for each window's item."""
         out = []
-        for lo in range(0, len(windows), 512):
-            part, of = windows[lo : lo + 512], item[lo : lo + 512]
+        at_once = max(1, min(512, (1 << 23) // (2 * self.width * self.walks)))
+        period = self.moves.shape[1]
+        for lo in range(0, len(windows), at_once):
+            part, of = windows[lo : lo + at_once], item[lo : lo + at_once]
             n, steps = len(part), 2 * int(self.length[of].max())
             text = np.zeros((n, self.width + 1), dtype=np.uint8)
             for i, w in enumerate(part):
@@ -109,7 +113,7 @@ class Index:
             for j in range(steps):
                 c = text[base + at]
                 seen[j] = c
-                at += self.moves[walk, j, c]
+                at += self.moves[walk, j % period, c]
                 np.minimum(at, self.width, out=at)
             key = np.zeros((n, self.walks), dtype=np.uint64)
             rows = np.arange(n)[:, None]

@@ -75,3 +75,12 @@ def test_query_with_odd_rows(spark, per_block):
     clean = decontaminate(docs, bench, items_per_block=per_block)
     assert clean.columns == docs.columns and sorted(x["doc_id"] for x in clean.collect()) == [2, 3, 5]
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_long_items():
+    r = random.Random(2)
+    long = normal(words(r, 6_000).encode())
+    index = Index([(1, long), (2, normal(words(r, 20).encode()))], 0.99, 2, 0.5, 8)
+    assert index.moves.nbytes < 1 << 25
+    got = index.search([long[100:] + b" tail", b"start " + long[:20_000] + b"zz" + long[20_001:], long[:5_000]])
+    assert [[h[0] for h in g] for g in got] == [[1], [1], []] and got[1][0][1] == 2
