@@ -73,7 +73,7 @@ def holiday_distance(dates: DataFrame, anchors: DataFrame, date_col: str = "targ
     after = F.array_min(F.filter("days", lambda a: a >= d))
     before = F.array_max(F.filter("days", lambda a: a <= d))
     far = calendars.NO_ANCHOR
-    joined = dates.crossJoin(F.broadcast(sorted_days))  # one row of a few days
+    joined = dates.crossJoin(F.broadcast(sorted_days))  # a single row: the sorted anchors as one array
     return joined.select(
         *dates.columns,
         F.coalesce(F.least(F.datediff(after, d), F.lit(far)), F.lit(far)).alias("days_to_next_holiday"),
@@ -91,7 +91,8 @@ def holiday_membership(dates: DataFrame, anchors: DataFrame, date_col: str = "ta
 def workday_blocks(calendar: DataFrame) -> DataFrame:
     """Blocks of consecutive days off, for a calendar (date, is_workday) that should reach past the dates of interest.
 
-    Workdays and unknown days have block 0; an unknown or missing day ends a block.
+    Workdays and unknown days have block 0; an unknown or missing day ends a block. The
+    calendar is one for all series, a few thousand days, so its window may be one task's.
     """
     off = calendar.where(~F.col("is_workday"))
     island = F.date_sub("date", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")))
