@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from horizonspark.llm.common import Scratch, table
+from horizonspark.llm.common import Scratch, table, unused
 from horizonspark.llm.decontam import decontaminate
 from horizonspark.llm.langid import identify, learn_dictionaries
 from horizonspark.llm.minhash import near_duplicates
@@ -25,7 +25,8 @@ MIX_WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what language ID rejects: texts without letters, and near ties between languages."""
     learned = learn_dictionaries(docs)
-    return docs.withColumn("_p", identify(docs, learned)).where(~F.col("_p.rejected")).drop("_p")
+    p = unused(docs, "_p")
+    return docs.withColumn(p, identify(docs, learned)).where(~F.col(p)["rejected"]).drop(p)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from horizonspark.llm.common import text_bytes
+from horizonspark.llm.common import text_bytes, unused
 
 PIECE = 12
 _BLOCK = 1 << 20
@@ -257,4 +257,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the documents that hold a benchmark item."""
-    return docs.withColumn("_hits", benchmark_hits(docs, benchmark, **options)).where(F.size("_hits") == 0).drop("_hits")
+    hits = unused(docs, "_hits")
+    return docs.withColumn(hits, benchmark_hits(docs, benchmark, **options)).where(F.size(hits) == 0).drop(hits)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from horizonspark.llm.common import Scratch, text_bytes
+from horizonspark.llm.common import Scratch, text_bytes, unused
 
 #: A subtree on this share of its host's pages, and on so many pages at least, is template.
 MIN_SHARE, MIN_PAGES = 0.3, 8
@@ -240,18 +240,19 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "
     Null pages are empty; null or odd URLs belong to no host. Whole pages are read; repeated pages are a row each.
     """
     scratch = Scratch(pages.sparkSession, "html")
-    kept = [c for c in pages.columns if c.lower() not in ("main_text", "_host", "_subtrees")]
+    kept = [c for c in pages.columns if c.lower() != "main_text"]
+    own, host, subtrees = (unused(pages, x) for x in ("_own_host", "_host", "_subtrees"))
     templates = scratch.save(site_templates(pages, html_col, url_col, min_share, min_pages))
-    templates = templates.select(F.col("host").alias("_host"), F.col("subtrees").alias("_subtrees"))
+    templates = templates.select(F.col("host").alias(host), F.col("subtrees").alias(subtrees))
     if templates.count() <= BROADCAST_HOSTS:
         templates = F.broadcast(templates)
-    rows = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(url_col)).alias("_h")).join(templates, F.col("_h") == F.col("_host"), "left")
+    rows = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(url_col)).alias(own)).join(templates, F.col(own) == F.col(host), "left")
 
     @F.pandas_udf("string")
     def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for page, subtrees in batches:
+        for page, found in batches:
             out = []
-            for p, s in zip(page, subtrees, strict=True):
+            for p, s in zip(page, found, strict=True):
                 root = parse(_decode(p))
                 gone: set[int] = set()
                 if s is not None and len(s):
@@ -260,4 +261,4 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "
                 out.append(main_text(root, gone).encode("utf-8", "replace").decode())
             yield pd.Series(out, dtype="object")
 
-    return rows.select(*[F.col(f"`{c}`") for c in kept], text(text_bytes(html_col), F.col("_subtrees")).alias("main_text"))
+    return rows.select(*[F.col(f"`{c}`") for c in kept], text(text_bytes(html_col), F.col(subtrees)).alias("main_text"))

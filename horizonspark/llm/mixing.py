@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from horizonspark.llm.common import unused
+
 
 def poisson_cdf(rate: float, eps: float = 1e-15) -> list[float]:
     """P(X <= k) for k = 0, 1, ... until what is left is below eps."""
@@ -33,19 +35,20 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], total: float = 1.0,
     are refused. The rate table has as many rows as weights, whatever the data.
     """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c.lower() not in ("copy", "n_copies", "shuffle_key", "_cdf")]
+    kept = [c for c in docs.columns if c.lower() not in ("copy", "n_copies", "shuffle_key")]
+    name, cdf, uniform = (unused(docs, x) for x in ("_source", "_cdf", "_u"))
     counts = {r["s"]: r["n"] for r in docs.where(F.col(source_col).isin(list(weights))).groupBy(F.col(source_col).alias("s")).agg(F.count("*").alias("n")).collect()}
     rows, share = sum(counts.values()), sum(weights[s] for s in counts)
     rates = {s: total * rows * weights[s] / share / n for s, n in counts.items() if share > 0}
     if any(r > 700 for r in rates.values()):
         raise ValueError("a repetition rate of more than 700")
-    table = spark.createDataFrame([(s, poisson_cdf(r)) for s, r in rates.items()], "_source string, _cdf array<double>")
+    table = spark.createDataFrame([(s, poisson_cdf(r)) for s, r in rates.items()], f"{name} string, {cdf} array<double>")
     number = F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))
     u = (F.conv(F.substring(F.md5(number), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    n = F.when(F.col("_cdf").isNull(), 1).otherwise(F.size(F.filter("_cdf", lambda c: c < F.col("_u"))))
+    n = F.when(F.col(cdf).isNull(), 1).otherwise(F.size(F.filter(cdf, lambda c: c < F.col(uniform))))
     drawn = (
-        docs.select(*[F.col(f"`{c}`") for c in kept], u.alias("_u"))
-        .join(F.broadcast(table), F.col(source_col) == F.col("_source"), "left")
+        docs.select(*[F.col(f"`{c}`") for c in kept], u.alias(uniform))
+        .join(F.broadcast(table), F.col(source_col) == F.col(name), "left")
         .withColumn("n_copies", n.cast("bigint"))
         .where("n_copies > 0")
     )

@@ -8,8 +8,8 @@ below the empty context all other byte values are equally likely. A text is code
 
 Spark counts the (order + 1)-byte grams of all training texts; shorter ones are
 their suffixes. Grams seen less often than min_share of all bytes are left to
-the shorter contexts, so at most 1 / min_share grams of each length are kept and
-broadcast, however large the corpus is. Beside it, tokens are counted for the unigram base
+the shorter contexts, their count going to the escape, so at most 1 / min_share grams of each
+length are kept and broadcast, however large the corpus is. Beside it, tokens are counted for the unigram base
 score; the counts of rare tokens are joined to the documents by a shuffle.
 """
 
@@ -83,10 +83,10 @@ def _count(order: int):
                     u, c = np.unique(keys[(keys & np.uint64(255)) != START], return_counts=True)
                     grams.append((u, c.astype(np.int64)))
                     size += len(u)
-                if size > 4 * FLUSH:
+                if size > 2 * FLUSH:
                     grams = [_merged(grams)]
                     size = len(grams[0][0])
-                if len(words) + size >= 3 * FLUSH or len(words) >= FLUSH:
+                if size >= 2 * FLUSH or len(words) >= FLUSH:
                     yield flush()
                     words, grams, size = Counter(), [], 0
         if words or grams:
@@ -144,12 +144,15 @@ class Table:
 
 
 class Model:
-    """grams[k]: (keys, counts) of the kept grams of k context bytes and one more, for k = 0 to order."""
+    """grams[k]: the kept grams of k context bytes and one more, for k = 0 to order.
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
+    Each as (keys, counts, followers of the context, sum of their counts), the last two with those not kept.
+    """
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
         self.order = len(grams) - 1
-        self.grams, self.count, self.contexts, self.total, self.distinct, self.ruled_out = [], [], [], [], [], []
-        for k, (keys, c) in enumerate(grams):
+        self.grams, self.count, self.contexts, self.total, self.escape, self.kept, self.ruled_out = [], [], [], [], [], [], []
+        for k, (keys, c, followers, mass) in enumerate(grams):
             by = np.argsort(keys)
             keys, c = keys[by], c[by].astype(np.float64)
             ctx = keys >> np.uint64(8)
@@ -157,8 +160,10 @@ class Model:
             self.grams.append(Table(keys))
             self.count.append(c)
             self.contexts.append(Table(ctx[first]))
-            self.total.append(np.add.reduceat(c, first) if len(first) else c)
-            self.distinct.append(np.diff(np.append(first, len(ctx))).astype(np.float64))
+            total = np.add.reduceat(c, first) if len(first) else c
+            self.total.append(total)
+            self.kept.append(np.diff(np.append(first, len(ctx))).astype(np.float64))
+            self.escape.append(followers[by][first] + (mass[by][first] - total))
             if k and len(first):
                 # what this context's followers add up to in the next shorter context
                 shorter = self.grams[k - 1].find(keys & np.uint64((1 << 8 * k) - 1))
@@ -178,19 +183,19 @@ class Model:
             todo_k, part, ctx = todo[known], part[known], ctx[known]
             if not len(todo_k):
                 continue
-            new = self.distinct[k][ctx] - gone_d[todo_k]
+            new = self.escape[k][ctx] - gone_d[todo_k]
             room = self.total[k][ctx] - gone_n[todo_k] + new
             at = self.grams[k].find(part)
             hit = at >= 0
             out[todo_k[hit]] += np.log10(self.count[k][at[hit]] / room[hit])
             miss = ~hit & (new > 0)
             out[todo_k[miss]] += np.log10(new[miss] / room[miss])
-            gone_n[todo_k], gone_d[todo_k] = self.ruled_out[k][ctx], self.distinct[k][ctx]
+            gone_n[todo_k], gone_d[todo_k] = self.ruled_out[k][ctx], self.kept[k][ctx]
             done = np.zeros(len(keys), dtype=bool)
             done[todo_k[hit]] = True
             todo = todo[~done[todo]]
         if len(todo):
-            seen = self.distinct[0][0] if len(self.distinct[0]) else 0.0
+            seen = self.kept[0][0] if len(self.kept[0]) else 0.0
             out[todo] -= math.log10(SYMBOLS - seen)
         return out
 
@@ -254,7 +259,7 @@ def _score(shared, head, constant: float):
     return run
 
 
-def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 4, min_share: float = 2.0**-20) -> DataFrame:
+def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 5, min_share: float = 2.0**-21) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     training says which rows the model and the token counts learn from. Null counts as
@@ -273,9 +278,11 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     total, distinct, n_bytes = (sums[0] or 0) + n_train, sums[1] + (n_train > 0), sums[2] or 0
     constant = math.log10(total + 0.5 * (distinct + 1))
     by_length = counts.where("gram is not null").select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")) for k in range(order + 1)])).alias("g"), "c")
-    kept = by_length.groupBy("g.k", "g.key").agg(F.sum("c").alias("c")).where(F.col("c") >= n_bytes * min_share).toArrow()
-    k, key, c = (np.asarray(kept.column(i)) for i in range(3))
-    grams = [(key[k == i].astype(np.uint64), c[k == i]) for i in range(order + 1)]
+    summed = by_length.groupBy("g.k", "g.key").agg(F.sum("c").alias("c")).withColumn("context", F.shiftright("key", 8))
+    contexts = summed.groupBy("k", "context").agg(F.count("*").alias("followers"), F.sum("c").alias("mass"), F.max("c").alias("most")).where(F.col("most") >= n_bytes * min_share)
+    kept = summed.where(F.col("c") >= n_bytes * min_share).join(contexts, ["k", "context"]).select("k", "key", "c", "followers", "mass").toArrow()
+    k, key, c, followers, mass = (np.asarray(kept.column(i)) for i in range(5))
+    grams = [(key[k == i].astype(np.uint64), c[k == i], followers[k == i], mass[k == i]) for i in range(order + 1)]
     model, head = spark.sparkContext.broadcast(grams), spark.sparkContext.broadcast(head_of(words.withColumn("v", F.col("c")), "v"))
     found = src.mapInArrow(_score(model, head, constant), "word binary, row bigint, f bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
     joined = found.join(words.withColumnRenamed("c", "n"), "word", "left")

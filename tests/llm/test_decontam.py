@@ -69,7 +69,7 @@ def test_query_with_odd_rows(spark, per_block):
     bench = spark.createDataFrame([(i, p) for i, p in enumerate(passages)] + [(7, None), (8, "short"), (None, words(r, 20)), (9, passages[0])], "item_id bigint, text string")
     long = words(r, 150_000) + " " + passages[3] + " end"
     rows = [(1, passages[0].upper().replace(" ", "\n\t"), None), (2, None, "x"), (3, "", "x"), (None, "a " + passages[1], "x"), (4, long, "x"), (5, words(r, 50), "x"), (5, passages[2], "x"), (5, passages[2], "x"), (6, edited(r, passages[4], 3), "x")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, hits string")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _hits string")
     got = sorted(((h["doc_id"], h["item_id"]) for h in contaminated(docs, bench, items_per_block=per_block).collect()), key=repr)
     assert got == sorted([(1, 0), (1, 9), (None, 1), (4, 3), (5, 2), (5, 2), (6, 4)], key=repr)
     clean = decontaminate(docs, bench, items_per_block=per_block)

@@ -42,7 +42,7 @@ def test_templates_and_odd_rows(spark):
         want[i] = f"{t} Our paper Support us today."
     odd = [(50, None, None), (51, "not a url", ""), (52, "http://A.example.com/", "<article>" + "long words " * 100_000 + "</article>"), (52, "http://A.example.com/", "<p>again</p>"), (None, "http://A.example.com/", "<p>no id</p>")]
     rows += [(*o, None, None) for o in odd]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, main_text string, subtrees string").repartition(3)
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, main_text string, _host string").repartition(3)
     out = extract_main_text(pages).collect()
     assert len(out) == len(rows)
     for x in out:

@@ -93,7 +93,7 @@ def test_shuffle_is_uniform(spark):
 
 def test_mix(spark):
     n = 9000
-    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 6000, "hot").when(F.col("id") < 8500, "cool").otherwise("free").alias("source"), F.lit("x").alias("copy"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 6000, "hot").when(F.col("id") < 8500, "cool").otherwise("free").alias("source"), F.lit("x").alias("copy"), F.lit("y").alias("_source"), F.lit(1).alias("_U"))
     out = mix_sources(docs, {"hot": 1.0, "cool": 3.0, "absent": 5.0}, total=1.5)
     c = collections.Counter(r["source"] for r in out.collect())
     assert c["free"] == 500

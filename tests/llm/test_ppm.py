@@ -20,10 +20,12 @@ def slow_model(texts, order, least):
             total += 1
             for k in range(order + 1):
                 counts[bytes(s[i - k : i])][s[i]] += 1
-    for c in counts.values():
-        for x in [x for x, n in c.items() if n < total * least]:
-            del c[x]
-    return {k: c for k, c in counts.items() if c}
+    out = {}
+    for k, c in counts.items():
+        kept = {x: n for x, n in c.items() if n >= total * least}
+        if kept:
+            out[k] = kept, len(c) + sum(c.values()) - sum(kept.values())
+    return out
 
 
 def slow_score(counts, text, order):
@@ -32,14 +34,16 @@ def slow_score(counts, text, order):
     for i in range(order, len(s)):
         excluded = set()
         for k in range(order, -1, -1):
-            c = {x: n for x, n in counts.get(bytes(s[i - k : i]), {}).items() if x not in excluded}
-            if not c:
+            kept, escape = counts.get(bytes(s[i - k : i]), ({}, 0))
+            c = {x: n for x, n in kept.items() if x not in excluded}
+            escape -= len(excluded & set(kept)) if kept else 0
+            if not kept or escape == 0:
                 continue
-            room = sum(c.values()) + len(c)
+            room = sum(c.values()) + escape
             if s[i] in c:
                 out += math.log10(c[s[i]] / room)
                 break
-            out += math.log10(len(c) / room)
+            out += math.log10(escape / room)
             excluded |= set(c)
         else:
             out -= math.log10(256 - len(excluded))
@@ -88,7 +92,7 @@ def test_nothing_to_learn_from_and_nothing(spark):
 
 def test_probabilities_add_up():
     texts = [b"abracadabra", b"abra", b"cadabra"]
-    model = ppm.Model([tuple(map(__import__("numpy").array, zip(*g.items(), strict=True))) for g in _grams_of(texts, 2)])
+    model = ppm.Model([tuple(map(__import__("numpy").array, zip(*g, strict=True))) for g in _grams_of(texts, 2)])
     import numpy as np
 
     for context in (b"ab", b"ra", b"zz", b"ca"):
@@ -105,4 +109,4 @@ def _grams_of(texts, order):
                 out[k][int.from_bytes(s[i - k : i + 1], "big")] += 1
     import numpy as np
 
-    return [{np.uint64(k): np.int64(v) for k, v in c.items()} for c in out]
+    return [[(np.uint64(k), np.int64(v), np.int64(sum(x >> 8 == k >> 8 for x in c)), np.int64(sum(n for x, n in c.items() if x >> 8 == k >> 8))) for k, v in c.items()] for c in out]
