@@ -43,13 +43,16 @@ def counted(held: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([held[w] for w in words], pa.int64())], names=["word", "c"])
 
 
-def head_of(vocabulary: DataFrame, value: str, limit: int = HEAD) -> dict[bytes, int]:
-    """At most limit of the most frequent words of (word, c, value); any choice gives the same sums."""
+def head_rows(vocabulary: DataFrame, value: str, limit: int) -> pa.Table:
+    """(word, v): at most limit of the most frequent words of (word, c, value); any choice gives the same sums."""
     n = vocabulary.count()
-    if not n:
-        return {}
     least = vocabulary.select(F.percentile_approx("c", max(0.0, 1 - limit / n), 100_000)).first()[0] if n > limit else 0
-    rows = vocabulary.where(F.col("c") > least).select("word", F.col(value).alias("v")).limit(limit).toArrow()
+    return vocabulary.where(F.col("c") > least).select("word", F.col(value).alias("v")).limit(limit).toArrow()
+
+
+def head_of(vocabulary: DataFrame, value: str, limit: int = HEAD) -> dict[bytes, int]:
+    """The frequent words' values, to be broadcast."""
+    rows = head_rows(vocabulary, value, limit)
     return dict(zip(rows.column("word").to_pylist(), rows.column("v").to_pylist(), strict=True))
 
 

@@ -7,25 +7,18 @@ import zlib
 
 import pytest
 
-from horizonspark.llm import ppm, wordjoin
-from horizonspark.llm.ppm import END, START, held_out, score_documents
+from horizonspark.llm.common import Scratch
+from horizonspark.llm.ppm import END, START, gram_scores, held_out, score_documents
 
 
-def slow_model(texts, order, least):
+def slow_model(texts, order):
     counts = collections.defaultdict(collections.Counter)
-    total = 0
     for t in texts:
         s = [START] * order + list(t) + [END]
         for i in range(order, len(s)):
-            total += 1
             for k in range(order + 1):
                 counts[bytes(s[i - k : i])][s[i]] += 1
-    out = {}
-    for k, c in counts.items():
-        kept = {x: n for x, n in c.items() if n >= total * least}
-        if kept:
-            out[k] = kept, len(c) + sum(c.values()) - sum(kept.values())
-    return out
+    return counts
 
 
 def slow_score(counts, text, order):
@@ -34,16 +27,14 @@ def slow_score(counts, text, order):
     for i in range(order, len(s)):
         excluded = set()
         for k in range(order, -1, -1):
-            kept, escape = counts.get(bytes(s[i - k : i]), ({}, 0))
-            c = {x: n for x, n in kept.items() if x not in excluded}
-            escape -= len(excluded & set(kept)) if kept else 0
-            if not kept or escape == 0:
+            c = {x: n for x, n in counts.get(bytes(s[i - k : i]), {}).items() if x not in excluded}
+            if not c:
                 continue
-            room = sum(c.values()) + escape
+            room = sum(c.values()) + len(c)
             if s[i] in c:
                 out += math.log10(c[s[i]] / room)
                 break
-            out += math.log10(escape / room)
+            out += math.log10(len(c) / room)
             excluded |= set(c)
         else:
             out -= math.log10(256 - len(excluded))
@@ -58,15 +49,14 @@ def rows(n=70):
     return out + [(None, "the of", None, None), (3, "repeated id", None, None), (3, "repeated id", None, None)]
 
 
-@pytest.mark.parametrize("order,share,limit", [(4, 2.0**-20, 1 << 18), (2, 0.004, 2)])
-def test_against_slow_model(spark, order, share, limit, monkeypatch):
-    monkeypatch.setattr(ppm, "head_of", lambda table, value: wordjoin.head_of(table, value, limit))
+@pytest.mark.parametrize("order,words,grams", [(4, 1 << 18, 1 << 20), (5, 2, 30), (2, 1, 1)])
+def test_against_slow_model(spark, order, words, grams):
     data = rows()
     docs = spark.createDataFrame(data, "doc_id bigint, text string, held_out boolean, score double")
-    got = sorted(map(tuple, score_documents(docs, ~held_out(), order=order, min_share=share).collect()), key=repr)
+    got = sorted(map(tuple, score_documents(docs, ~held_out(), order=order, head_grams=grams, head_words=words).collect()), key=repr)
     out = lambda d: zlib.crc32(str("" if d is None else d).encode()) % 5 == 1
     train = [(t or "").encode() for d, t, *_ in data if not out(d)]
-    counts = slow_model(train, order, share)
+    counts = slow_model(train, order)
     c = collections.Counter(w for t in train for w in [*t.lower().split(), None])
     n, v = sum(c.values()), len(c)
     want = []
@@ -90,23 +80,15 @@ def test_nothing_to_learn_from_and_nothing(spark):
     assert score_documents(docs.limit(0), ~held_out()).count() == 0
 
 
-def test_probabilities_add_up():
-    texts = [b"abracadabra", b"abra", b"cadabra"]
-    model = ppm.Model([tuple(map(__import__("numpy").array, zip(*g, strict=True))) for g in _grams_of(texts, 2)])
-    import numpy as np
-
-    for context in (b"ab", b"ra", b"zz", b"ca"):
-        keys = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
-        assert (10 ** model.log10(keys)).sum() == pytest.approx(1)
-
-
-def _grams_of(texts, order):
-    out = [collections.Counter() for _ in range(order + 1)]
-    for t in texts:
-        s = bytes([START] * order) + t + bytes([END])
-        for i in range(order, len(s)):
-            for k in range(order + 1):
-                out[k][int.from_bytes(s[i - k : i + 1], "big")] += 1
-    import numpy as np
-
-    return [[(np.uint64(k), np.int64(v), np.int64(sum(x >> 8 == k >> 8 for x in c)), np.int64(sum(n for x, n in c.items() if x >> 8 == k >> 8))) for k, v in c.items()] for c in out]
+def test_probabilities_add_up(spark):
+    counts = collections.Counter()
+    for t in (b"abracadabra", b"abra", b"cadabra"):
+        s = bytes([START] * 2) + t + bytes([END])
+        counts.update(int.from_bytes(s[i - 2 : i + 1], "big") for i in range(2, len(s)))
+    contexts = [int.from_bytes(c, "big") for c in (b"ab", b"ra", b"zz", b"ca")]
+    grams = set(counts) | {c << 8 | s for c in contexts for s in range(256)}
+    table = spark.createDataFrame([(g, counts[g], 1) for g in grams], "gram bigint, c bigint, n bigint")
+    found = {r["gram"]: r["lp"] for r in gram_scores(table, 2, Scratch(spark, "test")).collect()}
+    assert set(found) == grams
+    for c in contexts:
+        assert sum(10 ** found[c << 8 | s] for s in range(256)) == pytest.approx(1)
