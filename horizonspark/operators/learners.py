@@ -7,6 +7,7 @@ gradient booster: equal-frequency bins, null as a bin of its own, level-wise tre
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 import numpy as np
@@ -25,6 +26,8 @@ PARAMS = {
     "residual": dict(rounds=300, rate=0.03, depth=4, leaf=3, l2=2.0, rows=0.85, cols=0.85, loss="squared", seed=321),
 }
 BAG_SEEDS = (42, 123, 777)
+#: Days at a series' end that are predicted if no date is given.
+HOLDOUT_DAYS = 28
 LEAST_ROWS, LEAST_HOLIDAYS = 30, 20
 PREDICTIONS = "series_id string, target_date date, horizon int, model string, pred double"
 
@@ -185,16 +188,17 @@ def forest(x, y, w, xt, n: int, extra: bool, depth: int = 6, leaf: int = 3, seed
     return out / n
 
 
-def per_horizon(matrix: DataFrame, features: list[str], train_to: str, learn: Callable[..., dict[str, np.ndarray]]) -> DataFrame:
+def per_horizon(matrix: DataFrame, features: list[str], train_to: str | None, learn: Callable[..., dict[str, np.ndarray]]) -> DataFrame:
     """Runs learn(x, y, w, hol, xt, hol_t) for each (series_id, horizon) with 30 training rows or more.
 
     matrix has the features, y, weight and is_hol; rows with a known target up to train_to are trained on, later ones predicted.
-    The date is compared as an ISO string.
+    The date is compared as an ISO string; without one, the group's newest 28 days are predicted.
     """
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("target_date")
-        past = g["target_date"].astype(str) <= train_to
+        to = train_to or str(pd.Timestamp(g["target_date"].max()).date() - dt.timedelta(days=HOLDOUT_DAYS))
+        past = g["target_date"].astype(str) <= to
         train, test = g[past & g["y"].notna()], g[~past]
         if len(train) < LEAST_ROWS or not len(test):
             return pd.DataFrame({"series_id": pd.Series(dtype=str), "target_date": pd.Series(dtype=object), "horizon": pd.Series(dtype="int32"), "model": pd.Series(dtype=str), "pred": pd.Series(dtype=float)})

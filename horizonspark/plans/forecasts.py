@@ -24,10 +24,14 @@ def day(x: str):
     return F.lit(x).cast("date")
 
 
-def wide(spark, sf_dir) -> DataFrame:
-    """Simple forecasts under the pool's names: series_id, target_date, horizon, dow, y, lag_365, is_hol and a column for each model."""
-    d = tables.daily_series(spark, sf_dir)
-    m = hist.horizon_matrix(d).where(F.col("target_date") >= day(FROM))
+def wide(spark, sf_dir, whole: bool = False) -> DataFrame:
+    """Simple forecasts under the pool's names: series_id, target_date, horizon, dow, y, lag_365, is_hol and a column for each model.
+
+    whole takes all of orders and all target dates; otherwise they are cut as the SQL cuts them.
+    """
+    d = tables.daily_series(spark, sf_dir, None, None) if whole else tables.daily_series(spark, sf_dir)
+    m = hist.horizon_matrix(d)
+    m = m if whole else m.where(F.col("target_date") >= day(FROM))
     columns = {k: v for k, v in (hist.rolling_columns([7, 28]) | hist.ewma_columns([7])).items() if k in ("rolling_mean_7", "rolling_mean_28", "ewma_7")}
     m = hist.with_base(hist.with_past(m, hist.offset_map(d)), hist.base_features(d, columns))
     m = cal.holiday_membership(m, calendars.holiday_anchors(spark))

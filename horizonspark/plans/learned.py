@@ -1,36 +1,54 @@
-"""Queries of the learners; SQL cannot express them."""
+"""Queries of the learners; SQL cannot express them. They read all of orders; each series' newest 28 days are predicted."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from horizonspark import calendars
 from horizonspark.operators import blend as B
 from horizonspark.operators import calendar as cal
 from horizonspark.operators import history as hist
 from horizonspark.operators import learners as L
+from horizonspark.operators.runs import natural_schedule
 from horizonspark.plans import forecasts as P
-from horizonspark.plans.features import _workdays
 from horizonspark.plans.matrix import feature_matrix, holiday_mask_columns
 from horizonspark.sources import tables
 
 FEATURES = ["dow", "month", "day_of_year", "is_weekend", "lag_7", "lag_28", "lag_anchor_7", "lag_anchor_14", "lag_anchor_28", "rolling_mean_7", "rolling_mean_28", "rolling_std_28", "ewma_7", "ewma_28", "same_dow_mean_4w", "same_dow_mean_8w", "floortables", "days_to_next_holiday", "is_typhoon_t8plus"]
-TRAIN_TO = "2026-04-30"
 #: Shorter models than the pool's own for the registered queries.
 SCALE = 0.05
 
 
+def _daily(spark, sf_dir):
+    return tables.daily_series(spark, sf_dir, None, None)
+
+
+def _workdays(spark, daily):
+    """Weekdays from a month before the first date to two after the last."""
+    a, b = daily.agg(F.min("date"), F.max("date")).first()
+    a, b = (a, b) if a else (dt.date(2024, 1, 1),) * 2
+    return calendars.weekday_calendar(spark, str(a - dt.timedelta(days=31)), str(b + dt.timedelta(days=64)))
+
+
+def _newest(spark, sf_dir):
+    """The last date before each series' newest 28 days: series_id, train_to."""
+    return _daily(spark, sf_dir).groupBy("series_id").agg(F.date_sub(F.max("date"), L.HOLDOUT_DAYS).alias("train_to"))
+
+
 def matrix(spark, sf_dir):
-    d = tables.daily_series(spark, sf_dir)
-    m = feature_matrix(spark, d, _workdays(spark))
+    d = _daily(spark, sf_dir)
+    m = feature_matrix(spark, d, _workdays(spark, d))
     mask = holiday_mask_columns(m.columns)
     m = hist.sample_weights(m, mask).withColumn("is_hol", cal.flag(sum((F.col(c) for c in mask), F.lit(0)) > 0))
     return m
 
 
 def _run(spark, sf_dir, learn):
-    return L.per_horizon(matrix(spark, sf_dir), FEATURES, TRAIN_TO, learn)
+    return L.per_horizon(matrix(spark, sf_dir), FEATURES, None, learn)
 
 
 def booster_forecast(spark, sf_dir):
@@ -73,7 +91,12 @@ def linear_zoo(spark, sf_dir):
 
 
 def _wide(spark, sf_dir):
-    return P.wide(spark, sf_dir).select(*B.KEY, "y", *B.MODELS)
+    return P.wide(spark, sf_dir, whole=True).select(*B.KEY, "y", *B.MODELS)
+
+
+def _past(spark, sf_dir):
+    """The rows that weights are fitted on."""
+    return _wide(spark, sf_dir).join(F.broadcast(_newest(spark, sf_dir)), "series_id").where("target_date <= train_to").drop("train_to")
 
 
 def _fit(name):
@@ -97,12 +120,12 @@ def _blend(rows, weights, keys):
 
 
 def opt_weights_blend(spark, sf_dir):
-    w = _wide(spark, sf_dir).where((F.col("target_date") <= P.day(P.VALIDATE_TO)) & (F.col("horizon") % 7 == 0)).groupBy("series_id").applyInPandas(*_fit("opt"))
+    w = _past(spark, sf_dir).where("horizon % 7 = 0").groupBy("series_id").applyInPandas(*_fit("opt"))
     return _blend(_wide(spark, sf_dir), w.drop("horizon"), ["series_id"])
 
 
 def nnls_blend(spark, sf_dir):
-    w = _wide(spark, sf_dir).where(F.col("target_date") <= P.day(P.VALIDATE_TO)).groupBy("series_id", "horizon").applyInPandas(*_fit("nnls"))
+    w = _past(spark, sf_dir).groupBy("series_id", "horizon").applyInPandas(*_fit("nnls"))
     return _blend(_wide(spark, sf_dir), w, ["series_id", "horizon"])
 
 
@@ -121,7 +144,8 @@ def ridge_loo_blend(spark, sf_dir):
             p[i] = (a[i] - ma) @ w + my
         return pd.DataFrame({"series_id": key[0], "target_date": g["target_date"].values, "horizon": g["horizon"].values, "blend": p})
 
-    rows = _wide(spark, sf_dir).join(P.natural_schedule(spark, sf_dir), B.KEY).where("y is not null")
+    ahead = _daily(spark, sf_dir).join(F.broadcast(_newest(spark, sf_dir)), "series_id").where("date > train_to")
+    rows = _wide(spark, sf_dir).join(natural_schedule(ahead.select("series_id", F.col("date").alias("target_date"))), B.KEY).where("y is not null")
     return rows.groupBy("series_id").applyInPandas(run, "series_id string, target_date date, horizon int, blend double")
 
 
