@@ -53,10 +53,17 @@ def grow(bins: np.ndarray, n_bins: int, g: np.ndarray, h: np.ndarray, cols: np.n
     levels = []
     offset = np.arange(len(cols)) * n_bins
     for d in range(depth):
-        live, of = np.unique(node, return_inverse=True)  # most nodes of a deep level hold no rows
-        at = (of[:, None] * (len(cols) * n_bins) + bins[:, cols] + offset).ravel()
+        live = np.flatnonzero(np.bincount(node, minlength=1 << d) >= 2 * leaf)  # smaller nodes cannot split, and most of a deep level are
+        if not len(live):
+            levels.append((np.zeros(1 << d, dtype=np.int64), np.full(1 << d, n_bins)))
+            node = 2 * node
+            continue
+        place = np.full(1 << d, -1)
+        place[live] = np.arange(len(live))
+        some = np.flatnonzero(place[node] >= 0)
+        at = (place[node[some]][:, None] * (len(cols) * n_bins) + bins[np.ix_(some, cols)] + offset).ravel()
         size = len(live) * len(cols) * n_bins
-        cell = [np.bincount(at, np.repeat(v, len(cols)) if v is not None else None, size).reshape(len(live), len(cols), n_bins).cumsum(axis=2) for v in (g, h, None)]
+        cell = [np.bincount(at, np.repeat(v[some], len(cols)) if v is not None else None, size).reshape(len(live), len(cols), n_bins).cumsum(axis=2) for v in (g, h, None)]
         gl, hl, nl = (c[:, :, :-1] for c in cell)
         gt, ht, nt = (c[:, :, -1:] for c in cell)
         gain = gl**2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt**2 / (ht + l2)

@@ -15,12 +15,11 @@ from horizonspark.operators import history as hist
 from horizonspark.operators import learners as L
 from horizonspark.operators.runs import natural_schedule
 from horizonspark.plans import forecasts as P
-from horizonspark.plans.matrix import feature_matrix, holiday_mask_columns
+from horizonspark.plans.matrix import feature_matrix, feature_names, holiday_mask_columns
 from horizonspark.sources import tables
 
-FEATURES = ["dow", "month", "day_of_year", "is_weekend", "lag_7", "lag_28", "lag_anchor_7", "lag_anchor_14", "lag_anchor_28", "rolling_mean_7", "rolling_mean_28", "rolling_std_28", "ewma_7", "ewma_28", "same_dow_mean_4w", "same_dow_mean_8w", "floortables", "days_to_next_holiday", "is_typhoon_t8plus"]
-#: Shorter models than the pool's own for the registered queries.
-SCALE = 0.05
+FEATURES = feature_names()
+N_BAGS, N_TREES, TREE_DEPTH = 15, 300, 12
 
 
 def _daily(spark, sf_dir):
@@ -52,19 +51,16 @@ def _run(spark, sf_dir, learn):
 
 
 def booster_forecast(spark, sf_dir):
-    return _run(spark, sf_dir, lambda *a: L.fit_pool(*a, SCALE))
+    return _run(spark, sf_dir, lambda *a: L.fit_pool(*a, 1.0))
 
 
 def two_stage_forecast(spark, sf_dir):
-    par = {k: v | {"rounds": int(v["rounds"] * SCALE), "rate": 0.3} for k, v in L.PARAMS.items()}
-    return _run(spark, sf_dir, lambda x, y, w, hol, xt, hol_t: {"v3_2stage": np.maximum(0.0, L.two_stage(x, y, w, hol, xt, hol_t, par))})
+    return _run(spark, sf_dir, lambda x, y, w, hol, xt, hol_t: {"v3_2stage": np.maximum(0.0, L.two_stage(x, y, w, hol, xt, hol_t))})
 
 
 def bagged_forecast(spark, sf_dir):
-    par = {"bag": L.PARAMS["bag"] | {"rounds": int(L.PARAMS["bag"]["rounds"] * SCALE), "rate": 0.3}}
-
     def learn(x, y, w, hol, xt, hol_t):
-        mean, std = L.bagged(x, y, w, xt, 5, 43, par)
+        mean, std = L.bagged(x, y, w, xt, N_BAGS, 43)
         return {"bag_mean": mean, "bag_std": std}
 
     return _run(spark, sf_dir, learn)
@@ -79,9 +75,9 @@ def linear_zoo(spark, sf_dir):
         b, bt = (np.where(np.isnan(v[:, base]) | (v[:, base] <= 0), mid, v[:, base]) for v in (x, xt))
         out = {
             "ridge": L.ridge(z, y, w, zt),
-            "enet": L.elastic_net(z, y, zt),
-            "xtrees": L.forest(z, y, w, zt, 10, True),
-            "rf": L.forest(z, y, w, zt, 10, False),
+            "enet": L.elastic_net(z, y, zt, sweeps=5000),
+            "xtrees": L.forest(z, y, w, zt, N_TREES, True, TREE_DEPTH),
+            "rf": L.forest(z, y, w, zt, N_TREES, False, TREE_DEPTH),
             "ridge_log": np.expm1(np.minimum(50.0, L.ridge(z, np.log1p(y), w, zt))),
             "ridge_ratio": bt * np.clip(L.ridge(z, np.clip(y / b, 0.3, 3.0), w, zt), 0.3, 3.0),
         }
@@ -108,7 +104,7 @@ def _fit(name):
         ok = ~np.isnan(a).any(axis=1) & (y > 0)
         w = np.full(len(B.MODELS), 1 / len(B.MODELS))
         if ok.sum() >= 8:
-            w = L.simplex_weights(a[ok], y[ok], 3) if name == "opt" else L.nonnegative_least_squares(a[ok], y[ok])
+            w = L.simplex_weights(a[ok], y[ok]) if name == "opt" else L.nonnegative_least_squares(a[ok], y[ok])
             w = w / w.sum() if w.sum() > 0 else np.full(len(B.MODELS), 1 / len(B.MODELS))
         return pd.DataFrame([[key[0], int(key[1]) if len(key) > 1 else 0, *w]], columns=["series_id", "horizon", *[f"w_{m}" for m in B.MODELS]])
 
@@ -120,7 +116,7 @@ def _blend(rows, weights, keys):
 
 
 def opt_weights_blend(spark, sf_dir):
-    w = _past(spark, sf_dir).where("horizon % 7 = 0").groupBy("series_id").applyInPandas(*_fit("opt"))
+    w = _past(spark, sf_dir).groupBy("series_id").applyInPandas(*_fit("opt"))
     return _blend(_wide(spark, sf_dir), w.drop("horizon"), ["series_id"])
 
 

@@ -1,8 +1,15 @@
 """The learner queries read the whole table and run the whole job."""
 
+import datetime as dt
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from horizonspark.operators import blend as B
+from horizonspark.operators import learners as L
 from horizonspark.plans import learned
+from horizonspark.plans.matrix import feature_names
 from horizonspark.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +24,46 @@ def test_all_orders_are_read(spark):
     assert {r["series_id"]: r["a"] for r in out} == last and all((r["a"] - r["b"]).days < 28 for r in out)
     blocks = learned.matrix(spark, SF).where("mainland_is_workday is null").count()
     assert blocks == 0
+
+
+def test_learners_are_the_whole_ones(monkeypatch):
+    asked, rounds, trees = [], [], []
+    monkeypatch.setattr(learned, "matrix", lambda *a: None)
+    monkeypatch.setattr(L, "per_horizon", lambda m, features, to, learn: asked.append((features, learn)))
+    monkeypatch.setattr(L, "boost", lambda x, y, w, tests, **par: rounds.append(par["rounds"]) or [np.ones(len(t)) for t in tests])
+    monkeypatch.setattr(L, "forest", lambda x, y, w, xt, n, extra, depth=6, *a: trees.append((n, depth)) or np.ones(len(xt)))
+    x = np.random.default_rng(1).random((60, len(feature_names())))
+    args = x, x[:, 0] + 1, np.ones(60), np.arange(60) < 25, x[:5], np.ones(5, dtype=bool)
+    want = {"booster_forecast": [500, 400, 400, 500, 400, 400, 400, 500, 300], "two_stage_forecast": [500, 300], "bagged_forecast": [400] * 15, "linear_zoo": []}
+    for name, n in want.items():
+        rounds.clear()
+        learned.QUERIES[name](None, None)
+        features, learn = asked[-1]
+        learn(*args)
+        assert features == feature_names() and rounds == n
+    assert trees == [(300, 12)] * 2
+
+
+def test_weights_are_fitted_on_all_horizons(spark, monkeypatch):
+    first = dt.date(2026, 1, 1)
+    rows = []
+    for h in range(1, 29):
+        for k in range(40):
+            good = [10.0 + k, 20.0 + 2 * k]
+            rows.append(("s", first + dt.timedelta(days=k), h, 10.0 + k, *(good[i == (h % 7 == 0)] for i in (0, 1)), *[50.0] * 4))
+    wide = spark.createDataFrame(rows, "series_id string, target_date date, horizon int, y double, " + ", ".join(f"{m} double" for m in B.MODELS))
+    monkeypatch.setattr(learned, "_wide", lambda *a: wide)
+    monkeypatch.setattr(learned, "_newest", lambda *a: spark.createDataFrame([("s", first + dt.timedelta(days=11))], "series_id string, train_to date"))
+    got = learned.opt_weights_blend(spark, "").where("horizon = 1").orderBy("target_date").collect()
+    assert [round(r["blend"] / (10 + k), 1) for k, r in enumerate(got)] in ([1.0] * 40, [2.0] * 40)
+    best = wide.where("horizon = 1").orderBy("target_date").collect()
+    right = [m for m in B.MODELS if all(r[m] == r["y"] for r in best)]
+    assert [r["blend"] for r in got] == pytest.approx([r[right[0]] for r in best])
+
+
+def test_nodes_that_cannot_split_keep_their_rows():
+    x = np.arange(12.0)[:, None]
+    b = L.Bins(x)
+    levels = L.grow(b.of(x), b.n, x[:, 0], np.ones(12), np.arange(1), 6, 3, 0.0)
+    at = L.leaf_of(levels, b.of(x))
+    assert len(levels) == 6 and min(np.unique(at, return_counts=True)[1]) >= 3
