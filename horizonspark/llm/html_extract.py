@@ -1,8 +1,9 @@
 """Main text of web pages: site templates found by counting element subtrees per host, and page structure.
 
 Every block element's subtree is hashed from its tags and text. Spark counts on how many pages
-of its host each hash occurs; subtrees that recur on many pages of the host are its template and are
-deleted. What HTML itself marks as no part of the article (menus, forms, asides, scripts,
+of its host, and of its section of the host, each hash occurs; subtrees that recur on many pages are template and are
+deleted. A paragraph within an article must recur in many different articles for that: copies of one article,
+whole or edited, do not make its paragraphs template. What HTML itself marks as no part of the article (menus, forms, asides, scripts,
 elements whose class or role says so) goes too, which is all there is to go by on hosts with few pages.
 """
 
@@ -12,6 +13,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 
 from horizonspark.llm.common import Scratch, text_bytes, unused
 
-#: A subtree on this share of its host's pages, and on so many pages at least, is template.
+#: A subtree on this share of the pages of its host or section, and on so many pages at least, is template.
 MIN_SHARE, MIN_PAGES = 0.3, 8
+#: Articles are told apart by the least hashes of their runs of so many words, under each of these factors.
+RUN, FACTORS = 5, np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 #: Up to so many hosts' templates are broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
@@ -29,7 +33,7 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 DROPPED = frozenset("script style textarea title noscript template iframe head nav footer aside form button select input label fieldset dialog menu object embed svg canvas audio video map noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
-#: Never template by themselves; and within an article neither is a sentence that recurs, only a box.
+#: Never template by themselves; and within an article a sentence is only if it recurs in different articles.
 WHOLE = frozenset("html body article main".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored banner promo cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus replies share sharing social related recommended widget toolbar pagination pager skip login search".split())
@@ -114,8 +118,8 @@ def parse(page: str) -> Element:
     return root
 
 
-def subtree_hashes(root: Element) -> dict[int, int]:
-    """id of each block element with text that may be template -> hash of its tags and text (signed 64 bits)."""
+def subtree_hashes(root: Element, prose: bool = False) -> dict[int, int]:
+    """id of each block element with text that may be template -> hash of its tags and text (signed 64 bits): boxes, or the prose of articles."""
     out: dict[int, int] = {}
     done: dict[int, tuple[bytes, bool]] = {}
     todo = [(root, False)]
@@ -137,7 +141,7 @@ def subtree_hashes(root: Element) -> dict[int, int]:
                 text = True
         h = xxhash.xxh64_digest(b"\x00".join(parts))
         done[id(e)] = h, text
-        if text and e.tag and e.tag not in INLINE and e.tag not in WHOLE and not (e.in_article and e.tag in PROSE):
+        if text and e.tag and e.tag not in INLINE and e.tag not in WHOLE and (e.in_article and e.tag in PROSE) == prose:
             out[id(e)] = int.from_bytes(h, "big", signed=True)
     return out
 
@@ -210,28 +214,78 @@ def _decode(page: bytes) -> str:
     return page.decode("utf-8", "replace")
 
 
+def section_of(url: Column) -> Column:
+    """The first folder of the path; empty if the path has none."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1)
+
+
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            hosts, hashes = [], []
-            for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                found = set(subtree_hashes(parse(_decode(page))).values())
-                hosts += [host] * len(found)
-                hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "subtree"])
+            rows: list[tuple] = []
+            for host, section, page in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                root = parse(_decode(page))
+                rows += [(host, section, h, prose) for prose in (False, True) for h in set(subtree_hashes(root, prose).values())]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.bool_()), strict=True)], names=["host", "section", "subtree", "prose"])
+
+
+def article_marks(text: str) -> list[int]:
+    """The least hashes of a text's runs of words: mostly the same for edited copies, different for different texts."""
+    words = text.split()
+    runs = [xxhash.xxh64_intdigest(" ".join(words[i : i + RUN]).encode("utf-8", "replace")) for i in range(max(1, len(words) - RUN + 1))]
+    return (np.array(runs, dtype=np.uint64)[:, None] * FACTORS).min(axis=0).view(np.int64).tolist()
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of each page's articles (subtree null), and of what they hold besides each candidate paragraph."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            rows: list[tuple] = []
+            for host, section, page, wanted in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                root, wanted = parse(_decode(page)), set(wanted)
+                blocks: dict[int | None, set[int]] = {None: set()}
+                for i, h in subtree_hashes(root, True).items():
+                    if h in wanted:
+                        blocks.setdefault(h, set()).add(i)
+                for h, ids in blocks.items():
+                    rows += [(host, section, h, k, m) for k, m in enumerate(article_marks(main_text(root, ids)))]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["host", "section", "subtree", "k", "mark"])
+
+
+def _by_level(rows: DataFrame) -> DataFrame:
+    """Each row for its whole host (level empty) and for its section."""
+    return rows.withColumn("level", F.explode(F.array_distinct(F.array(F.lit(""), F.col("section")))))
+
+
+def _frequent(counts: DataFrame, sizes: DataFrame, min_share: float, min_pages: int) -> DataFrame:
+    return counts.where(F.col("n") >= min_pages).join(sizes, ["host", "level"]).where(F.col("n") >= F.col("n_pages") * min_share)
 
 
 def site_templates(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_share: float = MIN_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, subtrees): hashes of the subtrees on min_share of the host's pages and on min_pages at least.
+    """(host, subtrees, prose): hashes of the subtrees on min_share of the pages of the host, or of a section of it, and on min_pages at least.
 
-    A page holds few subtrees, so a host's list is short: not longer than its mean number of subtrees a page over min_share.
+    subtrees are boxes. prose are paragraphs of articles that recur in as many different articles, by the rest of their text.
+    A page holds few subtrees, so a host's list is short: not longer than the mean number of subtrees a page over min_share, for the host and each section.
     Pages whose URL names no host share no template.
     """
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), text_bytes(html_col).alias("html")).where("host <> ''")
-    sizes = rows.groupBy("host").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
-    counts = rows.mapInArrow(_hashes, "host string, subtree bigint").groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    return counts.join(sizes, "host").where(F.col("n") >= F.col("n_pages") * min_share).groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
+    scratch = Scratch(pages.sparkSession, "templates")
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), section_of(F.col(url_col)).alias("section"), text_bytes(html_col).alias("html")).where("host <> ''")
+    sizes = _by_level(rows.groupBy("host", "section").agg(F.count("*").alias("n"))).groupBy("host", "level").agg(F.sum("n").alias("n_pages")).where(F.col("n_pages") >= min_pages)
+    hashed = rows.mapInArrow(_hashes, "host string, section string, subtree bigint, prose boolean").groupBy("host", "section", "subtree", "prose").agg(F.count("*").alias("n"))
+    counts = _by_level(hashed).groupBy("host", "level", "subtree", "prose").agg(F.sum("n").alias("n"))
+    found = scratch.save(_frequent(counts, sizes, min_share, min_pages).select("host", "subtree", "prose").distinct())
+    wanted = found.where("prose").groupBy("host").agg(F.collect_list("subtree").alias("wanted"))
+    marks = rows.join(wanted, "host").select("host", "section", "html", "wanted").mapInArrow(_marks, "host string, section string, subtree bigint, k int, mark bigint")
+    marks = scratch.save(_by_level(marks.distinct()).select("host", "level", "subtree", "k", "mark").distinct().groupBy("host", "level", "subtree", "k").agg(F.count("*").alias("n")))
+    articles = marks.groupBy("host", "level", "subtree").agg(F.max("n").alias("n"))
+    all_articles = articles.where("subtree is null").select("host", "level", F.col("n").alias("n_pages"))
+    prose = _frequent(articles.where("subtree is not null"), all_articles, min_share, min_pages).select("host", "subtree", F.lit(True).alias("prose")).distinct()
+    both = found.where("not prose").unionByName(prose)
+    return both.groupBy("host").agg(F.collect_list(F.when(~F.col("prose"), F.col("subtree"))).alias("subtrees"), F.collect_list(F.when(F.col("prose"), F.col("subtree"))).alias("prose"))
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_share: float = MIN_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -241,24 +295,25 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "
     """
     scratch = Scratch(pages.sparkSession, "html")
     kept = [c for c in pages.columns if c.lower() != "main_text"]
-    own, host, subtrees = (unused(pages, x) for x in ("_own_host", "_host", "_subtrees"))
+    own, host, subtrees, prose = (unused(pages, x) for x in ("_own_host", "_host", "_subtrees", "_prose"))
     templates = scratch.save(site_templates(pages, html_col, url_col, min_share, min_pages))
-    templates = templates.select(F.col("host").alias(host), F.col("subtrees").alias(subtrees))
+    templates = templates.select(F.col("host").alias(host), F.col("subtrees").alias(subtrees), F.col("prose").alias(prose))
     if templates.count() <= BROADCAST_HOSTS:
         templates = F.broadcast(templates)
     rows = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(url_col)).alias(own)).join(templates, F.col(own) == F.col(host), "left")
 
     @F.pandas_udf("string")
-    def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for page, found in batches:
+    def text(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for page, boxes, prose in batches:
             out = []
-            for p, s in zip(page, found, strict=True):
+            for p, *found in zip(page, boxes, prose, strict=True):
                 root = parse(_decode(p))
                 gone: set[int] = set()
-                if s is not None and len(s):
-                    wanted = set(map(int, s))
-                    gone = {i for i, h in subtree_hashes(root).items() if h in wanted}
+                for in_prose, s in enumerate(found):
+                    if s is not None and len(s):
+                        wanted = set(map(int, s))
+                        gone |= {i for i, h in subtree_hashes(root, bool(in_prose)).items() if h in wanted}
                 out.append(main_text(root, gone).encode("utf-8", "replace").decode())
             yield pd.Series(out, dtype="object")
 
-    return rows.select(*[F.col(f"`{c}`") for c in kept], text(text_bytes(html_col), F.col(subtrees)).alias("main_text"))
+    return rows.select(*[F.col(f"`{c}`") for c in kept], text(text_bytes(html_col), F.col(subtrees), F.col(prose)).alias("main_text"))

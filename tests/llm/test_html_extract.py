@@ -54,3 +54,32 @@ def test_templates_and_odd_rows(spark):
     mine = [set(subtree_hashes(parse(h)).values()) for _, u, h, *_ in rows if u and "A.example" in u]
     counted = {h for h in set().union(*mine) if sum(h in m for m in mine) >= max(8, 0.3 * len(mine))}
     assert got == {"a.example.com": counted}
+
+
+def test_notices_and_copies_in_articles(spark):
+    r = random.Random(4)
+    words = lambda n=30: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) + str(r.randrange(999)) for _ in range(n))
+    notices = ["Subscribe to our newsletter for more", "Our offices are open every day"]
+    rows, want = [], {}
+
+    def add(host, path, body, text):
+        want[len(rows)] = text
+        rows.append((len(rows), f"http://{host}/{path}", page(f"<article>{body}</article>")))
+
+    for i in range(30):  # notices in different articles
+        a, b = words(), words()
+        add("n.example.com", i, f"<p>{a}</p><p>{notices[0]}</p><p>{b}</p><p>{notices[1]}</p>", f"{a} {b}")
+    copy = [words() for _ in range(4)]
+    for i in range(30):  # copies of one article, half of them with an edited paragraph
+        some = [*copy]
+        if i % 2:
+            w = some[i % 4].split()
+            w[i % 30] = f"edit{i}"
+            some[i % 4] = " ".join(w)
+        add("c.example.com", i, "".join(f"<p>{p}</p>" for p in some), " ".join(some))
+    for i in range(60):  # a box of one small section of a large host
+        a = words()
+        box = "<div><p>Only in this section</p></div>" if i < 12 else ""
+        add("s.example.com", f"{'small' if i < 12 else 'large'}/{i}", f"<p>{a}</p>{box}", a)
+    got = extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()
+    assert {x["page_id"]: x["main_text"] for x in got} == want
