@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from horizonspark.llm.chunk_dedup import exact_dedup
-from horizonspark.llm.common import table, text_bytes
+from horizonspark.llm.common import Scratch, table, text_bytes
 from horizonspark.llm.decontam import contaminated
 from horizonspark.llm.html_extract import extract_main_text
 from horizonspark.llm.langid import held_out, identify, learn_dictionaries
@@ -43,9 +43,10 @@ def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", (F.octet_length(text_bytes("text")) + 8).cast("bigint").alias("size"), F.crc32(text_bytes("text")).alias("text_crc32"))
-    return shard_uniform(rows, N_SHARDS, seed=3).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Whole documents are dealt; size and checksum are those of the texts that arrive."""
+    dealt = shard_uniform(table(spark, sf_dir, "documents"), N_SHARDS, seed=3)
+    size = (F.octet_length(text_bytes("text")) + 8).cast("bigint")
+    return dealt.select("doc_id", size.alias("size"), F.crc32(text_bytes("text")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_zstd_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +66,9 @@ def op6_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix_sources(docs, MIX_WEIGHTS, seed="mix").select("doc_id", "source", "copy", "n_copies", "shuffle_key")
+    """Whole documents are mixed and written; without the table, Spark would leave the texts out of the shuffle, as the result has none."""
+    mixed = Scratch(spark, "mix").save(mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS, seed="mix"))
+    return mixed.select("doc_id", "source", "copy", "n_copies", "shuffle_key")
 
 
 def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
