@@ -90,11 +90,8 @@ class Scanner:
         hits = []
         for i, windows in asked.items():
             n = self.notices[i]
-            last = -1
             for lo, hi in self._together(windows):
-                for m in self.patterns[i].finditer(joined, max(lo, last), hi):
-                    hits.append((n.label, n.base, sum(m.fuzzy_counts), m.start(), m.end()))
-                    last = m.end()
+                hits += [(n.label, n.base, sum(m.fuzzy_counts), m.start(), m.end()) for m in self._matches(i, joined, lo, hi)]
         if not hits:
             return len(words), []
         spans = [m.span() for m in _WORD.finditer(flat)]
@@ -106,6 +103,16 @@ class Scanner:
             out.append((label, base, edits, first, a, b, text[a:b].decode("utf-8", "replace")))
         return len(words), sorted(out, key=lambda h: (h[3], not h[1], h[0]))
 
+    def _matches(self, i: int, joined: str, lo: int, hi: int) -> Iterator[regex.Match]:
+        """The best match of a window, and those to its left and right: a search for the best skips earlier ones with more edits."""
+        least = len(self.notices[i].text) - self.notices[i].edits
+        todo = [(lo, hi)]
+        while todo:
+            lo, hi = todo.pop()
+            if hi - lo > least and (m := self.patterns[i].search(joined, lo, hi)):
+                yield m
+                todo += [(lo, m.start()), (m.end(), hi)]
+
     @staticmethod
     def _together(windows: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         """Overlapping windows as one."""

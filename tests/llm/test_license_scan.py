@@ -76,3 +76,18 @@ def test_labels_are_distinct_and_sorted(spark):
     docs = spark.createDataFrame([("under the mit license cc by nc under the mit license",), ("none",)], "text string")
     got = [r["l"] for r in docs.select(license_hits().alias("f")).select(labels_of(F.col("f.hits")).alias("l")).collect()]
     assert got == ["cc-by-nc,mit", ""]
+
+
+def test_edited_notices_in_a_row():
+    s = Scanner()
+    hits = s.scan(b"all right reserved all rights reserved x")[1]
+    assert [(h[3], h[2]) for h in hits] == [(0, 1), (3, 0)]
+    r = random.Random(8)
+    for _ in range(60):
+        words, want = [], []
+        for _ in range(r.randrange(2, 7)):
+            words += ["x"] * r.randrange(3)
+            want.append(len(words))
+            words += r.choice(["all rights reserved", "all right reserved", "all rigts reservd", "al rights reserved", "all rights resxrved"]).split()
+        text = " ".join(words)
+        assert [h[3] for h in s.scan(text.encode())[1] if h[0] == "all-rights-reserved"] == want, text
