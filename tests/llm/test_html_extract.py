@@ -1,7 +1,11 @@
 """Main text of pages built from known parts, and template counts against brute force."""
 
 import random
+import time
 
+import pytest
+
+from horizonspark.llm import html_extract
 from horizonspark.llm.html_extract import extract_main_text, main_text, parse, site_templates, subtree_hashes
 
 BOX = '<section class="box"><h3>Our paper</h3><p>Support us today.</p></section>'
@@ -51,7 +55,7 @@ def test_templates_and_odd_rows(spark):
     assert sorted(x["main_text"][:20] for x in out if x["page_id"] not in want) == sorted(["", "", "long words long word", "again", "no id"])
     assert extract_main_text(pages.limit(0)).count() == 0
     got = {x["host"]: set(x["subtrees"]) for x in site_templates(pages).collect()}
-    mine = [set(subtree_hashes(parse(h)).values()) for _, u, h, *_ in rows if u and "A.example" in u]
+    mine = [set(subtree_hashes(parse(h))) for _, u, h, *_ in rows if u and "A.example" in u]
     counted = {h for h in set().union(*mine) if sum(h in m for m in mine) >= max(8, 0.3 * len(mine))}
     assert got == {"a.example.com": counted}
 
@@ -83,3 +87,52 @@ def test_notices_and_copies_in_articles(spark):
         add("s.example.com", f"{'small' if i < 12 else 'large'}/{i}", f"<p>{a}</p>{box}", a)
     got = extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()
     assert {x["page_id"]: x["main_text"] for x in got} == want
+
+
+A = "The long text of the article goes on here with a good many words."
+
+
+@pytest.mark.parametrize(
+    ("h", "want"),
+    [
+        (f'<nav>menu</nav><div class="layout has-sidebar">{A}</div><footer>foot</footer>', A),
+        (f'<div id="search-results-page" class="content">{A}</div>', A),
+        (f'<div class="post no-comments">{A}</div>', A),
+        (f'<body><form id="aspnetForm"><input value="x"><nav>menu</nav><div>{A}</div><footer>foot</footer></form></body>', A),
+        (f'<article><p>{A}</p><p class="notice">Prose with a class.</p><p class="ad">Buy</p></article>', A + " Prose with a class."),
+        (f"<main><h1>Head</h1><article><p>{A}</p></article></main>", "Head " + A),
+        (f"<body><h1>Head</h1><article><p>{A}</p></article></body>", "Head " + A),
+        (f'<div class="content notice">{A}</div>', A),
+        (f'<main><p>{A}</p><article class="card">teaser</article></main>', A + " teaser"),
+        (f'<main><p>{A}</p><section id="comments"><article>{A} {A}</article></section></main>', A),
+        (f'<div><p>{A}</p><form>Name <input></form><div class="widget">w</div></div>', A),
+        ('<nav>menu</nav><div class="ad">Buy</div>', ""),
+        ("<p don't>a</p><p>isn't</p>", "a isn't"),
+        ('<a href="x>text</a> more', "text more"),
+    ],
+)
+def test_classes_are_hints(h, want):
+    assert text(h) == want
+
+
+def test_parsing_is_linear():
+    n = 20_000
+    for h in ("<b>" * n, "<div>" * n + "</p>" * n, "<b " * n, "<td>" + "<b>" * n + "</p>" * n, "<ul><li>" * n + "x", '<a href="' * n, "<div>" * n + "</span>" * n, "<form>" * n + "x"):
+        started = time.process_time()
+        text(h)
+        assert time.process_time() - started < 1.5
+
+
+def test_shuffled_templates_and_copied_pages(spark, monkeypatch):
+    """The join by a shuffle, with large sections dealt to several tasks, gives what the broadcast gives; copies of a page without an article stay."""
+    r = random.Random(6)
+    words = lambda n=30: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) + str(r.randrange(999)) for _ in range(n))
+    copied, rows, want = words(), [], {}
+    for i in range(60):
+        host, t = f"h{i % 2}.example.com", words() if i % 3 else copied
+        want[i] = t
+        rows.append((i, f"http://{host}/{'a' if i % 4 < 2 else 'b'}/{i}", page(f"<div><div>{t}</div></div>", BOX)))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    monkeypatch.setattr(html_extract, "PAGES_A_TASK", 4)
+    for limit in (10**6, 0):
+        assert {x["page_id"]: x["main_text"] for x in extract_main_text(pages, broadcast_hashes=limit).collect()} == want
