@@ -10,8 +10,10 @@ as their words (A-Z lower-cased; 0-9, a-z and everything beyond ASCII) joined by
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
@@ -45,15 +47,38 @@ BASE = (
 #: Names and version numbers stay exact, so that an edit never turns one licence into another.
 FUZZY = (
     Notice("mit", (("under the ", 1), ("mit", 0), (" license", 1))),
+    Notice("mit", (("permission is hereby granted free of charge to any person obtaining a copy of this software", 5),)),
     Notice("apache-2", (("apache license version ", 2), ("2", 0))),
+    Notice("apache-2", (("licensed under the ", 2), ("apache", 0), (" license", 1), (" 2 0", 0))),
     Notice("cc-by-nc", (("licensed under ", 2), ("cc by nc", 0))),
     Notice("cc-by-nc", (("creative commons attribution noncommercial", 3),)),
+    Notice("cc-by-nc-sa", (("creative commons attribution noncommercial", 3), (" sharealike", 1))),
+    Notice("cc-by-nc-nd", (("creative commons attribution noncommercial", 3), (" noderivatives", 1))),
+    Notice("cc-by-sa", (("creative commons attribution", 2), (" sharealike", 1))),
+    Notice("cc-by-nd", (("creative commons attribution", 2), (" noderivatives", 1))),
+    Notice("cc-by", (("creative commons ", 1), ("attribution ", 0), ("4 0 international license", 2))),
+    Notice("cc0", (("creative commons zero ", 2), ("v1 0 universal", 0))),
     Notice("gpl-3", (("gnu general public license version ", 3), ("3", 0))),
     Notice("gpl-2", (("gnu general public license version ", 3), ("2", 0))),
+    Notice("lgpl-3", (("gnu ", 0), ("lesser", 1), (" general public license version ", 3), ("3", 0))),
+    Notice("lgpl-2.1", (("gnu ", 0), ("lesser", 1), (" general public license version ", 3), ("2 1", 0))),
+    Notice("agpl-3", (("gnu ", 0), ("affero", 1), (" general public license version ", 3), ("3", 0))),
     Notice("mpl-2", (("mozilla public license version ", 2), ("2", 0))),
+    Notice("epl-2", (("eclipse public license version ", 2), ("2", 0))),
     Notice("bsd", (("redistributions in binary form must reproduce the above copyright notice", 4),)),
+    Notice("bsd-3", (("neither the name of the copyright holder nor the names of its contributors may be used to endorse", 5),)),
+    Notice("isc", (("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 6),)),
+    Notice("unlicense", (("this is free and unencumbered software released into the public domain", 4),)),
+    Notice("zlib", (("this software is provided as is without any express or implied warranty in no event will the authors", 5),)),
     Notice("all-rights-reserved", (("all rights reserved", 2),)),
 )
+#: Licences named by an identifier line: what the words of its tag and name are, and the label.
+IDENTIFIERS = {
+    "mit": "mit", "apache 2 0": "apache-2", "cc by nc 4 0": "cc-by-nc", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc0 1 0": "cc0",
+    "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "lgpl 2 1": "lgpl-2.1", "lgpl 3 0": "lgpl-3", "agpl 3 0": "agpl-3", "mpl 2 0": "mpl-2", "epl 2 0": "epl-2",
+    "bsd 2 clause": "bsd-2", "bsd 3 clause": "bsd-3", "isc": "isc", "unlicense": "unlicense", "zlib": "zlib",
+}
+FUZZY += tuple(Notice(label, (("spdx", 0), (" license identifier ", 2), (name, 0))) for name, label in IDENTIFIERS.items())
 HITS = "struct<n_words: bigint, hits: array<struct<label: string, base: boolean, edits: int, first_word: bigint, start: bigint, stop: bigint, found: string>>>"
 
 _WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -95,13 +120,29 @@ class Scanner:
         if not hits:
             return len(words), []
         spans = [m.span() for m in _WORD.finditer(flat)]
+        starts = list(accumulate((len(w) + 1 for w in words), initial=1))  # of the words in joined
         out = []
         for label, base, edits, lo, hi in hits:
-            first = joined.count(" ", 0, lo) - 1
-            stop = max(first, joined.count(" ", 0, hi) - 1)
+            first = max(0, bisect_right(starts, lo) - 1)
+            stop = max(first, bisect_right(starts, hi - 1) - 1)
             a, b = spans[first][0], spans[min(stop, len(spans) - 1)][1]
-            out.append((label, base, edits, first, a, b, text[a:b].decode("utf-8", "replace")))
-        return len(words), sorted(out, key=lambda h: (h[3], not h[1], h[0]))
+            out.append((label, base, edits, first, a, b))
+        return len(words), [(*h, text[h[4] : h[5]].decode("utf-8", "replace")) for h in self._longest(sorted(out, key=lambda h: (h[3], not h[1], h[0])))]
+
+    @staticmethod
+    def _longest(hits: list[tuple]) -> Iterator[tuple]:
+        """Without the fuzzy hits that are only a part of a longer one, whose licence is another (attribution, of attribution and share alike)."""
+        span: tuple[int, int] = (-1, -1)
+        inside: set[int] = set()
+        for i in sorted(range(len(hits)), key=lambda i: (hits[i][4], -hits[i][5])):
+            _, base, _, _, a, b = hits[i]
+            if base:
+                continue
+            if b <= span[1] and (a, b) != span:
+                inside.add(i)
+            elif b > span[1]:
+                span = (a, b)
+        return (h for i, h in enumerate(hits) if i not in inside)
 
     def _matches(self, i: int, joined: str, lo: int, hi: int) -> Iterator[regex.Match]:
         """The best match of a window, and those to its left and right: a search for the best skips earlier ones with more edits."""
