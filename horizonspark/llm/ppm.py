@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from horizonspark.llm.common import Scratch, text_bytes
-from horizonspark.llm.wordjoin import FLUSH, HEAD, head_of, head_rows, own_key
+from horizonspark.llm.wordjoin import FLUSH, FLUSH_BYTES, HEAD, head_of, head_rows, own_key
 
 #: Neither byte occurs in UTF-8.
 START, END = 0xFE, 0xFF
@@ -67,7 +67,7 @@ def _count(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         grams: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        size = read = 0
 
         def flush() -> pa.RecordBatch:
             w = sorted(words)
@@ -90,6 +90,7 @@ def _count(order: int):
                 for out, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     texts[out].append(t)
                 for t in texts[False]:
+                    read += len(t)
                     words.update(t.lower().split())
                 for out, some in texts.items():
                     for _, keys in _grams(framed(some, order), order):
@@ -99,9 +100,11 @@ def _count(order: int):
                 if size > 2 * FLUSH:
                     grams = [_merged(grams)]
                     size = len(grams[0][0])
-                if size >= 2 * FLUSH or len(words) >= FLUSH:
+                if read >= FLUSH_BYTES:
+                    read = sum(map(len, words))
+                if size >= 2 * FLUSH or len(words) >= FLUSH or read >= FLUSH_BYTES:
                     yield flush()
-                    words, grams, size = Counter(), [], 0
+                    words, grams, size, read = Counter(), [], 0, 0
         if words or grams:
             yield flush()
 
