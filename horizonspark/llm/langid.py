@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from horizonspark.llm.common import text_bytes
 
 UNKNOWN = "und"
-_NO_WORD = re.compile(r"[\W\d_]+")
+_NO_WORD = regex.compile(r"[^\p{L}\p{M}]+")
 PREDICTION = "struct<lang_pred: string, score: double, rejected: boolean>"
 
 
@@ -22,7 +22,7 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
 
 
 def letters(text: bytes) -> bytes:
-    """Lower-cased words with single spaces; empty if there is no letter."""
+    """Lower-cased words (letters and their combining marks) with single spaces; empty if there is no letter."""
     t = _NO_WORD.sub(" ", text.decode("utf-8", "replace").lower())
     return t.encode() if any(map(str.isalpha, t)) else b""
 
@@ -65,8 +65,6 @@ class Coder:
         if not words or not self.by:
             return UNKNOWN, 0.0, True
         parts = [words[i : i + self.block] for i in range(0, len(words), self.block)]
-        # a short block repeated costs little more, but is never too short to be compressed
-        parts = [p * 4 if len(p) < 512 else p for p in parts]
         sizes = sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in self.by.items())
         best, lang = sizes[0]
         second = sizes[1][0] if len(sizes) > 1 else best + len(words)
