@@ -18,11 +18,6 @@ def text_bytes(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")
 
 
-def ascii_lower(col: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def unused(df: DataFrame, name: str) -> str:
     """The name, with underscores added until no column of df is called so."""
     taken = {c.lower() for c in df.columns}
@@ -31,15 +26,36 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner", limit: int = 1_000) -> DataFrame:
+    """rows joined to groups, which has one row for each value of keys and in size how many rows have it.
+
+    Rows of a key with more than limit rows, and more than a thousandth of all, are dealt to several tasks, each of which gets the group. So
+    there are a thousand such keys at most; their hashes are broadcast.
+    """
+    n = groups.agg(F.sum(size)).first()[0] or 0
+    limit = max(limit, -(-n // 1_000))
+    h, parts, part = "_hot_hash", "_hot_parts", "_hot_part"
+    hot = F.broadcast(groups.where(F.col(size) > limit).groupBy(F.xxhash64(*keys).alias(h)).agg(F.max(F.ceil(F.col(size) / limit)).alias(parts)))
+    marked = [df.withColumn(h, F.xxhash64(*keys)).join(hot, h, "left").withColumn(parts, F.coalesce(parts, F.lit(1))) for df in (rows, groups)]
+    dealt = marked[0].withColumn(part, F.pmod(F.monotonically_increasing_id(), F.col(parts))).drop(h, parts)
+    copies = marked[1].withColumn(part, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(parts) - 1))).drop(h, parts)
+    return dealt.join(copies, [*keys, part], how).drop(part)
+
+
 class Scratch:
     """Tables written below the folder named by spark.checkpoint.dir.
 
-    Written tables cut lineage and survive lost executors. Where the setting is
-    unset (tests) a local folder is used.
+    Written tables cut lineage and survive lost executors. Where the setting is unset, a local
+    folder will do as long as the session is local (tests); on a cluster each executor would write to its own disk, so it is an error.
+    The tables stay for the cluster's clean-up, as lazy results still read them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            root = tempfile.gettempdir()
         self.spark, self.root, self.n = spark, f"{root}/{name}-{uuid.uuid4().hex}", 0
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -47,10 +63,3 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a saved table that no later plan reads."""
-        jvm = self.spark._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -58,7 +58,16 @@ def communication_matrix(rows: list[int], shards: list[int], seed: int) -> np.nd
     return out
 
 
-def shard_uniform(docs: DataFrame, n_shards: int, seed: int = 0, rows_per_sort: int = 500_000) -> DataFrame:
+def _bytes(name: str, kind: str):
+    """About what a column adds to a row."""
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(F.col(name)), F.lit(0)) + 8
+    if kind.startswith("array"):
+        return 16 * F.greatest(F.coalesce(F.size(F.col(name)), F.lit(0)), F.lit(0)) + 8
+    return F.lit(16)
+
+
+def shard_uniform(docs: DataFrame, n_shards: int, seed: int = 0, rows_per_sort: int = 500_000, bytes_per_sort: int = 16 << 20) -> DataFrame:
     """All columns of docs plus shard (0 to n_shards - 1) and slot (gapless from 0 in each shard).
 
     Shard sizes differ by one at most. Nulls, empty or long values and repeated
@@ -66,6 +75,7 @@ def shard_uniform(docs: DataFrame, n_shards: int, seed: int = 0, rows_per_sort:
     named shard or slot in docs are replaced. The same input partitions and seed give the
     same result; the drawn keys are written down once, so lost executors cannot change them.
     The matrix has one row of n_shards counts for each partition: it does not grow with texts.
+    A shard is sorted in ranges of about rows_per_sort rows and bytes_per_sort bytes at most, so that no task sorts a whole shard.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
@@ -74,7 +84,9 @@ def shard_uniform(docs: DataFrame, n_shards: int, seed: int = 0, rows_per_sort:
     # local permutation: the row's place after sorting its partition by the drawn key
     placed = drawn.sortWithinPartitions("first").select("row", "second", F.monotonically_increasing_id().alias("at"))
     rows = scratch.save(placed.select("row", "second", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("rank")))
-    counts = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
+    size = sum((_bytes(f"row.`{c}`", t) for c, t in docs.select(*[F.col(f"`{c}`") for c in kept]).dtypes), F.lit(16)).cast("bigint")
+    held = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()
+    counts = sorted((r["part"], r["n"]) for r in held)
     total = sum(n for _, n in counts)
     sizes = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     matrix = communication_matrix([n for _, n in counts], sizes, seed)
@@ -83,8 +95,9 @@ def shard_uniform(docs: DataFrame, n_shards: int, seed: int = 0, rows_per_sort:
     dealt = rows.join(F.broadcast(deal) if len(ends) * n_shards < 2_000_000 else deal, "part").select(
         "row", "second", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard")
     )
-    # second permutation: within a shard by the other drawn key, in ranges so that no task sorts a whole shard
-    ranges = 1 << max(0, math.ceil(math.log2(max(1, (total / n_shards) / rows_per_sort))))
+    # second permutation: within a shard by the other drawn key, in ranges
+    sorts = max(total / n_shards / rows_per_sort, sum(r["bytes"] for r in held) / n_shards / bytes_per_sort)
+    ranges = 1 << max(0, math.ceil(math.log2(max(1, sorts))))
     dealt = dealt.withColumn("range", F.floor(F.col("second") * ranges).cast("int"))
     ranked = dealt.withColumn("in_range", F.row_number().over(Window.partitionBy("shard", "range").orderBy("second")))
     out = [F.col(f"row.`{c}`").alias(c) for c in kept]

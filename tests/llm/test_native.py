@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from horizonspark.llm.chunk_dedup import chunks_of, exact_dedup
+from horizonspark.llm.common import join_hot
 from horizonspark.llm.mixing import mix_sources, poisson_cdf
 from horizonspark.llm.sharding import _hypergeometric, communication_matrix, shard_uniform
 
@@ -53,6 +55,44 @@ def test_edits_move_few_chunks(spark):
     assert a == cut(text) and len(a - b) <= 2
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz  ", "0123456789abcdef", "абвгдежзийклмнопрстуфхцчшщ ", "".join(map(chr, range(0x4E00, 0x9FA5, 7)))])
+def test_insertions_in_text_without_sentences(spark, alphabet):
+    r = random.Random(1)
+    text = "".join(r.choice(alphabet) for _ in range(60_000))
+    other = text[:100] + "x" + text[100:30_000] + "yz" + text[30_000:]
+    df = spark.createDataFrame([(text,), (other,)], "text string").select(chunks_of(F.col("text")).alias("c"))
+    a, b = (r["c"] for r in df.collect())
+    assert "".join(a) == text and "".join(b) == other and len(a) > 60 and len(set(a) - set(b)) <= 6
+
+
+def test_join_hot(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 1).otherwise(F.col("id") % 40).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 7")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, rows.join(groups, "k", how).select("k", "id", "n").collect()), key=repr)
+        assert sorted(map(tuple, join_hot(rows, groups, ["k"], "n", how, limit=100).select("k", "id", "n").collect()), key=repr) == want
+    assert join_hot(rows, groups.limit(0), ["k"], "n", "left").count() == 3000
+
+
+def test_ranges_by_bytes(spark):
+    docs = spark.createDataFrame(rows() * 4, SCHEMA).repartition(5)
+    out = shard_uniform(docs, 3, seed=5, bytes_per_sort=100_000).collect()
+    assert {s: sorted(r["slot"] for r in out if r["shard"] == s) for s in range(3)} == {s: list(range(20)) for s in range(3)}
+
+
+def test_large_rates_and_null_ids(spark):
+    docs = spark.range(4001).select(F.when(F.col("id") < 2000, F.col("id")).alias("doc_id"), F.when(F.col("id") == 0, "rare").otherwise("hot").alias("source"), F.col("id").cast("string").alias("text"))
+    out = mix_sources(docs, {"rare": 1.0, "hot": 1.0})
+    n = collections.Counter(r["source"] for r in out.select("source").collect())
+    assert abs(n["rare"] - 2000) < 300 and abs(n["hot"] - 2000) < 300
+    drawn = collections.Counter(r["text"] for r in out.where("doc_id is null").select("text").collect())
+    assert 600 < len(drawn) < 1000 and max(drawn.values()) > 1  # each by itself: about 0.39 of the 2001 are drawn
+    keys = out.where("doc_id is null").select("shuffle_key", "text")
+    assert keys.select("shuffle_key").distinct().count() == keys.count()
+    cdf = poisson_cdf(500.0)
+    assert abs(cdf[500] - 0.5119) < 1e-3 and abs(cdf[-1] - 1) < 1e-9
+
+
 def test_matrix_has_exact_sums():
     rows, shards = [5, 0, 17, 9, 2], [11, 11, 11]
     m = communication_matrix(rows, shards, 1)
