@@ -4,10 +4,11 @@ Equal shingle sets are one node from the start, so a group of copies costs one
 signature. Nodes that share a band's key are candidates. A bucket is never
 expanded into rows for all its pairs. First each bucket compares its members with its
 smallest one (a star, linear in the bucket). Members that have met in one component need
-no more comparisons; a bucket whose members have not is compared in full:
-a small one as rows, a larger one in blocks of bounded bytes, pair of blocks by
+no more comparisons; a bucket whose members have not is compared on: a small one as rows; in
+a larger one those outside its main component with all members, in blocks of bounded bytes, pair of blocks by
 pair of blocks, where a task emits a link only if it joins two components. So no bucket is capped,
-no link between components is lost to a bucket's size, and what is emitted stays linear.
+no link between components is lost to a bucket's size, and what is emitted stays linear. What is moved and compared grows with
+the product of the members outside the main component and all members.
 
 A pair's signatures are compared batch by batch. After n positions with m
 matches, under a uniform prior on the similarity J, P(J >= t | m, n) is a
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from horizonspark.llm.common import Scratch, text_bytes
+from horizonspark.llm.common import Scratch, join_hot, text_bytes
 from horizonspark.llm.shingles import shingle_sets
 
 #: Up to so many ids are broadcast to pick rows by id (8 bytes each); more are joined by a shuffle.
@@ -125,17 +126,16 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def _blocks(bands: int, rows: int, batch: int, threshold: float, miss: float, num: int, den: int):
-    """Links that join components within one pair of blocks of a bucket."""
+    """Links that join components between the first and the second members of one pair of blocks of a bucket."""
     positions = bands * rows
     steps = [(lo, min(positions, lo + batch), least_matches(min(positions, lo + batch), threshold, miss)) for lo in range(0, positions, batch)]
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        first, second = int(key[1]), int(key[2])
         sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, positions)
         keys = np.array(group["bands"].tolist(), dtype=np.int64).reshape(-1, bands)
         band = int(np.argmax((keys == key[0]).all(axis=0)))
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        comp, block, node = group["comp"].to_numpy(), group["block"].to_numpy(), group["node"].to_numpy()
+        comp, node, first, other = (group[c].to_numpy() for c in ("comp", "node", "first", "other"))
         root = {c: c for c in comp.tolist()}
 
         def find(c: int) -> int:
@@ -144,16 +144,11 @@ def _blocks(bands: int, rows: int, batch: int, threshold: float, miss: float, nu
                 c = root[c]
             return c
 
-        counts = dict(zip(*(v.tolist() for v in np.unique(comp, return_counts=True)), strict=True))
-        main = max(counts, key=counts.get)
         out: list[tuple[int, int]] = []
-        others = np.flatnonzero(comp != main)
-        for n, i in enumerate(others.tolist()):
-            # each pair once: with every member of the main component, and with the later ones of the others
-            with_i = np.concatenate([np.flatnonzero(comp == main), others[n + 1 :]])
-            with_i = with_i[comp[with_i] != comp[i]]
-            if first != second:
-                with_i = with_i[block[with_i] != block[i]]
+        second = np.flatnonzero(~first)
+        for i in np.flatnonzero(first).tolist():
+            # each pair once: with the main component's members, and with those of the others that come later
+            with_i = second[(comp[second] != comp[i]) & (~other[second] | (node[second] > node[i]))]
             # the first band that a pair shares is where it is compared
             if band:
                 with_i = with_i[~(keys[with_i, :band] == keys[i, :band]).any(axis=1)]
@@ -196,18 +191,23 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Minimum over neighbours, then a pointer jump, until nothing changes.
     """
     both = scratch.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
+    labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp"), F.count("*").alias("degree")))
     few = labels.count() <= BROADCAST_IDS
     while True:
-        known = F.broadcast(labels) if few else labels
-        near = both.join(known, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
-        step = near.join(known, "node").select("node", F.least("comp", "low").alias("next"), "comp")
+        if few:
+            known = F.broadcast(labels)
+            ends = both.join(known, both.b == labels.node).select("a", "comp")
+        else:  # a star's centre is the end of many edges
+            known = labels
+            ends = join_hot(both.withColumnRenamed("b", "node"), labels, ["node"], "degree").select("a", "comp")
+        near = ends.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
+        step = near.join(known, "node").select("node", F.least("comp", "low").alias("next"), "comp", "degree")
         jump = known.select(F.col("node").alias("next"), F.col("comp").alias("far"))
-        moved = scratch.save(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("next"), "comp"))
+        moved = scratch.save(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("next"), "comp", "degree"))
         settled = moved.where("next < comp").isEmpty()
-        labels = moved.select("node", F.col("next").alias("comp"))
+        labels = moved.select("node", F.col("next").alias("comp"), "degree")
         if settled:
-            return labels
+            return labels.select("node", "comp")
 
 
 def near_duplicates(
@@ -237,8 +237,8 @@ def near_duplicates(
     classes = scratch.save(real.groupBy("set_key").agg(F.min("doc_id").alias("node")))
     reps = real.join(classes, (real.doc_id == classes.node) & (real.set_key == classes.set_key), "left_semi").withColumnRenamed("doc_id", "node")
     dealt = reps.select("node", F.explode("bands").alias("band"))
-    shared = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("band", "hub")
-    members = scratch.save(dealt.join(shared, "band"))
+    shared = scratch.save(dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
+    members = scratch.save(join_hot(dealt, shared, ["band"], "n").select("band", "node", "hub"))
     nodes = scratch.save(members.select("node").distinct())
     known = scratch.save(reps.join(_small(nodes), "node", "left_semi").dropDuplicates(["node", "set_key"]).select("node", "n_shingles", "sig", "bands"))
     texts = src.withColumnRenamed("doc_id", "node").where(F.col("node").isNotNull())
@@ -252,7 +252,7 @@ def near_duplicates(
     held = members.where("node <> hub").select("band", "node").join(_small(comp), "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
     held = scratch.save(held)
     state = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
-    held = scratch.save(held.join(state, "band"))
+    held = scratch.save(join_hot(held, scratch.save(state), ["band"], "n"))
     few = held.where(F.col("n") <= ROWS)
     left, right = few.select("band", F.col("node").alias("a"), F.col("comp").alias("ca")), few.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"))
     pairs = scratch.save(left.join(right, "band").where("a < b and ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
@@ -287,12 +287,21 @@ def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, scratch: Scr
 def _compared_in_blocks(large: DataFrame, known: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int, bands: int, rows: int, batch: int, miss: float) -> DataFrame:
     """Links between components within the buckets of (band, node, comp), a pair of blocks in a task."""
     sets = _full_sets(large.select("node").distinct(), texts, scratch, k)
-    weighed = large.select("band", "node", "comp").join(known.select("node", F.octet_length("sig").alias("s"), "n_shingles"), "node")
-    blocks = weighed.groupBy("band").agg(F.ceil(F.sum(8 * F.col("n_shingles") + 2 * F.col("s")) / BLOCK_BYTES).cast("int").alias("n_blocks"))
-    rows_of = large.select("band", "node", "comp").join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    # block i meets every block once: as the first of (i, j) for j >= i, as the second for j < i
-    met = rows_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    met = met.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
+    sizes = large.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    main = scratch.save(sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n")).select("band", "n", F.col("m.comp").alias("main")))
+    weighed = join_hot(large.select("band", "node", "comp"), main, ["band"], "n").select("band", "node", "comp", (F.col("comp") != F.col("main")).alias("other"))
+    weighed = scratch.save(weighed.join(known.select("node", (2 * F.octet_length("sig") + 8 * F.col("n_shingles")).alias("size")), "node"))
+    blocks = weighed.groupBy("band").agg(
+        F.count("*").alias("n"),
+        F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("n_all"),
+        F.ceil(F.sum(F.when(F.col("other"), F.col("size")).otherwise(0)) / BLOCK_BYTES).cast("int").alias("n_others"),
+    )
+    rows_of = join_hot(weighed, scratch.save(blocks), ["band"], "n")
+    i, j = F.pmod(F.xxhash64("node"), F.col("n_others")).cast("int"), F.pmod(F.xxhash64("node"), F.col("n_all")).cast("int")
+    firsts = rows_of.where("other").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1))).withColumn("first", F.lit(True))
+    seconds = rows_of.withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_others") - 1))).withColumn("first", F.lit(False))
+    columns = ["band", "i", "j", "node", "comp", "other", "first"]
+    met = firsts.select(columns).unionByName(seconds.select(columns))
     full = met.join(known.select("node", "sig", "bands"), "node").join(sets, "node")
     found = full.groupBy("band", "i", "j").applyInPandas(_blocks(bands, rows, batch, percent / 100, miss, percent, 100), "a bigint, b bigint")
     return scratch.save(found.distinct())
