@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
 and read again as the next stage's docs. run() applies all of them to documents.
 SQL cannot express the compression, signature and embedding stages, so ORACLE_SQL is
-None; the stages are tested against brute-force versions.
+None; the stages are tested against brute-force versions. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -23,10 +23,15 @@ MIX_WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what language ID rejects: texts without letters, and near ties between languages."""
+    """Drops what language ID rejects (null and empty texts and others without letters, and near ties between languages); gives rows without a lang the predicted one.
+
+    Rows are judged one by one by their text, whatever their ids: repeated rows share their fate. With no labelled
+    row to learn from, or none at all, nothing stays.
+    """
     learned = learn_dictionaries(docs)
     p = unused(docs, "_p")
-    return docs.withColumn(p, identify(docs, learned)).where(~F.col(p)["rejected"]).drop(p)
+    told = docs.withColumn(p, identify(docs, learned)).where(~F.col(p)["rejected"])
+    return told.withColumn("lang", F.coalesce("lang", F.col(p)["lang_pred"])).drop(p)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,17 +46,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item. Null and empty texts hold none; rows with null or repeated ids are judged by their own text."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents so that the sources' shares follow MIX_WEIGHTS; rows in shuffled order."""
+    """Repeats documents so that the sources' shares follow MIX_WEIGHTS; rows in shuffled order. Rows of a null or other source stay once; texts play no part; see mix_sources for null ids."""
     return mix_sources(docs, MIX_WEIGHTS, seed="mix").select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds shard and slot: a uniform shuffle into shards of equal size."""
+    """Adds shard and slot: a uniform shuffle into shards of equal size. Every row is dealt, whatever its values; an empty table gives an empty one."""
     return shard_uniform(docs, N_SHARDS, seed=3)
 
 
