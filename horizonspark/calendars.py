@@ -69,6 +69,13 @@ def storm_days(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(dt.date.fromisoformat(d), n, s) for d, n, s in STORMS], "date date, typhoon_name string, highest_signal int")
 
 
+def weekdays_around(daily: DataFrame) -> DataFrame:
+    """The default calendar from a month before the first date of daily to two after the last."""
+    a, b = daily.agg(F.min("date"), F.max("date")).first()
+    a, b = (a, b) if a else (dt.date(2024, 1, 1),) * 2
+    return weekday_calendar(daily.sparkSession, str(a - dt.timedelta(days=31)), str(b + dt.timedelta(days=64)))
+
+
 def weekday_calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
     """The default workday calendar, Monday to Friday; a real one is an input table of the same shape."""
     days = spark.sql(f"SELECT explode(sequence(date'{first}', date'{last}')) AS date")

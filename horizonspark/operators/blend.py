@@ -40,7 +40,7 @@ def median_blend(long: DataFrame, keys: list[str] = KEY) -> DataFrame:
 
 def impute_mean(long: DataFrame) -> DataFrame:
     means = long.groupBy("series_id", "model").agg(F.avg("pred").alias("_m"))
-    return long.join(F.broadcast(means), ["series_id", "model"]).withColumn("pred", F.coalesce("pred", "_m")).drop("_m")
+    return long.join(means, ["series_id", "model"]).withColumn("pred", F.coalesce("pred", "_m")).drop("_m")
 
 
 def model_scores(long: DataFrame, keys: list[str], score: Column | None = None) -> DataFrame:
@@ -65,18 +65,18 @@ def selection_blend(long: DataFrame, table: DataFrame, cell: list[str], keys: li
 def inverse_mape_blend(long: DataFrame, scores: DataFrame, power: int = 4, keys: list[str] = KEY) -> DataFrame:
     """Weights mape ^ -power of each series' models, among the models that have a prediction."""
     w = scores.select("series_id", "model", F.pow(1 / F.nullif(F.col("mape"), F.lit(0.0)), F.lit(power)).alias("w"))
-    joined = long.join(F.broadcast(w), ["series_id", "model"]).where("pred is not null and w is not null")
+    joined = long.join(w, ["series_id", "model"]).where("pred is not null and w is not null")
     return joined.groupBy(*keys).agg((F.sum(F.col("pred") * F.col("w")) / F.sum("w")).alias("blend"))
 
 
-def yoy_growth(daily: DataFrame, before: str, windows: tuple[int, ...] = GROWTH_WINDOWS) -> DataFrame:
-    """(series_id, window, growth): mean of the last `window` days before a date over that of the same days a year earlier; 1 where unknown.
+def yoy_growth(daily: DataFrame, before: str | None = None, windows: tuple[int, ...] = GROWTH_WINDOWS) -> DataFrame:
+    """(series_id, window, growth): mean of the last `window` days (before a date) over that of the same days a year earlier; 1 where unknown.
 
     Both windows leave out their oldest end and hold their newest.
     """
-    past = daily.where(F.col("date") < F.lit(before).cast("date"))
+    past = daily.where(F.col("date") < F.lit(before).cast("date")) if before else daily
     ends = past.groupBy("series_id").agg(F.max("date").alias("end"))
-    j = past.join(F.broadcast(ends), "series_id")
+    j = past.join(ends, "series_id")
     aggs = []
     for w in windows:
         new = (F.col("date") > F.date_sub("end", w)) & (F.col("date") <= F.col("end"))
@@ -93,7 +93,7 @@ def anchor_calibration(rows: DataFrame, growth: DataFrame, influence: DataFrame,
     fewer than `least` rows is left out; a series without any cell is not in the result (its alpha is 0). The 252 cells are
     an expansion of the masked rows, aggregated at once.
     """
-    masked = rows.join(F.broadcast(influence), "target_date").join(F.broadcast(growth), "series_id")
+    masked = rows.join(F.broadcast(influence), "target_date").join(growth, "series_id")
     cells = masked.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(ALPHAS - 1)))).withColumn("alpha", F.col("step") / (ALPHAS - 1))
     anchor = F.col("lag_365") * F.col("growth")
     p = F.when(anchor.isNotNull(), (1 - F.col("alpha")) * F.col("blend") + F.col("alpha") * anchor).otherwise(F.col("blend"))

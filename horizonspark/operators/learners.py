@@ -47,8 +47,8 @@ class Bins:
         return out
 
 
-def grow(bins: np.ndarray, n_bins: int, g: np.ndarray, h: np.ndarray, cols: np.ndarray, depth: int, leaf: int, l2: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Splits by level: (feature, last bin that goes left) for each node of the level."""
+def grow(bins: np.ndarray, n_bins: int, g: np.ndarray, h: np.ndarray, cols: np.ndarray, depth: int, leaf: int, l2: float, gains: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Splits by level: (feature, last bin that goes left) for each node of the level. The splits' gains are added to gains, by feature."""
     node = np.zeros(len(bins), dtype=np.int64)
     levels = []
     offset = np.arange(len(cols)) * n_bins
@@ -72,6 +72,8 @@ def grow(bins: np.ndarray, n_bins: int, g: np.ndarray, h: np.ndarray, cols: np.n
         split = gain[np.arange(len(live)), best] > 1e-12
         feature, cut = np.zeros(1 << d, dtype=np.int64), np.full(1 << d, n_bins)
         feature[live], cut[live] = cols[best // (n_bins - 1)], np.where(split, best % (n_bins - 1), n_bins)
+        if gains is not None:
+            np.add.at(gains, feature[live][split], gain[np.arange(len(live)), best][split])
         levels.append((feature, cut))
         node = 2 * node + (bins[np.arange(len(bins)), feature[node]] > cut[node])
     return levels
@@ -93,8 +95,8 @@ def _medians(group: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return np.where(size > 0, (x[lo] + x[hi]) / 2, 0.0)
 
 
-def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, tests: list[np.ndarray], rounds: int, rate: float, depth: int, leaf: int, l2: float, rows: float, cols: float, loss: str, seed: int) -> list[np.ndarray]:
-    """Predictions for each of the test matrices."""
+def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, tests: list[np.ndarray], rounds: int, rate: float, depth: int, leaf: int, l2: float, rows: float, cols: float, loss: str, seed: int, gains: np.ndarray | None = None) -> list[np.ndarray]:
+    """Predictions for each of the test matrices; gains collects the features' importances."""
     rng = np.random.default_rng(seed)
     scale = Bins(x)
     b, t = scale.of(x), [scale.of(z) for z in tests]
@@ -105,7 +107,7 @@ def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, tests: list[np.ndarray],
         kept = np.sort(rng.permutation(x.shape[1])[: max(1, int(cols * x.shape[1]))]) if cols < 1 else np.arange(x.shape[1])
         r = y - p
         g = (r if loss == "squared" else np.sign(r)) * w
-        levels = grow(b[some], scale.n, g[some], w[some], kept, depth, leaf, l2)
+        levels = grow(b[some], scale.n, g[some], w[some], kept, depth, leaf, l2, gains)
         at = leaf_of(levels, b)
         if loss == "squared":
             value = np.bincount(at[some], g[some], 1 << depth) / (np.bincount(at[some], w[some], 1 << depth) + l2)
@@ -217,6 +219,20 @@ def per_horizon(matrix: DataFrame, features: list[str], train_to: str | None, le
     return rows.groupBy("series_id", "horizon").applyInPandas(run, PREDICTIONS)
 
 
+def importances(matrix: DataFrame, features: list[str], model: str = "lgbm_l2", **changes) -> DataFrame:
+    """(feature, horizon, importance): summed gains of the model's splits, in each series' and horizon's model of all known targets."""
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g[g["y"].notna()].sort_values("target_date")
+        gains = np.zeros(len(features))
+        if len(g) >= LEAST_ROWS:
+            boost(g[features].to_numpy(float), g["y"].to_numpy(float), g["weight"].to_numpy(float), [], **PARAMS[model] | changes, gains=gains)
+        return pd.DataFrame({"feature": features, "horizon": np.int32(key[1]), "importance": gains})
+
+    rows = matrix.select("series_id", "target_date", "horizon", "y", "weight", *[F.col(f).cast("double").alias(f) for f in features])
+    return rows.groupBy("series_id", "horizon").applyInPandas(run, "feature string, horizon int, importance double")
+
+
 def simplex_weights(p: np.ndarray, y: np.ndarray, starts: int | None = None) -> np.ndarray:
     """Weights (non-negative, adding up to 1) of the columns of p with the least mape: moves of weight between pairs from several starts."""
     n = p.shape[1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from horizonspark.operators.history import day_spine
@@ -34,9 +34,10 @@ def holdout_split(daily: DataFrame, n: int) -> DataFrame:
     return daily.select("*", (_from_last() <= n).alias("in_holdout"))
 
 
-def train_split(matrix: DataFrame, last: str) -> DataFrame:
+def train_split(matrix: DataFrame, last: str | Column) -> DataFrame:
     """Rows to train on: known targets up to `last`."""
-    return matrix.where((F.col("target_date") <= F.lit(last).cast("date")) & F.col("y").isNotNull())
+    last = F.lit(last).cast("date") if isinstance(last, str) else last
+    return matrix.where((F.col("target_date") <= last) & F.col("y").isNotNull())
 
 
 def coverage(daily: DataFrame) -> DataFrame:

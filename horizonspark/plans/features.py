@@ -26,8 +26,8 @@ def _round(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*[c if c in keys or t != "double" else rounded(F.col(c)).alias(c) for c, t in df.dtypes])
 
 
-def _workdays(spark: SparkSession) -> DataFrame:
-    return calendars.weekday_calendar(spark, *S.WORKDAY_RANGE)
+def _workdays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendars.weekdays_around(tables.daily_series(spark, sf_dir))
 
 
 def daily_series(spark, sf_dir):
@@ -61,8 +61,9 @@ def holdout_split(spark, sf_dir):
 def train_split(spark, sf_dir):
     from horizonspark.operators.series import train_split as split
 
-    m = hist.horizon_matrix(tables.daily_series(spark, sf_dir))
-    return split(m, "2026-04-30").groupBy("series_id", "horizon").agg(F.count("*").alias("n_rows"), F.min("target_date").alias("first_date"), F.max("target_date").alias("last_date"))
+    d = tables.daily_series(spark, sf_dir)
+    m = hist.horizon_matrix(d)
+    return split(m, F.date_sub(F.lit(d.agg(F.max("date").alias("last")).first()["last"]).cast("date"), S.AHEAD)).groupBy("series_id", "horizon").agg(F.count("*").alias("n_rows"), F.min("target_date").alias("first_date"), F.max("target_date").alias("last_date"))
 
 
 def horizon_matrix(spark, sf_dir):
@@ -94,7 +95,7 @@ def holiday_membership(spark, sf_dir):
 
 
 def workday_blocks(spark, sf_dir):
-    blocks = cal.workday_blocks(_workdays(spark))
+    blocks = cal.workday_blocks(_workdays(spark, sf_dir))
     return _round(blocks.join(_dates(spark, sf_dir), F.col("date") == F.col("target_date"), "left_semi"), [])
 
 
@@ -152,14 +153,14 @@ def yoy_ratio(spark, sf_dir):
 
 def same_holiday_last_year(spark, sf_dir):
     d = tables.daily_series(spark, sf_dir)
-    return hist.same_holiday_last_year(d.select("series_id", F.col("date").alias("target_date")), d, _workdays(spark))
+    return hist.same_holiday_last_year(d.select("series_id", F.col("date").alias("target_date")), d, _workdays(spark, sf_dir))
 
 
 def interaction_features(spark, sf_dir):
     from horizonspark.plans.matrix import feature_matrix
 
     d = tables.daily_series(spark, sf_dir)
-    m = feature_matrix(spark, d, _workdays(spark))
+    m = feature_matrix(spark, d, _workdays(spark, sf_dir))
     names = list(hist.interaction_columns(m.columns))
     return _round(m.select(*KEY, *names), KEY)
 
@@ -174,7 +175,7 @@ def sample_weights(spark, sf_dir):
 
 def cross_holiday_expected(spark, sf_dir):
     d = tables.daily_series(spark, sf_dir)
-    return hist.cross_holiday_expected(hist.horizon_matrix(d), d, cal.workday_blocks(_workdays(spark))).select(*KEY, rounded(F.col("expected_demand_at_block_pos")).alias("expected_demand_at_block_pos"))
+    return hist.cross_holiday_expected(hist.horizon_matrix(d), d, cal.workday_blocks(_workdays(spark, sf_dir))).select(*KEY, rounded(F.col("expected_demand_at_block_pos")).alias("expected_demand_at_block_pos"))
 
 
 def ratio_baseline(spark, sf_dir):
@@ -263,9 +264,10 @@ def _ewma(span: int) -> str:
 
 
 def _dow4(shift: int) -> str:
-    return f"""SELECT g.series_id, g.target_date, g.horizon, avg(v) AS m, count(*) AS n FROM (
-        SELECT g.series_id, g.target_date, g.horizon, d.demand AS v, row_number() OVER (PARTITION BY g.series_id, g.target_date, g.horizon ORDER BY k) AS rn
-        FROM grid g, range(1, 13) t(k), daily d WHERE 7 * k >= g.horizon + 1 AND d.series_id = g.series_id AND d.date = g.target_date - {shift} - 7 * k::INT) g WHERE rn <= 4 GROUP BY ALL"""
+    """The four newest same-weekday values of each target date, from the first safe week on."""
+    return f"""SELECT series_id, target_date, first_week, avg(v) AS m, count(*) AS n FROM (
+        SELECT w.series_id, w.target_date, first_week, d.demand AS v, row_number() OVER (PARTITION BY w.series_id, w.target_date, first_week ORDER BY k) AS rn
+        FROM weeks w JOIN daily d ON d.series_id = w.series_id AND d.date = w.target_date - {shift} - 7 * w.k WHERE k >= first_week) WHERE rn <= 4 GROUP BY ALL"""
 
 
 _GROWTH_OK = f"{S.window('count(demand)', 28)} >= 14 AND {S.window('count(demand)', 28, 56)} >= 14 AND {S.window('avg(demand)', 28, 56)} > 0"
@@ -302,7 +304,7 @@ SQL = {
         SELECT * FROM s EXCEPT SELECT series_id, date FROM daily""",
     "trailing_actuals": _D + "SELECT series_id, date, demand FROM daily QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY date DESC) <= 60",
     "holdout_split": _D + "SELECT series_id, date, demand, floortables, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) <= 28 AS in_holdout FROM daily",
-    "train_split": _G + "SELECT series_id, horizon, count(*) AS n_rows, min(target_date) AS first_date, max(target_date) AS last_date FROM grid WHERE target_date <= DATE '2026-04-30' AND y IS NOT NULL GROUP BY ALL",
+    "train_split": _G + "SELECT series_id, horizon, count(*) AS n_rows, min(target_date) AS first_date, max(target_date) AS last_date FROM grid WHERE target_date <= (SELECT max(date) - 28 FROM daily) AND y IS NOT NULL GROUP BY ALL",
     "horizon_matrix": _G + "SELECT * FROM grid",
     "calendar_features": _T + f"""SELECT target_date, {_SQL_CAL[0]} AS dow, {_SQL_CAL[1]} AS day, {_SQL_CAL[2]} AS week_of_month, {_SQL_CAL[3]} AS month, {_SQL_CAL[4]} AS quarter, {_SQL_CAL[5]} AS year, {_SQL_CAL[6]} AS day_of_year,
         (isodow(target_date) > 5)::INT AS is_weekend, (isodow(target_date) = 5)::INT AS is_friday, (isodow(target_date) = 6)::INT AS is_saturday, (isodow(target_date) = 7)::INT AS is_sunday,
@@ -324,8 +326,12 @@ SQL = {
     "typhoon_flag": S.with_(S.DAILY, S.DATES, S.STORMS) + "SELECT target_date, (EXISTS (SELECT 1 FROM storms WHERE date = target_date AND highest_signal >= 8))::INT AS is_typhoon_t8plus FROM dates",
     "lag_features": _G + f"SELECT {_K}, " + S.lag_selects() + " FROM grid g " + S.lag_joins(),
     "lag_anchor_features": _G + f"SELECT {_K}, " + ", ".join(f"a{n}.demand AS lag_anchor_{n}" for n in hist.ANCHOR_LAGS) + " FROM grid g " + S.anchor_joins(),
-    "same_dow_features": _G + f"SELECT {_K}, round({_same_dow(4)}, 6) AS same_dow_mean_4w, round({_same_dow(8)}, 6) AS same_dow_mean_8w FROM grid g",
-    "yoy_growth_dow": _G + f", a AS ({_dow4(0)}), o AS ({_dow4(365)}) SELECT {_K}, round(CASE WHEN a.n >= 2 AND o.n >= 2 AND o.m > 0 THEN a.m / o.m END, 6) AS yoy_growth_same_dow FROM grid g LEFT JOIN a USING (series_id, target_date, horizon) LEFT JOIN o USING (series_id, target_date, horizon)",
+    "same_dow_features": _G + f""", weeks AS (SELECT series_id, date AS target_date, f::INT AS first_week, k::INT AS k FROM daily, range(1, 6) a(f), range(1, 9) b(k)),
+        s AS (SELECT w.series_id, w.target_date, first_week, avg(CASE WHEN k <= 4 THEN demand END) AS m4, avg(demand) AS m8 FROM weeks w JOIN daily d ON d.series_id = w.series_id AND d.date = w.target_date - 7 * w.k WHERE k >= first_week GROUP BY ALL)
+        SELECT {_K}, round(m4, 6) AS same_dow_mean_4w, round(m8, 6) AS same_dow_mean_8w FROM (SELECT *, (horizon + 7) // 7 AS first_week FROM grid) g LEFT JOIN s ON s.series_id = g.series_id AND s.target_date = g.target_date AND s.first_week = g.first_week""",
+    "yoy_growth_dow": _G + f""", weeks AS (SELECT series_id, date AS target_date, f::INT AS first_week, k::INT AS k FROM daily, range(1, 6) a(f), range(1, 13) b(k)), a AS ({_dow4(0)}), o AS ({_dow4(365)})
+        SELECT {_K}, round(CASE WHEN a.n >= 2 AND o.n >= 2 AND o.m > 0 THEN a.m / o.m END, 6) AS yoy_growth_same_dow FROM (SELECT *, (horizon + 7) // 7 AS first_week FROM grid) g
+        LEFT JOIN a ON a.series_id = g.series_id AND a.target_date = g.target_date AND a.first_week = g.first_week LEFT JOIN o ON o.series_id = g.series_id AND o.target_date = g.target_date AND o.first_week = g.first_week""",
     "rolling_features": _based_sql(_rolling_sql()),
     "ewma_features": _based_sql({f"ewma_{s}": _ewma(s) for s in hist.SPANS}),
     "trend_slope": _based_sql({f"trend_slope_{w}d": S.window(f"CASE WHEN count(demand) >= {n} THEN regr_slope(demand, (date - DATE '2024-01-01')::DOUBLE) END", w) for w, n in ((90, 30), (180, 60))}),
@@ -340,10 +346,11 @@ SQL = {
     "sample_weights": S.with_(S.DAILY, S.GRID, S.ANCHORS, S.STORMS) + f"""SELECT {_K}, round(pow(0.5, (max(target_date) OVER (PARTITION BY series_id, horizon) - target_date) / 240.0)
         * CASE WHEN EXISTS (SELECT 1 FROM anchors WHERE target_date BETWEEN anchor + ws AND anchor + we) OR EXISTS (SELECT 1 FROM storms WHERE date = target_date AND highest_signal >= 8) THEN 3.0 ELSE 1.0 END, 6) AS weight FROM grid g""",
     "cross_holiday_expected": S.with_(S.DAILY, S.GRID, S.WORKDAYS, _BLOCKS) + f""", p AS (SELECT date, i FROM blk WHERE n >= 2),
-        m AS (SELECT {_K}, d.demand, row_number() OVER (PARTITION BY g.series_id, g.target_date, g.horizon ORDER BY d.date DESC) AS rn
-              FROM grid g JOIN p ON p.date = g.target_date JOIN p q ON q.i = p.i AND q.date <= g.base_date AND q.date >= g.base_date - 798 JOIN daily d ON d.series_id = g.series_id AND d.date = q.date),
-        a AS (SELECT series_id, target_date, horizon, avg(demand) AS e FROM m WHERE rn <= 5 GROUP BY ALL)
-        SELECT {_K}, round(a.e, 6) AS expected_demand_at_block_pos FROM grid g LEFT JOIN a USING (series_id, target_date, horizon)""",
+        q AS (SELECT DISTINCT g.series_id, p.i, g.base_date FROM grid g JOIN p ON p.date = g.target_date), seen AS (SELECT d.series_id, p.i, d.date, d.demand FROM daily d JOIN p USING (date)),
+        m AS (SELECT q.*, s.demand, row_number() OVER (PARTITION BY q.series_id, q.i, q.base_date ORDER BY s.date DESC) AS rn
+              FROM q JOIN seen s ON s.series_id = q.series_id AND s.i = q.i AND s.date BETWEEN q.base_date - 798 AND q.base_date),
+        a AS (SELECT series_id, i, base_date, avg(demand) AS e FROM m WHERE rn <= 5 GROUP BY ALL)
+        SELECT {_K}, round(a.e, 6) AS expected_demand_at_block_pos FROM grid g LEFT JOIN p ON p.date = g.target_date LEFT JOIN a ON a.series_id = g.series_id AND a.i = p.i AND a.base_date = g.base_date""",
     "ratio_baseline": _B + f", f AS (SELECT b.series_id, b.base_date, {S.window('avg(demand)', 28)} AS r28, {S.window('avg(demand)', 7)} AS r7 FROM bases b) SELECT {_K}, round(coalesce({_same_dow(4)}, r28, r7), 6) AS baseline FROM grid g JOIN f ON f.series_id = g.series_id AND f.base_date = g.base_date",
     "reservation_snapshot": S.with_(S.STAYS, S.SNAPS) + "SELECT * FROM snaps",
     "reservation_dedup": S.with_(S.STAYS) + "SELECT * FROM stays QUALIFY row_number() OVER (PARTITION BY update_date, inhouse_date ORDER BY seq DESC) = 1",

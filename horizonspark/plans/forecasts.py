@@ -16,22 +16,28 @@ from horizonspark.plans.features import _ewma
 from horizonspark.sources import tables
 
 KEY = B.KEY
-FROM, VALIDATE_TO, SCHEDULE_FROM = "2025-06-01", "2026-04-30", "2026-05-01"
 CELL = ["series_id", "dow", "horizon"]
 
 
-def day(x: str):
-    return F.lit(x).cast("date")
+def _with_last(rows: DataFrame, spark, sf_dir) -> DataFrame:
+    """rows with each series' newest date."""
+    return rows.join(tables.daily_series(spark, sf_dir).groupBy("series_id").agg(F.max("date").alias("last")), "series_id")
 
 
-def wide(spark, sf_dir, whole: bool = False) -> DataFrame:
-    """Simple forecasts under the pool's names: series_id, target_date, horizon, dow, y, lag_365, is_hol and a column for each model.
+def ahead(rows: DataFrame, spark, sf_dir, date: str = "target_date") -> DataFrame:
+    """Rows of each series' newest days, which are forecast."""
+    return _with_last(rows, spark, sf_dir).where(F.col(date) > F.date_sub("last", S.AHEAD)).drop("last")
 
-    whole takes all of orders and all target dates; otherwise they are cut as the SQL cuts them.
-    """
-    d = tables.daily_series(spark, sf_dir, None, None) if whole else tables.daily_series(spark, sf_dir)
+
+def before(rows: DataFrame, spark, sf_dir, date: str = "target_date") -> DataFrame:
+    """Rows before each series' newest days."""
+    return _with_last(rows, spark, sf_dir).where(F.col(date) <= F.date_sub("last", S.AHEAD)).drop("last")
+
+
+def wide(spark, sf_dir) -> DataFrame:
+    """Simple forecasts under the pool's names: series_id, target_date, horizon, dow, y, lag_365, is_hol and a column for each model."""
+    d = tables.daily_series(spark, sf_dir)
     m = hist.horizon_matrix(d)
-    m = m if whole else m.where(F.col("target_date") >= day(FROM))
     columns = {k: v for k, v in (hist.rolling_columns([7, 28]) | hist.ewma_columns([7])).items() if k in ("rolling_mean_7", "rolling_mean_28", "ewma_7")}
     m = hist.with_base(hist.with_past(m, hist.offset_map(d)), hist.base_features(d, columns))
     m = cal.holiday_membership(m, calendars.holiday_anchors(spark))
@@ -48,7 +54,8 @@ def long(spark, sf_dir) -> DataFrame:
 
 
 def validation(spark, sf_dir) -> DataFrame:
-    return long(spark, sf_dir).where(F.col("target_date") <= day(VALIDATE_TO))
+    """The days before the schedule that models are chosen by."""
+    return before(long(spark, sf_dir), spark, sf_dir)
 
 
 def wide_predictions(spark, sf_dir):
@@ -59,7 +66,7 @@ def natural_schedule(spark, sf_dir):
     from horizonspark.operators.runs import natural_schedule as schedule
 
     d = tables.daily_series(spark, sf_dir)
-    return schedule(d.where(F.col("date") >= day(SCHEDULE_FROM)).select("series_id", F.col("date").alias("target_date")))
+    return schedule(ahead(d, spark, sf_dir, "date").select("series_id", F.col("date").alias("target_date")))
 
 
 def predict_targets(spark, sf_dir):
@@ -112,7 +119,7 @@ def winner_frequency(spark, sf_dir):
 
 
 def yoy_growth(spark, sf_dir):
-    return B.yoy_growth(tables.daily_series(spark, sf_dir), SCHEDULE_FROM).select("series_id", "window", rounded(F.col("growth")).alias("growth"))
+    return B.yoy_growth(before(tables.daily_series(spark, sf_dir), spark, sf_dir, date="date")).select("series_id", "window", rounded(F.col("growth")).alias("growth"))
 
 
 def _influence(spark, dates):
@@ -131,7 +138,7 @@ def influence_mask(spark, sf_dir):
 def _calibrated(spark, sf_dir):
     d = tables.daily_series(spark, sf_dir)
     rows = B.equal_blend(validation(spark, sf_dir), [*KEY, "dow", "y", "lag_365", "is_hol"])
-    return B.anchor_calibration(rows, B.yoy_growth(d, FROM), _influence(spark, d.select(F.col("date").alias("target_date")).distinct()))
+    return B.anchor_calibration(rows, B.yoy_growth(before(d, spark, sf_dir, "date")), _influence(spark, d.select(F.col("date").alias("target_date")).distinct()))
 
 
 def anchor_calibration(spark, sf_dir):
@@ -140,17 +147,17 @@ def anchor_calibration(spark, sf_dir):
 
 def anchor_apply(spark, sf_dir):
     d = tables.daily_series(spark, sf_dir)
-    rows = B.equal_blend(long(spark, sf_dir).where(F.col("target_date") >= day(SCHEDULE_FROM)), [*KEY, "dow", "y", "lag_365", "is_hol"])
-    growth = B.yoy_growth(d, SCHEDULE_FROM).where("window = 28").select("series_id", "growth")
-    marked = cal.influence_mask(rows, calendars.holiday_anchors(spark), 1).join(F.broadcast(growth), "series_id")
+    rows = B.equal_blend(long(spark, sf_dir), [*KEY, "dow", "y", "lag_365", "is_hol"])
+    growth = B.yoy_growth(before(d, spark, sf_dir, date="date")).where("window = 28").select("series_id", "growth")
+    marked = cal.influence_mask(rows, calendars.holiday_anchors(spark), 1).join(growth, "series_id")
     return B.anchor_apply(marked, F.col("in_influence"), F.lit(0.25), F.col("growth")).select(*KEY, rounded(F.col("blend")).alias("blend"))
 
 
 def anchor_apply_hol(spark, sf_dir):
     d = tables.daily_series(spark, sf_dir)
-    rows = B.equal_blend(long(spark, sf_dir).where(F.col("target_date") >= day(SCHEDULE_FROM)), [*KEY, "dow", "y", "lag_365", "is_hol"])
-    growth = B.yoy_growth(d, SCHEDULE_FROM).where("window = 28").select("series_id", "growth")
-    return B.anchor_apply(rows.join(F.broadcast(growth), "series_id"), F.col("is_hol") == 1, F.lit(0.25), F.col("growth")).select(*KEY, rounded(F.col("blend")).alias("blend"))
+    rows = B.equal_blend(long(spark, sf_dir), [*KEY, "dow", "y", "lag_365", "is_hol"])
+    growth = B.yoy_growth(before(d, spark, sf_dir, date="date")).where("window = 28").select("series_id", "growth")
+    return B.anchor_apply(rows.join(growth, "series_id"), F.col("is_hol") == 1, F.lit(0.25), F.col("growth")).select(*KEY, rounded(F.col("blend")).alias("blend"))
 
 
 def _equal(spark, sf_dir):
@@ -202,13 +209,13 @@ def _model(spark, sf_dir):
 
 
 def residual_quantiles(spark, sf_dir):
-    rows = _model(spark, sf_dir).where(F.col("target_date") <= day(VALIDATE_TO))
+    rows = before(_model(spark, sf_dir), spark, sf_dir)
     return _metrics(M.residual_quantiles(rows, ["series_id", "horizon"]))
 
 
 def _intervals(spark, sf_dir, both_sides=True):
     rows = _model(spark, sf_dir)
-    q = M.residual_quantiles(rows.where(F.col("target_date") <= day(VALIDATE_TO)), ["series_id", "horizon"])
+    q = M.residual_quantiles(before(rows, spark, sf_dir), ["series_id", "horizon"])
     return M.intervals(rows.join(natural_schedule(spark, sf_dir), KEY), q, ["series_id", "horizon"], both_sides)
 
 
@@ -234,19 +241,19 @@ QUERIES = {
 }
 
 _M = ", ".join(f"round({m}, 6) AS {m}" for m in B.MODELS)
-_WIDE = f"""f AS (SELECT b.series_id, b.base_date, {S.window("avg(demand)", 28)} AS r28, {S.window("avg(demand)", 7)} AS r7, {_ewma(7)} AS e7
-  FROM (SELECT DISTINCT series_id, base_date FROM grid WHERE target_date >= DATE '{FROM}') b),
+_WIDE = f"""{S.ENDS},
+f AS (SELECT b.series_id, b.base_date, {S.window("avg(demand)", 28)} AS r28, {S.window("avg(demand)", 7)} AS r7, {_ewma(7)} AS e7
+  FROM (SELECT DISTINCT series_id, base_date FROM grid) b),
 s4 AS (SELECT g.series_id, g.target_date, g.horizon, avg(d.demand) AS s4 FROM grid g, range(1, 5) t(k), daily d
   WHERE d.series_id = g.series_id AND d.date = g.target_date - 7 * k::INT AND 7 * k >= g.horizon + 1 GROUP BY ALL),
 wide AS (SELECT g.series_id, g.target_date, g.horizon, (isodow(g.target_date) - 1)::INT AS dow, g.y, l.demand AS lag_365,
     (EXISTS (SELECT 1 FROM anchors WHERE g.target_date BETWEEN anchor + ws AND anchor + we))::INT AS is_hol,
     a.demand AS lgbm_l2, r28 AS lgbm_q, s4 AS xgb, e7 AS cat, r7 AS lgbm_bag, (a.demand + r28) / 2 AS v3_2stage
   FROM grid g JOIN f ON f.series_id = g.series_id AND f.base_date = g.base_date LEFT JOIN s4 ON s4.series_id = g.series_id AND s4.target_date = g.target_date AND s4.horizon = g.horizon
-  LEFT JOIN daily a ON a.series_id = g.series_id AND a.date = g.target_date - greatest(7, g.horizon + 1) LEFT JOIN daily l ON l.series_id = g.series_id AND l.date = g.target_date - 365
-  WHERE g.target_date >= DATE '{FROM}'),
+  LEFT JOIN daily a ON a.series_id = g.series_id AND a.date = g.target_date - greatest(7, g.horizon + 1) LEFT JOIN daily l ON l.series_id = g.series_id AND l.date = g.target_date - 365),
 long AS (SELECT series_id, target_date, horizon, dow, y, lag_365, is_hol, m.model, m.pred, m.pool_ord FROM wide, LATERAL (VALUES {", ".join(f"('{m}', {m}, {i})" for i, m in enumerate(B.MODELS))}) m(model, pred, pool_ord)),
-val AS (SELECT * FROM long WHERE target_date <= DATE '{VALIDATE_TO}'),
-sched AS (SELECT series_id, date AS target_date, row_number() OVER (PARTITION BY series_id ORDER BY date)::INT AS horizon FROM daily WHERE date >= DATE '{SCHEDULE_FROM}'),
+val AS (SELECT long.* FROM long JOIN ends USING (series_id) WHERE target_date <= last - {S.AHEAD}),
+sched AS (SELECT series_id, date AS target_date, row_number() OVER (PARTITION BY series_id ORDER BY date)::INT AS horizon FROM daily JOIN ends USING (series_id) WHERE date > last - {S.AHEAD}),
 equal AS (SELECT series_id, target_date, horizon, dow, y, lag_365, is_hol, avg(pred) AS blend FROM long GROUP BY ALL)"""
 _MAPE = "avg(CASE WHEN y > 0 AND pred IS NOT NULL THEN abs(y - pred) / y END)"
 _SCORES = f"scores AS (SELECT series_id, dow, horizon, model, pool_ord, round({_MAPE}, 9) AS mape, count(*) AS n FROM val GROUP BY ALL)"
@@ -254,10 +261,10 @@ _TABLE = "ranked AS (SELECT *, row_number() OVER (PARTITION BY series_id, dow, h
 _W = S.with_(S.DAILY, S.GRID, S.ANCHORS, _WIDE)
 
 
-def _growth(before: str, windows=B.GROWTH_WINDOWS) -> str:
+def _growth(windows=B.GROWTH_WINDOWS) -> str:
     one = lambda w: f"""SELECT series_id, {w} AS "window", coalesce(CASE WHEN avg(CASE WHEN date > e - {365 + w} AND date <= e - 365 THEN demand END) > 0
         THEN avg(CASE WHEN date > e - {w} THEN demand END) / avg(CASE WHEN date > e - {365 + w} AND date <= e - 365 THEN demand END) END, 1.0) AS growth FROM p GROUP BY ALL"""
-    return f"p AS (SELECT *, max(date) OVER (PARTITION BY series_id) AS e FROM daily WHERE date < DATE '{before}'), growth AS ({' UNION ALL '.join(map(one, windows))})"
+    return f"p AS (SELECT daily.*, max(date) OVER (PARTITION BY series_id) AS e FROM daily JOIN ends USING (series_id) WHERE date <= last - {S.AHEAD}), growth AS ({' UNION ALL '.join(map(one, windows))})"
 
 
 def _mask(post: str, d: str = "target_date") -> str:
@@ -267,7 +274,7 @@ def _mask(post: str, d: str = "target_date") -> str:
 _ERR = "round(sum(abs(pred - y)) / sum(abs(y)), 6) AS wape, round(avg(abs(pred - y) / y), 6) AS mape, round(sqrt(avg((pred - y) * (pred - y))), 6) AS rmse, round(avg(pred - y), 6) AS bias, count(*) AS n"
 _OK = "pred IS NOT NULL AND y IS NOT NULL"
 _MODEL = f"""model AS (SELECT series_id, target_date, horizon, y, coalesce(xgb, lgbm_q, lgbm_bag) AS pred FROM wide),
-q AS (SELECT series_id, horizon, quantile_cont(y - pred, 0.1) AS ql, quantile_cont(y - pred, 0.9) AS qh FROM model WHERE target_date <= DATE '{VALIDATE_TO}' GROUP BY ALL)"""
+q AS (SELECT series_id, horizon, quantile_cont(y - pred, 0.1) AS ql, quantile_cont(y - pred, 0.9) AS qh FROM model JOIN ends USING (series_id) WHERE target_date <= last - {S.AHEAD} GROUP BY ALL)"""
 _BANDS = """iv AS (SELECT m.series_id, m.target_date, m.horizon, y, greatest(0, pred + ql) AS lo, CASE WHEN pred IS NOT NULL THEN greatest(0, pred) END AS p50, greatest(0, pred + qh) AS hi, pred IS NOT NULL AND ql IS NOT NULL AS ok
   FROM model m JOIN sched s ON s.series_id = m.series_id AND s.target_date = m.target_date AND s.horizon = m.horizon LEFT JOIN q ON q.series_id = m.series_id AND q.horizon = m.horizon)"""
 
@@ -286,17 +293,17 @@ SQL = {
         SELECT l.series_id, l.target_date, l.horizon, round(CASE WHEN count(pred) = count(*) THEN avg(pred) END, 6) AS blend FROM long l LEFT JOIN cells c ON c.series_id = l.series_id AND c.dow = l.dow AND c.horizon = l.horizon
         LEFT JOIN tab t ON t.series_id = l.series_id AND t.dow = l.dow AND t.horizon = l.horizon AND t.model = l.model WHERE c.dow IS NULL OR t.model IS NOT NULL GROUP BY ALL""",
     "winner_frequency": _W + f", {_SCORES}, {_TABLE} SELECT model, count(*) AS n_cells FROM tab WHERE rk = 1 GROUP BY ALL",
-    "yoy_growth": S.with_(S.DAILY, _growth(SCHEDULE_FROM)) + 'SELECT series_id, "window", round(growth, 6) AS growth FROM growth',
+    "yoy_growth": S.with_(S.DAILY, S.ENDS, _growth()) + 'SELECT series_id, "window", round(growth, 6) AS growth FROM growth',
     "influence_mask": S.with_(S.DAILY, S.DATES, S.ANCHORS) + f"SELECT target_date, {_mask('2')} AS in_influence FROM dates",
-    "anchor_calibration": _W + f""", {_growth(FROM)}, posts AS (SELECT p.post::INT AS post FROM range(0, 4) p(post)), m AS (SELECT e.*, post FROM equal e, posts WHERE target_date <= DATE '{VALIDATE_TO}' AND {_mask('post')}),
+    "anchor_calibration": _W + f""", {_growth()}, posts AS (SELECT p.post::INT AS post FROM range(0, 4) p(post)), m AS (SELECT e.*, post FROM (SELECT equal.* FROM equal JOIN ends USING (series_id) WHERE target_date <= last - {S.AHEAD}) e, posts WHERE {_mask('post')}),
         c AS (SELECT m.series_id, "window", post, step::INT AS step, round(avg(CASE WHEN y > 0 AND blend IS NOT NULL THEN abs(y - CASE WHEN lag_365 IS NOT NULL THEN (1 - step / 20) * blend + step / 20 * lag_365 * growth ELSE blend END) / y END), 9) AS mape, count(*) AS n
               FROM m JOIN growth USING (series_id), range(0, 21) t(step) GROUP BY ALL),
         b AS (SELECT * FROM c WHERE n >= 10 AND mape IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY mape, "window", post, step) = 1)
         SELECT series_id, "window", post, round(step / 20, 6) AS alpha, round(mape, 6) AS mape FROM b""",
-    "anchor_apply": _W + f""", {_growth(SCHEDULE_FROM, (28,))} SELECT series_id, target_date, horizon, round(CASE WHEN lag_365 IS NOT NULL AND {_mask('1')} THEN 0.75 * blend + 0.25 * lag_365 * growth ELSE blend END, 6) AS blend
-        FROM equal JOIN growth USING (series_id) WHERE target_date >= DATE '{SCHEDULE_FROM}'""",
-    "anchor_apply_hol": _W + f""", {_growth(SCHEDULE_FROM, (28,))} SELECT series_id, target_date, horizon, round(CASE WHEN lag_365 IS NOT NULL AND is_hol = 1 THEN 0.75 * blend + 0.25 * lag_365 * growth ELSE blend END, 6) AS blend
-        FROM equal JOIN growth USING (series_id) WHERE target_date >= DATE '{SCHEDULE_FROM}'""",
+    "anchor_apply": _W + f""", {_growth((28,))} SELECT series_id, target_date, horizon, round(CASE WHEN lag_365 IS NOT NULL AND {_mask('1')} THEN 0.75 * blend + 0.25 * lag_365 * growth ELSE blend END, 6) AS blend
+        FROM equal JOIN growth USING (series_id)""",
+    "anchor_apply_hol": _W + f""", {_growth((28,))} SELECT series_id, target_date, horizon, round(CASE WHEN lag_365 IS NOT NULL AND is_hol = 1 THEN 0.75 * blend + 0.25 * lag_365 * growth ELSE blend END, 6) AS blend
+        FROM equal JOIN growth USING (series_id)""",
     "dow_scale": _W + "SELECT series_id, dow, round(coalesce(least(greatest(sum(CASE WHEN blend IS NOT NULL THEN y END) / nullif(sum(round(blend, 6)), 0), 0.9), 1.1), 1.0), 6) AS scale FROM equal GROUP BY ALL",
     "dow_scale_median": _W + """, r AS (SELECT series_id, dow, round(y / b, 9) AS k, sum(b / y) AS w FROM (SELECT *, round(blend, 6) AS b FROM equal) WHERE y > 0 AND b > 0 GROUP BY ALL),
         c AS (SELECT *, sum(w) OVER (PARTITION BY series_id, dow ORDER BY k) AS cum, sum(w) OVER (PARTITION BY series_id, dow) AS total FROM r)

@@ -1,8 +1,9 @@
-"""Queries of the learners; SQL cannot express them. They read all of orders; each series' newest 28 days are predicted."""
+"""Queries of the learners; SQL cannot express them. They read all of orders; the newest 28 days are predicted.
 
-from __future__ import annotations
+A model is fitted for each series (order priority) and horizon; the default run and the importances take all orders as one series.
+"""
 
-import datetime as dt
+from __future__ import annotations
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from horizonspark.operators import blend as B
 from horizonspark.operators import calendar as cal
 from horizonspark.operators import history as hist
 from horizonspark.operators import learners as L
-from horizonspark.operators.runs import natural_schedule
+from horizonspark.operators.runs import importance_summary, natural_schedule
 from horizonspark.plans import forecasts as P
 from horizonspark.plans.matrix import feature_matrix, feature_names, holiday_mask_columns
 from horizonspark.sources import tables
@@ -23,14 +24,7 @@ N_BAGS, N_TREES, TREE_DEPTH = 15, 300, 12
 
 
 def _daily(spark, sf_dir):
-    return tables.daily_series(spark, sf_dir, None, None)
-
-
-def _workdays(spark, daily):
-    """Weekdays from a month before the first date to two after the last."""
-    a, b = daily.agg(F.min("date"), F.max("date")).first()
-    a, b = (a, b) if a else (dt.date(2024, 1, 1),) * 2
-    return calendars.weekday_calendar(spark, str(a - dt.timedelta(days=31)), str(b + dt.timedelta(days=64)))
+    return tables.daily_series(spark, sf_dir)
 
 
 def _newest(spark, sf_dir):
@@ -38,9 +32,9 @@ def _newest(spark, sf_dir):
     return _daily(spark, sf_dir).groupBy("series_id").agg(F.date_sub(F.max("date"), L.HOLDOUT_DAYS).alias("train_to"))
 
 
-def matrix(spark, sf_dir):
-    d = _daily(spark, sf_dir)
-    m = feature_matrix(spark, d, _workdays(spark, d))
+def matrix(spark, sf_dir, by="o_orderpriority"):
+    d = tables.daily_series(spark, sf_dir, by=by)
+    m = feature_matrix(spark, d, calendars.weekdays_around(d))
     mask = holiday_mask_columns(m.columns)
     m = hist.sample_weights(m, mask).withColumn("is_hol", cal.flag(sum((F.col(c) for c in mask), F.lit(0)) > 0))
     return m
@@ -51,9 +45,21 @@ def _run(spark, sf_dir, learn):
 
 
 def booster_forecast(spark, sf_dir):
+    """The full run: the six models of the pool."""
     return _run(spark, sf_dir, lambda *a: L.fit_pool(*a, 1.0))
 
 
+def default_forecast(spark, sf_dir):
+    """The default run: one booster of squared error a horizon, for all orders as one series."""
+    return L.per_horizon(matrix(spark, sf_dir, None), FEATURES, None, lambda x, y, w, hol, xt, hol_t: {"lgbm_l2": np.maximum(0.0, L.boost(x, y, w, [xt], **L.PARAMS["lgbm_l2"])[0])})
+
+
+def feature_importance(spark, sf_dir):
+    """The features' summed gains in the default run's boosters: mean, deviation and largest over the horizons, best first."""
+    gains = L.importances(matrix(spark, sf_dir, None), FEATURES)
+    return importance_summary(gains)
+
+
 def two_stage_forecast(spark, sf_dir):
     return _run(spark, sf_dir, lambda x, y, w, hol, xt, hol_t: {"v3_2stage": np.maximum(0.0, L.two_stage(x, y, w, hol, xt, hol_t))})
 
@@ -87,7 +93,7 @@ def linear_zoo(spark, sf_dir):
 
 
 def _wide(spark, sf_dir):
-    return P.wide(spark, sf_dir, whole=True).select(*B.KEY, "y", *B.MODELS)
+    return P.wide(spark, sf_dir).select(*B.KEY, "y", *B.MODELS)
 
 
 def _past(spark, sf_dir):
@@ -145,4 +151,4 @@ def ridge_loo_blend(spark, sf_dir):
     return rows.groupBy("series_id").applyInPandas(run, "series_id string, target_date date, horizon int, blend double")
 
 
-QUERIES = {f.__name__: f for f in (booster_forecast, two_stage_forecast, bagged_forecast, linear_zoo, opt_weights_blend, nnls_blend, ridge_loo_blend)}
+QUERIES = {f.__name__: f for f in (default_forecast, feature_importance, booster_forecast, two_stage_forecast, bagged_forecast, linear_zoo, opt_weights_blend, nnls_blend, ridge_loo_blend)}

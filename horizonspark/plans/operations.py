@@ -191,7 +191,7 @@ SQL = {
     "strategy_counts": _HS + "SELECT strategy, count(DISTINCT date) AS n_days FROM split GROUP BY ALL",
     "interval_parse": 'SELECT CAST(l_shipdate AS DATE) AS start, CAST(l_shipdate AS DATE) + l_linenumber AS "end", l_linenumber::INT AS signal, l_returnflag AS name FROM lineitem WHERE l_linenumber NOT IN (5, 6)',
     "interval_to_daily": """WITH i AS (SELECT least(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS a, greatest(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS b, l_linenumber::INT AS signal, l_returnflag AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-        d AS (SELECT unnest(range(a, b + 1, INTERVAL 1 DAY))::DATE AS date, upper(trim(name)) AS name, signal FROM i WHERE b - a <= 30 AND year(a) >= 1996 AND signal >= 3)
+        d AS (SELECT unnest(range(a, b + 1, INTERVAL 1 DAY))::DATE AS date, upper(trim(name)) AS name, signal FROM (SELECT DISTINCT * FROM i) WHERE year(a) >= 1996 AND signal >= 3)
         SELECT date, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max(signal) AS highest_signal FROM d GROUP BY ALL""",
     "run_summary": _R + "SELECT run_date, count(*) AS n_days, min(date) AS first_date, max(date) AS last_date, round(min(p50), 6) AS p50_min, round(max(p50), 6) AS p50_max, round(avg(p50), 6) AS p50_mean, round(sum(p50), 6) AS p50_sum FROM runs GROUP BY ALL",
     "run_picks": _R.rstrip() + f", {_PICKS} SELECT * FROM picks",

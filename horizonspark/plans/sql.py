@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from horizonspark import calendars
 from horizonspark.operators.history import ANCHOR_LAGS, LAGS
-from horizonspark.sources.tables import FIRST, LAST, SHIFT
+from horizonspark.sources.tables import SHIFT
 
 DAILY = f"""daily AS (
   SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) + {SHIFT} AS date, count(*)::DOUBLE AS demand, count(DISTINCT o_custkey)::DOUBLE AS floortables
-  FROM orders WHERE CAST(o_orderdate AS DATE) + {SHIFT} BETWEEN DATE '{FIRST}' AND DATE '{LAST}' GROUP BY ALL)"""
+  FROM orders GROUP BY ALL)"""
+#: A series' newest date; the schedule is its newest AHEAD days, and the validation all days before.
+AHEAD = 28
+ENDS = "ends AS (SELECT series_id, max(date) AS last FROM daily GROUP BY ALL)"
 DATES = "dates AS (SELECT DISTINCT date AS target_date FROM daily)"
 GRID = """grid AS (
   SELECT series_id, date AS target_date, h::INT AS horizon, date - (h::INT + 1) AS base_date, floortables, demand AS y FROM daily, range(1, 29) t(h))"""
@@ -18,8 +21,7 @@ ANCHORS = "anchors(holiday, ord, anchor, anchor_ord, ws, we) AS (VALUES " + ", "
 ) + ")"
 HOLIDAY_DAYS = "hdays AS (SELECT anchor + o::INT AS day, holiday, ord, anchor_ord, o::INT AS day_offset FROM anchors, unnest(range(ws, we + 1)) t(o))"
 STORMS = "storms(date, typhoon_name, highest_signal) AS (VALUES " + ", ".join(f"(DATE '{d}', '{n}', {s})" for d, n, s in calendars.STORMS) + ")"
-WORKDAYS = "workdays AS (SELECT d::DATE AS date, isodow(d) < 6 AS is_workday FROM range(DATE '2023-12-01', DATE '2026-08-01', INTERVAL 1 DAY) t(d))"
-WORKDAY_RANGE = ("2023-12-01", "2026-07-31")
+WORKDAYS = "workdays AS (SELECT d::DATE AS date, isodow(d) < 6 AS is_workday FROM (SELECT unnest(range(min(date) - 31, max(date) + 65, INTERVAL 1 DAY)) AS d FROM daily))"
 STAYS = f"""stays AS (
   SELECT CAST(o_orderdate AS DATE) + {SHIFT} AS update_date, CAST(l_shipdate AS DATE) + {SHIFT} AS inhouse_date, o_custkey AS patron_id, o_orderkey * 10 + l_linenumber AS seq
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
@@ -36,11 +38,6 @@ def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def past_lags(columns: str) -> str:
-    """Definitions of the lags as joins, for the columns asked."""
-    return columns
-
-
 def lag_selects() -> str:
     return ", ".join(f"CASE WHEN {n} >= horizon + 1 THEN l{n}.demand END AS lag_{n}" for n in LAGS)
 

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHIFT = 10_227
-FIRST, LAST = "2024-01-01", "2026-05-28"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,15 +27,18 @@ def _stored(day: str, after: int = 0) -> Column:
     return F.lit(dt.datetime.fromisoformat(day) + dt.timedelta(days=after - SHIFT)).cast("timestamp_ntz")
 
 
-def daily_series(spark: SparkSession, sf_dir: str, first: str | None = FIRST, last: str | None = LAST) -> DataFrame:
-    """series_id, date, demand (orders a day), floortables (customers a day); a series for each order priority."""
+def daily_series(spark: SparkSession, sf_dir: str, first: str | None = None, last: str | None = None, by: str | None = "o_orderpriority") -> DataFrame:
+    """series_id, date, demand (orders a day), floortables (customers a day); a series for each order priority, or one of all orders if by is None.
+
+    All of orders, or those from the day first to the day last.
+    """
     orders = read(spark, sf_dir, "orders")
     # on the stored column, so that the scan skips what lies outside
     if first:
         orders = orders.where(F.col("o_orderdate") >= _stored(first))
     if last:
         orders = orders.where(F.col("o_orderdate") < _stored(last, 1))
-    orders = orders.select(F.col("o_orderpriority").alias("series_id"), moved("o_orderdate").alias("date"), "o_custkey")
+    orders = orders.select((F.col(by) if by else F.lit("all")).alias("series_id"), moved("o_orderdate").alias("date"), "o_custkey")
     return orders.groupBy("series_id", "date").agg(F.count("*").cast("double").alias("demand"), F.countDistinct("o_custkey").cast("double").alias("floortables"))
 
 
@@ -55,9 +57,8 @@ def hourly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.to_date("ts").alias("date"), F.hour("ts").alias("hour")).agg(F.sum("value").alias("demand"))
 
 
-def signal_intervals(spark: SparkSession, sf_dir: str, longest: int = 30) -> DataFrame:
+def signal_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """start, end, signal, name, from orders and their lines."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("a"))
     i = read(spark, sf_dir, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("b"), "l_linenumber", "l_returnflag")
-    d = i.join(o, i.l_orderkey == o.o_orderkey).select(F.least("a", "b").alias("start"), F.greatest("a", "b").alias("end"), F.col("l_linenumber").cast("int").alias("signal"), F.concat(F.lit(" "), F.lower("l_returnflag")).alias("name"))
-    return d.where(F.datediff("end", "start") <= longest)
+    return i.join(o, i.l_orderkey == o.o_orderkey).select(F.least("a", "b").alias("start"), F.greatest("a", "b").alias("end"), F.col("l_linenumber").cast("int").alias("signal"), F.concat(F.lit(" "), F.lower("l_returnflag")).alias("name"))

@@ -67,3 +67,31 @@ def test_nodes_that_cannot_split_keep_their_rows():
     levels = L.grow(b.of(x), b.n, x[:, 0], np.ones(12), np.arange(1), 6, 3, 0.0)
     at = L.leaf_of(levels, b.of(x))
     assert len(levels) == 6 and min(np.unique(at, return_counts=True)[1]) >= 3
+
+
+def test_importances(spark):
+    r = np.random.default_rng(3)
+    rows = [("s", dt.date(2026, 1, 1) + dt.timedelta(days=k), h, float(a * 5), 1.0, float(a), float(b)) for h in (1, 2) for k, (a, b) in enumerate(r.random((80, 2)))]
+    m = spark.createDataFrame(rows, "series_id string, target_date date, horizon int, y double, weight double, good double, noise double")
+    got = {(x["feature"], x["horizon"]): x["importance"] for x in L.importances(m, ["good", "noise"], rounds=20, cols=1.0).collect()}
+    assert set(got) == {(f, h) for f in ("good", "noise") for h in (1, 2)}
+    assert all(got["good", h] > 5 * got["noise", h] >= 0 for h in (1, 2))
+
+
+def test_intervals_are_merged_before_they_are_expanded(spark):
+    import random
+
+    from horizonspark.operators.ingest import intervals_to_days
+
+    r = random.Random(2)
+    rows = []
+    for _ in range(300):
+        a = dt.date(2024, 1, 1) + dt.timedelta(days=r.randrange(900))
+        rows.append((a, a + dt.timedelta(days=r.choice([-1, 0, 1, 3, 200])), r.randrange(1, 6), r.choice([" a", "B", "", None])))
+    want: dict = {}
+    for a, b, s, n in rows:
+        if s >= 3:
+            for k in range((b - a).days + 1):
+                want.setdefault(a + dt.timedelta(days=k), []).append(((n or "").strip().upper() or "UNNAMED", s))
+    got = {x["date"]: (x["names"], x["highest_signal"]) for x in intervals_to_days(spark.createDataFrame(rows, "start date, end date, signal int, name string"), 2024, 3).collect()}
+    assert got == {d: (",".join(sorted({n for n, _ in v})), max(s for _, s in v)) for d, v in want.items()}
