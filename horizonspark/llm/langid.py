@@ -14,6 +14,7 @@ from horizonspark.llm.common import text_bytes
 
 UNKNOWN = "und"
 _NO_WORD = regex.compile(r"[^\p{L}\p{M}]+")
+_ASCII = bytes(c | 32 if 65 <= c & 0xDF <= 90 else 32 for c in range(256))
 PREDICTION = "struct<lang_pred: string, score: double, rejected: boolean>"
 
 
@@ -23,7 +24,9 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
 
 def letters(text: bytes) -> bytes:
     """Lower-cased words (letters and their combining marks) with single spaces; empty if there is no letter."""
-    t = _NO_WORD.sub(" ", text.decode("utf-8", "replace").lower())
+    if text.isascii():
+        return b" ".join(text.translate(_ASCII).split())
+    t = _NO_WORD.sub(" ", text.decode("utf-8", "replace").lower()).strip()
     return t.encode() if any(map(str.isalpha, t)) else b""
 
 

@@ -2,7 +2,9 @@
 
 import random
 
-from horizonspark.llm.langid import Coder, held_out, identify, learn_dictionaries
+import zstandard
+
+from horizonspark.llm.langid import Coder, held_out, identify, learn_dictionaries, letters
 
 STEMS = {"aa": ["tion", "the", "ing", "and", "of"], "bb": ["keit", "ung", "der", "sch", "ein"], "cc": ["eaux", "ment", "que", "é", "oi"]}
 
@@ -40,3 +42,26 @@ def test_nothing_learned(spark):
 def test_ties_and_single_language():
     assert Coder({"b": b"qqqq", "a": b"qqqq"}, 3, 64).classify(b"hello", 0.1) == ("a", 0.0, True)
     assert Coder({"a": b"some words here"}, 3, 64).classify(b"some words", 0.1)[0] == "a"
+
+
+def test_letters():
+    assert letters(b" Ab-c12_D! ") == b"ab c d" and letters(b"12 _") == b"" == letters("² ́ ½".encode())
+    assert letters("Ab-c12_D! é".encode()) == "ab c d é".encode()
+    assert letters("हिन्दी ก่อน".encode()) == "हिन्दी ก่อน".encode()  # marks belong to their words
+
+
+def test_sizes_are_those_of_the_blocks():
+    """Against compression done plainly: a short text and a short last block count as they are."""
+    r = random.Random(4)
+    learned = {lang: text(r, lang, 600).encode() for lang in STEMS}
+    coder = Coder(learned, 6, 256)
+    for n in (1, 3, 20, 90, 300):
+        for lang in STEMS:
+            words = letters(text(r, lang, n).encode())
+            sizes = {}
+            for k, d in learned.items():
+                c = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+                sizes[k] = sum(len(c.compress(words[i : i + 256])) for i in range(0, len(words), 256))
+            order = sorted(sizes.values())
+            got = coder.classify(words, 0.002)
+            assert got[0] == min(sorted(sizes), key=sizes.get) and abs(got[1] - (order[1] - order[0]) / order[1]) < 1e-12
