@@ -200,8 +200,13 @@ class Sieve:
         self.table, self.shift, self.classes, self.lengths, self.seed = table.view(np.uint8), np.uint64(64 - bits), classes, lengths, seed
 
     def passing(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys whose two bits, by their first 28 bits and the next 28, are set."""
+        some = np.flatnonzero(self._set(keys))
+        return some[self._set(keys[some] << np.uint64(28))]
+
+    def _set(self, keys: np.ndarray) -> np.ndarray:
         slot = keys >> self.shift
-        return np.flatnonzero(self.table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+        return (self.table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & np.uint8(1)).view(bool)
 
 
 def _text_keys(shared):
@@ -322,9 +327,9 @@ def _survivors(texts: DataFrame, keys: DataFrame, n: int, scratch: Scratch, seed
     passes = max(1, -(-n // KEYS_A_PASS))
     for p in range(passes):
         some = keys if passes == 1 else keys.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(passes)) == p)
-        bits = min(28, max(12, (16 * -(-n // passes)).bit_length()))
-        slot = F.shiftrightunsigned("key", 64 - bits)
-        words = some.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))")).alias("mask")).toArrow()
+        bits = min(28, max(12, (32 * -(-n // passes)).bit_length()))
+        slots = some.select(F.explode(F.array(F.shiftrightunsigned("key", 64 - bits), F.shiftrightunsigned(F.shiftleft("key", 28), 64 - bits))).alias("slot"))
+        words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask")).toArrow()
         lengths = [r["length"] for r in some.where(F.col("length") < SHORT).select("length").distinct().orderBy("length").collect()]
         bounds = [*(c.least for c in CLASSES), None]
         tops = some.agg(*[F.max((F.col("length") >= lo) & (F.col("length") < hi) if hi else F.col("length") >= lo) for lo, hi in zip(bounds, bounds[1:], strict=False)]).first()
