@@ -31,7 +31,7 @@ from horizonspark.llm.shingles import mix
 
 BYTES_AN_EDIT = 12
 SHORT = 2 * BYTES_AN_EDIT
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _CHUNK = 1 << 14
 _GRAM = 3
 #: A key that more items than this share is left out where it can be.
@@ -216,8 +216,8 @@ def _text_keys(shared):
         sieve = shared.value
         embeddings = [Embedding(i, sieve.seed) for i in sieve.classes]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                raw = batch.column(0).slice(at, 1000).to_pylist()
+            for at in range(0, batch.num_rows, 256):
+                raw = batch.column(0).slice(at, 256).to_pylist()
                 texts = [normal(t) for t in raw]
                 for numbers, block, starts, skipped in _joined(texts):
                     yield from _block_keys(sieve, embeddings, raw, texts, numbers, block, starts, skipped)

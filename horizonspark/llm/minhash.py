@@ -36,7 +36,7 @@ BROADCAST_IDS = 1_000_000
 #: Buckets of up to so many members are compared as rows, larger ones in blocks.
 ROWS = 16
 #: Bytes of signatures and sets in a block, about.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
@@ -68,8 +68,8 @@ def _features(k: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 sets = shingle_sets([t.lower() for t in part.column(1).to_pylist()], k)
                 sigs = [signature(s, a, b) if len(s) else None for s in sets]
                 keys = [None if s is None else ((s.reshape(bands, rows) * odd).sum(axis=1) * np.uint64(bands) + np.arange(bands, dtype=np.uint64)).view(np.int64) for s in sigs]

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _rng = np.random.default_rng(20240607)
