@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -26,6 +27,20 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def driver_rows(spark: SparkSession, rows: list[tuple], schema: str, literal_bytes: int = 1 << 20) -> DataFrame:
+    """A table of rows that the driver holds, by a schema of names and types.
+
+    Up to literal_bytes it is a literal of the plan, so that no Python worker starts for it (createDataFrame takes two more in
+    each executor, which stay); beyond, it is createDataFrame's. The rows are the same.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    if len(text) > literal_bytes:
+        return spark.createDataFrame(rows, schema)
+    held = F.from_json(F.lit(text), f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in schema.split(', '))}>>", {"mode": "FAILFAST"})
+    return spark.range(0, 1, 1, 1).select(F.inline(held))
+
+
 def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner", limit: int = 1_000) -> DataFrame:
     """rows joined to groups, which has one row for each value of keys and in size how many rows have it.
 

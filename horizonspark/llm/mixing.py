@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from horizonspark.llm.common import unused
+from horizonspark.llm.common import driver_rows, unused
 
 #: A rate above this is drawn as a sum of so many equal parts that each stays below.
 PART = 512.0
@@ -46,7 +46,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], total: float = 1.0,
     rows, share = sum(counts.values()), sum(weights[s] for s in counts)
     rates = {s: total * rows * weights[s] / share / n for s, n in counts.items() if share > 0}
     of = {s: max(1, math.ceil(r / PART)) for s, r in rates.items()}
-    table = spark.createDataFrame([(s, poisson_cdf(r / of[s]), of[s]) for s, r in rates.items()], f"{name} string, {cdf} array<double>, {parts} int")
+    table = driver_rows(spark, [(s, poisson_cdf(r / of[s]), of[s]) for s, r in rates.items()], f"{name} string, {cdf} array<double>, {parts} int")
     content = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
     own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null-"), F.xxhash64(*content).cast("string")))
     n = F.when(F.col(cdf).isNull(), 1).otherwise(_draws(F.col(number), F.col(cdf), F.col(parts)))

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from horizonspark.llm.common import Scratch
+from horizonspark.llm.common import Scratch, driver_rows
 
 #: numpy's own draws are limited to populations below this.
 NUMPY_LIMIT = 10**9
@@ -91,7 +91,7 @@ def shard_uniform(docs: DataFrame, n_shards: int, seed: int = 0, rows_per_sort:
     sizes = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     matrix = communication_matrix([n for _, n in counts], sizes, seed)
     ends = [(part, [int(x) for x in np.cumsum(m)]) for (part, _), m in zip(counts, matrix, strict=True)]
-    deal = spark.createDataFrame(ends, "part int, ends array<bigint>")
+    deal = driver_rows(spark, ends, "part int, ends array<bigint>")
     dealt = rows.join(F.broadcast(deal) if len(ends) * n_shards < 2_000_000 else deal, "part").select(
         "row", "second", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard")
     )

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from horizonspark.llm.chunk_dedup import chunks_of, exact_dedup
-from horizonspark.llm.common import join_hot
+from horizonspark.llm.common import driver_rows, join_hot
 from horizonspark.llm.mixing import mix_sources, poisson_cdf
 from horizonspark.llm.sharding import _hypergeometric, communication_matrix, shard_uniform
 
@@ -152,3 +152,13 @@ def test_mix_edges(spark):
     assert mix_sources(docs, {}).count() == len(rows())
     cdf = poisson_cdf(2.5)
     assert abs(cdf[0] - np.exp(-2.5)) < 1e-12 and abs(cdf[-1] - 1) < 1e-12
+
+
+def test_driver_rows(spark):
+    rows = [("a\" '\\", [0.1, 1e-300, 1 / 3], 1), (None, [], None), ("b", None, 2)]
+    schema = "s string, c array<double>, n bigint"
+    plain = spark.createDataFrame(rows, schema)
+    for limit in (1 << 20, 0):
+        got = driver_rows(spark, rows, schema, limit)
+        assert got.dtypes == plain.dtypes and sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
+    assert driver_rows(spark, [], schema).count() == 0
