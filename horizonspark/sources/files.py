@@ -22,10 +22,12 @@ def read_daily(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_storms(spark: SparkSession, path: str) -> DataFrame:
-    """Storm days; a file that isn't there means none."""
+    """Storm days; a file that isn't there means none. Any other fault is raised."""
     try:
         return _csv(spark, path, schemas.STORMS)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schemas.STORMS)
 
 
@@ -33,6 +35,18 @@ def read_hourly(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, schemas.HOURLY)
 
 
+def read_workdays(spark: SparkSession, path: str) -> DataFrame:
+    """date, is_workday of a real calendar."""
+    return _csv(spark, path, schemas.WORKDAYS)
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that write_csv wrote, by the columns that schema names."""
+    kinds = dict(x.strip().split(" ") for x in schema.split(","))
+    found = spark.read.option("header", True).csv(path)
+    return found.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+
+
 def read_reservations(spark: SparkSession, path: str) -> DataFrame:
     """update_date, inhouse_date, rooms_otb, from either format; a missing or unusable file means no rows.
 
@@ -81,13 +95,14 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root)
 
 
-def write_metadata(metadata: DataFrame, path: str) -> None:
-    metadata.write.mode("append").json(path)
+def write_metadata(metadata: DataFrame, path: str, run_date: str) -> None:
+    """One record in a folder of its own for the run; writing a run again replaces it."""
+    metadata.coalesce(1).write.mode("overwrite").json(f"{path}/run_{run_date.replace('-', '')}")
 
 
 def read_metadata(spark: SparkSession, path: str, runs: DataFrame) -> DataFrame:
     """Metadata of the runs that have predictions; records that aren't JSON are skipped, missing flags are false."""
-    m = spark.read.schema(schemas.RUN_METADATA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    m = spark.read.schema(schemas.RUN_METADATA).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path)
     m = m.where("_corrupt_record is null and run_date is not null").drop("_corrupt_record")
     for c in ("use_reservations", "use_weather", "initial_forecast"):
         m = m.withColumn(c, F.coalesce(c, F.lit(False)))
