@@ -20,6 +20,7 @@ from horizonspark.llm.mixing import mix_sources
 from horizonspark.llm.ppm import held_out as ppm_held_out
 from horizonspark.llm.ppm import score_documents
 from horizonspark.llm.sharding import shard_uniform
+from horizonspark.llm.simhash import simhash_duplicates
 from horizonspark.llm.token_counts import token_counts
 
 N_SHARDS = 24
@@ -84,8 +85,12 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op11_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, seed=42, radius=4)
+
+
 def queries() -> dict:
-    ops = {f.__name__: f for f in (op1_license_scan, op2_ppm_score, op3_hypergeometric_shards, op4_zstd_langid, op5_chunk_recipe_dedup, op6_pretoken_counts, op7_poisson_mix, op8_cgk_decontamination, op9_template_extraction, op10_minhash_bayes)}
+    ops = {f.__name__: f for f in (op1_license_scan, op2_ppm_score, op3_hypergeometric_shards, op4_zstd_langid, op5_chunk_recipe_dedup, op6_pretoken_counts, op7_poisson_mix, op8_cgk_decontamination, op9_template_extraction, op10_minhash_bayes, op11_simhash_multi_index)}
     return ops | {"pipeline": corpus_pipeline.run}
 
 

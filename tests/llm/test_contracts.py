@@ -11,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from horizonspark.llm import queries
+from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 KINDS = {
     "op1_license_scan": "doc_id bigint,n_words bigint,n_base bigint,first_word bigint,last_word bigint,base_labels string,labels string,score double",
@@ -21,6 +22,7 @@ KINDS = {
     "op6_pretoken_counts": "doc_id bigint,n_bytes bigint,n_tokens bigint,over_limit boolean",
     "op9_template_extraction": "page_id bigint,url string,text string,n_chars bigint",
     "op10_minhash_bayes": "doc_id bigint,n_shingles bigint,component_id bigint,kept boolean",
+    "op11_simhash_multi_index": "doc_id bigint,fingerprint string,component_id bigint",
 }
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -151,3 +153,11 @@ def test_op10(spark, folder):
                 root[max(a, b)] = min(a, b)
     want = [(i, len(s), find(i), find(i) == i) for (i, *_), s in zip(docs, sets, strict=True)]
     assert sorted_rows((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows_of(spark, folder, "op10_minhash_bayes")) == sorted_rows(want)
+
+
+def test_op11(spark, folder):
+    docs = documents()
+    prints = [plain_fingerprint(t) for _, t, *_ in docs]
+    comp = plain_components([(d[0], p) for d, p in zip(docs, prints, strict=True)])
+    want = [(i, f"{p:016x}", comp[i]) for (i, *_), p in zip(docs, prints, strict=True)]
+    assert sorted_rows((r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows_of(spark, folder, "op11_simhash_multi_index")) == sorted_rows(want)
