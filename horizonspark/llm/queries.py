@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from horizonspark.llm import filter_audit, merkle
 from horizonspark.llm.chunk_dedup import exact_dedup
 from horizonspark.llm.common import Scratch, table, text_bytes
 from horizonspark.llm.decontam import contaminated
@@ -89,8 +90,16 @@ def op11_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, seed=42, radius=4)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    ops = {f.__name__: f for f in (op1_license_scan, op2_ppm_score, op3_hypergeometric_shards, op4_zstd_langid, op5_chunk_recipe_dedup, op6_pretoken_counts, op7_poisson_mix, op8_cgk_decontamination, op9_template_extraction, op10_minhash_bayes, op11_simhash_multi_index)}
+    ops = {f.__name__: f for f in (op1_license_scan, op2_ppm_score, op3_hypergeometric_shards, op4_zstd_langid, op5_chunk_recipe_dedup, op6_pretoken_counts, op7_poisson_mix, op8_cgk_decontamination, op9_template_extraction, op10_minhash_bayes, op11_simhash_multi_index, op12_merkle_manifest, op13_filter_audit)}
     return ops | {"pipeline": corpus_pipeline.run}
 
 
@@ -112,4 +121,6 @@ def oracle_sql() -> dict[str, str]:
                               ELSE (SELECT count(*) FROM c WHERE c.source = d.source AND c.cdf < d.u) END AS n_copies FROM d),
                  e AS (SELECT doc_id, source, n_copies, unnest(range(1, n_copies + 1)) AS copy FROM m)
             SELECT doc_id, source, copy, n_copies, substr(md5(concat_ws(':', 'mix', doc_id::VARCHAR, copy::VARCHAR)), 1, 16) AS shuffle_key FROM e""",
+        "op12_merkle_manifest": merkle.SQL,
+        "op13_filter_audit": filter_audit.SQL,
     }

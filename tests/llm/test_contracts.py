@@ -11,6 +11,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from horizonspark.llm import queries
+from tests.llm.test_filter_audit import plain_audit
+from tests.llm.test_merkle import plain_manifest
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 KINDS = {
@@ -23,8 +25,11 @@ KINDS = {
     "op9_template_extraction": "page_id bigint,url string,text string,n_chars bigint",
     "op10_minhash_bayes": "doc_id bigint,n_shingles bigint,component_id bigint,kept boolean",
     "op11_simhash_multi_index": "doc_id bigint,fingerprint string,component_id bigint",
+    "op12_merkle_manifest": "doc_id bigint,leaf string,subroot string,root string,proof_sha256 string,folded_root string,verified boolean",
+    "op13_filter_audit": "part string,filter_order string,step int,kept bigint,removed bigint,redundant bigint,unique_fails bigint,good_lost bigint,toxic_lost bigint,shapley bigint",
 }
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+LABELS = [(i, i % 2, i % 3, 7) for i in range(30)] + [(3, 1, 1, None), (None, 1, 1, None)]
 
 
 def documents():
@@ -33,24 +38,25 @@ def documents():
     texts = [" ".join(word() for _ in range(r.randrange(1, 60))) for _ in range(40)]
     texts += [None, "", " \t\n", "12 _ ²!! 3", "Released UNDER the MIT-license.", "cc by nc cc-by-nc; Apache License, Version 2.0", "x" * 70_000, "mot " * 30_000, "A b\x0bC", "a b", "a", "Ⅷ 中文 字", "a b c d e f g h i j k"]
     texts += [t + " tail" for t in texts[:6]] + texts[:4]
-    rows = [(i, t, ("aa", "bb", None)[i % 3], f"src{i % 4}", 1, "q", True) for i, t in enumerate(texts)]
-    return rows + [(3, "repeated id " + texts[3], "aa", None, None, None, None)]
+    rows = [(i, t, ("aa", "bb", None)[i % 3], f"src{i % 4}", 1, "q", True, i if i % 4 else None) for i, t in enumerate(texts)]
+    return rows + [(3, "repeated id " + texts[3], "aa", None, None, None, None, 3)]
 
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     sf = str(tmp_path_factory.mktemp("contracts"))
-    spark.createDataFrame(documents(), "doc_id bigint, text string, lang string, source string, slot int, component_id string, kept boolean").repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(documents(), "doc_id bigint, text string, lang string, source string, slot int, component_id string, kept boolean, n_chars bigint").repartition(3).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(1, texts) for texts in ("a b c d e f g h i j k", "mot " * 20)], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
     pages = [(1, "http://a.example/x", "<nav>m</nav><article><h1>T</h1><p>a\n &amp; b</p></article>", "x"), (2, None, None, "y"), (2, "odd", "", "y"), (3, "http://a.example/x", "<p>p</p>" * 3, None)]
     spark.createDataFrame(pages, "page_id bigint, url string, html string, n_chars string").write.parquet(f"{sf}/pages.parquet")
+    spark.createDataFrame(LABELS, "doc_id bigint, quality int, toxic int, mask int").write.parquet(f"{sf}/labels.parquet")
     return sf
 
 
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     sf = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{sf}/{t}.parquet")
     return sf
 
@@ -161,3 +167,15 @@ def test_op11(spark, folder):
     comp = plain_components([(d[0], p) for d, p in zip(docs, prints, strict=True)])
     want = [(i, f"{p:016x}", comp[i]) for (i, *_), p in zip(docs, prints, strict=True)]
     assert sorted_rows((r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows_of(spark, folder, "op11_simhash_multi_index")) == sorted_rows(want)
+
+
+def test_op12(spark, folder):
+    rows = [(i, source, lang, n_chars, t) for i, t, lang, source, _, _, _, n_chars in documents()]
+    names = KINDS["op12_merkle_manifest"]
+    assert sorted_rows(tuple(r[c.split()[0]] for c in names.split(",")) for r in rows_of(spark, folder, "op12_merkle_manifest")) == sorted_rows(plain_manifest(rows))
+
+
+def test_op13(spark, folder):
+    names = [c.split()[0] for c in KINDS["op13_filter_audit"].split(",")]
+    want = plain_audit([d[:3] for d in documents()], [x[:3] for x in LABELS])
+    assert sorted_rows(tuple(r[c] for c in names) for r in rows_of(spark, folder, "op13_filter_audit")) == sorted_rows(want)
