@@ -78,7 +78,7 @@ def _track(spark, a) -> None:
     meta = files.read_metadata(spark, f"{a.out}/metadata", p).withColumn("run_date", F.to_date("run_date")).withColumn("initial_forecast", F.col("initial_forecast") & F.col("initial_forecast_range").isNotNull())
     span = meta.where("initial_forecast").orderBy(F.col("run_date").desc()).select("initial_forecast_range").first()
     if span:
-        rows = runs.tracking(p, runs.run_picks(meta), files.read_daily(spark, a.daily), *span[0], spark)
+        rows = runs.tracking(p, runs.run_picks(meta), files.read_daily(spark, a.daily), spark.sql("SELECT to_date(:a) AS first, to_date(:b) AS last", {"a": span[0][0], "b": span[0][1]}))
         files.write_csv(rows, f"{a.out}/tracking", "date")
 
 

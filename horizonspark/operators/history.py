@@ -24,6 +24,9 @@ HORIZONS = 28
 KEY = ["series_id", "target_date", "horizon"]
 OFFSETS = sorted({*LAGS, *range(2, HORIZONS + 2), *(7 * k for k in range(1, 13)), *(365 + 7 * k for k in range(1, 13)), 364})
 
+#: Those of them that the interactions' lags and means read.
+INTERACTION_OFFSETS = sorted({*range(7, HORIZONS + 2), 365, *(7 * k for k in range(1, 5))})
+
 
 def horizon_matrix(daily: DataFrame, horizons: int = HORIZONS) -> DataFrame:
     """series_id, target_date, horizon, base_date, floortables, y: a row for each observed day and horizon."""
@@ -38,10 +41,12 @@ def day_spine(daily: DataFrame, after: int = 0) -> DataFrame:
     return days.join(daily, ["series_id", "date"], "left")
 
 
-def offset_map(daily: DataFrame, offsets: list[int] = OFFSETS) -> DataFrame:
-    """(series_id, target_date, past): past maps an offset L to the demand L days before, where there is one."""
+def offset_map(daily: DataFrame, offsets: list[int] = OFFSETS, targets: DataFrame | None = None) -> DataFrame:
+    """(series_id, target_date, past): past maps an offset L to the demand L days before, where there is one; for targets only, if given."""
     seen = daily.where("demand is not null").select("series_id", "date", "demand", F.explode(F.array(*map(F.lit, offsets))).alias("back"))
     moved = seen.select("series_id", F.date_add("date", F.col("back")).alias("target_date"), "back", "demand")
+    if targets is not None:
+        moved = moved.join(targets, ["series_id", "target_date"], "left_semi")
     return moved.groupBy("series_id", "target_date").agg(F.map_from_entries(F.collect_list(F.struct("back", "demand"))).alias("past"))
 
 
@@ -153,24 +158,23 @@ def same_holiday_last_year(dates: DataFrame, daily: DataFrame, workdays: DataFra
     return dates.join(then, ["series_id", "target_date"], "left")
 
 
-def interaction_columns(have: list[str]) -> dict[str, Column]:
-    """Ratios and differences of the features that are there; denominators count as 1 at least, null stays null."""
-    c, out = F.col, {}
-    if {"lag_anchor_7", "floortables"} <= set(have):
-        out["lag_anchor_7_per_table"] = c("lag_anchor_7") / at_least(c("floortables"), 1.0)
-        out["lag_anchor_14_per_table"] = c("lag_anchor_14") / at_least(c("floortables"), 1.0)
-    if {"rolling_mean_7", "rolling_mean_28"} <= set(have):
-        out["trend_7_vs_28"] = c("rolling_mean_7") / at_least(c("rolling_mean_28"), 1.0)
-        out["trend_diff_7_28"] = c("rolling_mean_7") - c("rolling_mean_28")
-    if {"lag_anchor_7", "rolling_std_28"} <= set(have):
-        out["lag_anchor_7_zscore"] = (c("lag_anchor_7") - c("rolling_mean_28")) / at_least(c("rolling_std_28"), 1.0)
-    if {"same_dow_mean_4w", "rolling_mean_28"} <= set(have):
-        out["same_dow_vs_overall"] = c("same_dow_mean_4w") / at_least(c("rolling_mean_28"), 1.0)
-    if {"lag_365", "lag_anchor_7"} <= set(have):
-        out["yoy_anchor_diff"] = c("lag_anchor_7") - c("lag_365")
-    if "rolling_mean_28" in have:
-        out |= {f"{h}_x_recent": c(f"is_{h}") * c("rolling_mean_28") for h in ("CNY", "GoldenWeek", "Labour", "MidAutumn") if f"is_{h}" in have}
-    return out
+RECENT = ("CNY", "GoldenWeek", "Labour", "MidAutumn")
+
+
+def interaction_columns() -> dict[str, Column]:
+    """Ratios and differences of the matrix's features; denominators count as 1 at least, null stays null."""
+    week, fortnight, month = F.col("lag_anchor_7"), F.col("lag_anchor_14"), F.col("rolling_mean_28")
+    over = lambda top, bottom: top / at_least(bottom, 1.0)
+    ratios = {
+        "lag_anchor_7_per_table": over(week, F.col("floortables")),
+        "lag_anchor_14_per_table": over(fortnight, F.col("floortables")),
+        "trend_7_vs_28": over(F.col("rolling_mean_7"), month),
+        "trend_diff_7_28": F.col("rolling_mean_7") - month,
+        "lag_anchor_7_zscore": over(week - month, F.col("rolling_std_28")),
+        "same_dow_vs_overall": over(F.col("same_dow_mean_4w"), month),
+        "yoy_anchor_diff": week - F.col("lag_365"),
+    }
+    return ratios | {f"{h}_x_recent": F.col(f"is_{h}") * month for h in RECENT}
 
 
 def cross_holiday_expected(matrix: DataFrame, daily: DataFrame, blocks: DataFrame, back: int = 798, most: int = 5) -> DataFrame:

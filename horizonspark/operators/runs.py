@@ -30,9 +30,9 @@ def run_picks(runs: DataFrame) -> DataFrame:
     return runs.agg(F.max("run_date").alias("latest_run"), F.max(F.when(F.col("initial_forecast"), F.col("run_date"))).alias("initial_run"))
 
 
-def tracking(predictions: DataFrame, picks: DataFrame, actuals: DataFrame, first: str, last: str, spark) -> DataFrame:
-    """Each day of a range with the initial plan, the newest forecast and the actual value, null where there is none."""
-    days = spark.sql(f"SELECT explode(sequence(date'{first}', date'{last}')) AS date")
+def tracking(predictions: DataFrame, picks: DataFrame, actuals: DataFrame, span: DataFrame) -> DataFrame:
+    """Each day of span (one row: first, last) with the initial plan, the newest forecast and the actual value, null where there is none."""
+    days = span.where("first <= last").select(F.explode(F.sequence("first", "last")).alias("date"))
     p = predictions.join(F.broadcast(picks), (F.col("run_date") == F.col("latest_run")) | (F.col("run_date") == F.col("initial_run")))
     of_day = p.groupBy("date").agg(F.max(F.when(F.col("run_date") == F.col("initial_run"), F.col("p50"))).alias("initial_p50"), F.max(F.when(F.col("run_date") == F.col("latest_run"), F.col("p50"))).alias("latest_p50"))
     return days.join(of_day, "date", "left").join(actuals.select("date", F.col("demand").alias("actual")), "date", "left")

@@ -75,7 +75,9 @@ def calendar_features(spark, sf_dir):
 
 
 def holiday_dates(spark, sf_dir):
-    return calendars.holiday_days(calendars.holiday_anchors(spark)).select(F.col("holiday_day").alias("date")).distinct()
+    """The days of orders that lie in a holiday's window."""
+    days = calendars.holiday_days(calendars.holiday_anchors(spark)).select(F.col("holiday_day").alias("date")).distinct()
+    return _dates(spark, sf_dir).select(F.col("target_date").alias("date")).join(F.broadcast(days), "date", "left_semi")
 
 
 def holiday_flags(spark, sf_dir):
@@ -157,12 +159,14 @@ def same_holiday_last_year(spark, sf_dir):
 
 
 def interaction_features(spark, sf_dir):
-    from horizonspark.plans.matrix import feature_matrix
-
+    """Only what the interactions name is built, not the whole matrix."""
     d = tables.daily_series(spark, sf_dir)
-    m = feature_matrix(spark, d, _workdays(spark, sf_dir))
-    names = list(hist.interaction_columns(m.columns))
-    return _round(m.select(*KEY, *names), KEY)
+    means = {k: v for k, v in hist.rolling_columns([7, 28]).items() if k in ("rolling_mean_7", "rolling_mean_28", "rolling_std_28")}
+    flags = cal.holiday_flags(_dates(spark, sf_dir), calendars.holiday_anchors(spark)).select("target_date", *[f"is_{h}" for h in hist.RECENT])
+    m = hist.with_base(hist.with_past(hist.horizon_matrix(d), hist.offset_map(d, hist.INTERACTION_OFFSETS)), hist.base_features(d, means)).join(F.broadcast(flags), "target_date")
+    lags = hist.lag_anchor_columns() | hist.lag_columns() | hist.same_dow_columns()
+    m = m.select("*", *[lags[n].alias(n) for n in ("lag_anchor_7", "lag_anchor_14", "lag_365", "same_dow_mean_4w")])
+    return _round(m.select(*KEY, *[c.alias(n) for n, c in hist.interaction_columns().items()]), KEY)
 
 
 def sample_weights(spark, sf_dir):
@@ -309,7 +313,7 @@ SQL = {
     "calendar_features": _T + f"""SELECT target_date, {_SQL_CAL[0]} AS dow, {_SQL_CAL[1]} AS day, {_SQL_CAL[2]} AS week_of_month, {_SQL_CAL[3]} AS month, {_SQL_CAL[4]} AS quarter, {_SQL_CAL[5]} AS year, {_SQL_CAL[6]} AS day_of_year,
         (isodow(target_date) > 5)::INT AS is_weekend, (isodow(target_date) = 5)::INT AS is_friday, (isodow(target_date) = 6)::INT AS is_saturday, (isodow(target_date) = 7)::INT AS is_sunday,
         (day(target_date) <= 3)::INT AS is_month_start, (day(target_date) >= 28)::INT AS is_month_end, {_SINCOS} FROM dates""",
-    "holiday_dates": S.with_(S.ANCHORS, S.HOLIDAY_DAYS) + "SELECT DISTINCT day AS date FROM hdays",
+    "holiday_dates": S.with_(S.DAILY, S.DATES, S.ANCHORS, S.HOLIDAY_DAYS) + "SELECT target_date AS date FROM dates WHERE target_date IN (SELECT day FROM hdays)",
     "holiday_flags": S.with_(S.DAILY, S.DATES, S.ANCHORS) + "SELECT target_date, " + ", ".join(f"(EXISTS (SELECT 1 FROM anchors WHERE holiday = '{h}' AND target_date BETWEEN anchor + ws AND anchor + we))::INT AS is_{h}" for h in calendars.ANCHORS) + " FROM dates",
     "holiday_onehots": S.with_(S.DAILY, S.DATES, S.ANCHORS, S.HOLIDAY_DAYS) + "SELECT target_date, " + ", ".join(
         [f"coalesce(max((holiday = '{h}' AND day_offset = {o})::INT), 0) AS {cal.offset_name(h, o)}" for h in calendars.ONE_HOT for o in range(calendars.WINDOWS[h][0], calendars.WINDOWS[h][1] + 1)]
@@ -345,12 +349,13 @@ SQL = {
     "interaction_features": _interaction_sql(),
     "sample_weights": S.with_(S.DAILY, S.GRID, S.ANCHORS, S.STORMS) + f"""SELECT {_K}, round(pow(0.5, (max(target_date) OVER (PARTITION BY series_id, horizon) - target_date) / 240.0)
         * CASE WHEN EXISTS (SELECT 1 FROM anchors WHERE target_date BETWEEN anchor + ws AND anchor + we) OR EXISTS (SELECT 1 FROM storms WHERE date = target_date AND highest_signal >= 8) THEN 3.0 ELSE 1.0 END, 6) AS weight FROM grid g""",
-    "cross_holiday_expected": S.with_(S.DAILY, S.GRID, S.WORKDAYS, _BLOCKS) + f""", p AS (SELECT date, i FROM blk WHERE n >= 2),
-        q AS (SELECT DISTINCT g.series_id, p.i, g.base_date FROM grid g JOIN p ON p.date = g.target_date), seen AS (SELECT d.series_id, p.i, d.date, d.demand FROM daily d JOIN p USING (date)),
-        m AS (SELECT q.*, s.demand, row_number() OVER (PARTITION BY q.series_id, q.i, q.base_date ORDER BY s.date DESC) AS rn
-              FROM q JOIN seen s ON s.series_id = q.series_id AND s.i = q.i AND s.date BETWEEN q.base_date - 798 AND q.base_date),
-        a AS (SELECT series_id, i, base_date, avg(demand) AS e FROM m WHERE rn <= 5 GROUP BY ALL)
-        SELECT {_K}, round(a.e, 6) AS expected_demand_at_block_pos FROM grid g LEFT JOIN p ON p.date = g.target_date LEFT JOIN a ON a.series_id = g.series_id AND a.i = p.i AND a.base_date = g.base_date""",
+    "cross_holiday_expected": "WITH " + S.DAILY.replace("daily AS (", "daily AS MATERIALIZED (") + ",\n" + ",\n".join([S.WORKDAYS, _BLOCKS]) + """, p AS MATERIALIZED (SELECT date, i FROM blk WHERE n >= 2),
+        seen AS MATERIALIZED (SELECT d.series_id, p.i, d.date, d.demand, row_number() OVER (PARTITION BY d.series_id, p.i ORDER BY d.date) AS rn FROM daily d JOIN p USING (date) WHERE d.demand IS NOT NULL),
+        g AS MATERIALIZED (SELECT series_id, date AS target_date, h::INT AS horizon, date - (h::INT + 1) AS base_date, p.i FROM daily LEFT JOIN p USING (date), range(1, 29) t(h)),
+        q AS MATERIALIZED (SELECT DISTINCT series_id, i, base_date FROM g WHERE i IS NOT NULL),
+        f AS MATERIALIZED (SELECT q.*, s.rn AS top FROM q ASOF JOIN seen s ON s.series_id = q.series_id AND s.i = q.i AND q.base_date >= s.date),
+        a AS MATERIALIZED (SELECT f.series_id, f.i, f.base_date, avg(s.demand) AS e FROM f, range(0, 5) t(k), seen s WHERE s.series_id = f.series_id AND s.i = f.i AND s.rn = f.top - k AND s.date >= f.base_date - 798 GROUP BY ALL)
+        SELECT g.series_id, g.target_date, g.horizon, round(a.e, 6) AS expected_demand_at_block_pos FROM g LEFT JOIN a ON a.series_id = g.series_id AND a.i = g.i AND a.base_date = g.base_date""",
     "ratio_baseline": _B + f", f AS (SELECT b.series_id, b.base_date, {S.window('avg(demand)', 28)} AS r28, {S.window('avg(demand)', 7)} AS r7 FROM bases b) SELECT {_K}, round(coalesce({_same_dow(4)}, r28, r7), 6) AS baseline FROM grid g JOIN f ON f.series_id = g.series_id AND f.base_date = g.base_date",
     "reservation_snapshot": S.with_(S.STAYS, S.SNAPS) + "SELECT * FROM snaps",
     "reservation_dedup": S.with_(S.STAYS) + "SELECT * FROM stays QUALIFY row_number() OVER (PARTITION BY update_date, inhouse_date ORDER BY seq DESC) = 1",

@@ -48,7 +48,7 @@ def feature_matrix(spark: SparkSession, daily: DataFrame, workdays: DataFrame, t
         matrix = hist.cross_holiday_expected(matrix, daily, cal.workday_blocks(workdays))
     more = hist.lag_columns() | hist.lag_anchor_columns() | hist.same_dow_columns() | ({"yoy_growth_same_dow": hist.yoy_growth_dow_column()} if trend else {})
     matrix = matrix.select("*", *[c.alias(n) for n, c in more.items()]).drop("past")
-    out = matrix.select("*", *[c.alias(n) for n, c in hist.interaction_columns(matrix.columns).items()])
+    out = matrix.select("*", *[c.alias(n) for n, c in hist.interaction_columns().items()])
     if trend:
         n, i = F.col("mainland_block_length"), F.col("mainland_block_day_index")
         out = out.select(

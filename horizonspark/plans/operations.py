@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from horizonspark import calendars
 from horizonspark.functions import rounded
+from horizonspark.operators import calendar as cal
 from horizonspark.operators import hourly as H
 from horizonspark.operators import ingest, runs
+from horizonspark.plans import features
 from horizonspark.plans import sql as S
-from horizonspark.plans.matrix import feature_names
 from horizonspark.sources import files, tables
 
 LEAST = 3  # a month of events holds four Fridays only
-#: Days that stand for holidays in the month of events: (holiday, day_offset, date).
-OCCURRENCES = [("A", 0, "2024-01-17"), ("A", 0, "2024-01-24"), ("A", 1, "2024-01-26"), ("A", 1, "2024-01-27"), ("B", 0, "2024-01-28"), ("B", 0, "2024-01-29"), ("B", 0, "2024-01-30")]
+#: Days of each month of events that stand for holidays: (holiday, day_offset, day of the month).
+OCCURRENCES = [("A", 0, 17), ("A", 0, 24), ("A", 1, 26), ("A", 1, 27), ("B", 0, 28), ("B", 0, 29), ("B", 0, 30)]
+_OF_MONTH = ", ".join(map(str, OCCURRENCES))
 
 
-def _occurrences(spark) -> DataFrame:
-    return spark.createDataFrame([(h, o, dt.date.fromisoformat(d)) for h, o, d in OCCURRENCES], "holiday string, day_offset int, date date")
+def _occurrences(spark, sf_dir) -> DataFrame:
+    """(holiday, day_offset, date) of all months that have events."""
+    rule = spark.sql(f"SELECT * FROM VALUES {_OF_MONTH} AS t(holiday, day_offset, day)")
+    days = tables.hourly_series(spark, sf_dir).select("date").distinct().withColumn("day", F.dayofmonth("date"))
+    return days.join(F.broadcast(rule), "day").select("holiday", "day_offset", "date")
 
 
 def _shares(spark, sf_dir):
@@ -33,12 +36,12 @@ def _holidays(spark):
 
 
 def _baselines(spark, sf_dir):
-    refs = _occurrences(spark).select(F.col("date").alias("ref")).distinct()
+    refs = _occurrences(spark, sf_dir).select(F.col("date").alias("ref")).distinct()
     return H.dow_baseline(_shares(spark, sf_dir), refs, _holidays(spark), least=LEAST - 1)
 
 
 def _tvds(spark, sf_dir):
-    return H.tvd_to_buckets(_occurrences(spark), _shares(spark, sf_dir), _baselines(spark, sf_dir))
+    return H.tvd_to_buckets(_occurrences(spark, sf_dir), _shares(spark, sf_dir), _baselines(spark, sf_dir))
 
 
 def hourly_shares(spark, sf_dir):
@@ -59,7 +62,7 @@ def hourly_decisions(spark, sf_dir):
 
 
 def hourly_profiles(spark, sf_dir):
-    return H.profiles(_occurrences(spark), _shares(spark, sf_dir)).select("holiday", "day_offset", "hour", rounded(F.col("share"), 9).alias("share"))
+    return H.profiles(_occurrences(spark, sf_dir), _shares(spark, sf_dir)).select("holiday", "day_offset", "hour", rounded(F.col("share"), 9).alias("share"))
 
 
 def _daily_p50(spark, sf_dir):
@@ -69,11 +72,11 @@ def _daily_p50(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    refs = spark.sql("SELECT date'2024-01-31' AS ref")
+    refs = tables.hourly_series(spark, sf_dir).agg(F.date_add(F.max("date"), 1).alias("ref"))
     base = H.dow_baseline(_shares(spark, sf_dir), refs, _holidays(spark), least=LEAST).select("bucket", "hour", "share")
     decided = H.decisions(H.best_bucket(_tvds(spark, sf_dir)))
-    profile = H.profiles(_occurrences(spark), _shares(spark, sf_dir))
-    return H.split_daily(_daily_p50(spark, sf_dir), _occurrences(spark), decided, profile, base)
+    profile = H.profiles(_occurrences(spark, sf_dir), _shares(spark, sf_dir))
+    return H.split_daily(_daily_p50(spark, sf_dir), _occurrences(spark, sf_dir), decided, profile, base)
 
 
 def hourly_split(spark, sf_dir):
@@ -103,21 +106,21 @@ def interval_to_daily(spark, sf_dir):
     return ingest.intervals_to_days(tables.signal_intervals(spark, sf_dir), 1996, 3)
 
 
-def _runs(spark, sf_dir) -> DataFrame:
-    """Eight runs a week apart: each forecasts the next 28 days by the demand of 28 days before its start."""
+def weekly_runs(spark, sf_dir) -> DataFrame:
+    """A run for each week of all orders: it forecasts the next 28 days by the demand of the 28 days up to its date."""
     d = tables.daily_series(spark, sf_dir).groupBy("date").agg(F.sum("demand").alias("demand"))
-    starts = spark.sql("SELECT explode(sequence(date'2026-03-01', date'2026-04-19', interval 7 days)) AS run_date")
+    starts = d.agg(F.explode(F.sequence(F.date_add(F.min("date"), 28), F.max("date"), F.expr("interval 7 days"))).alias("run_date"))
     ahead = starts.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(28)))).select("run_date", F.date_add("run_date", F.col("k")).alias("date"), F.date_add("run_date", F.col("k") - 28).alias("from"))
     p = ahead.join(d.withColumnRenamed("date", "from"), "from")
     return p.select("run_date", "date", (F.col("demand") * 0.9).alias("p10"), F.col("demand").alias("p50"), (F.col("demand") * 1.1).alias("p90"))
 
 
 def run_summary(spark, sf_dir):
-    return runs.run_summary(_runs(spark, sf_dir)).select("run_date", "n_days", "first_date", "last_date", *[rounded(F.col(c)).alias(c) for c in ("p50_min", "p50_max", "p50_mean", "p50_sum")])
+    return runs.run_summary(weekly_runs(spark, sf_dir)).select("run_date", "n_days", "first_date", "last_date", *[rounded(F.col(c)).alias(c) for c in ("p50_min", "p50_max", "p50_mean", "p50_sum")])
 
 
 def _marked(spark, sf_dir):
-    return _runs(spark, sf_dir).select("run_date").distinct().withColumn("initial_forecast", F.dayofmonth("run_date") <= 7)
+    return weekly_runs(spark, sf_dir).select("run_date").distinct().withColumn("initial_forecast", F.dayofmonth("run_date") <= 7)
 
 
 def run_picks(spark, sf_dir):
@@ -125,20 +128,27 @@ def run_picks(spark, sf_dir):
 
 
 def runs_latest_k(spark, sf_dir):
-    return runs.latest_runs(_runs(spark, sf_dir), 6).select("run_date", "date", "p50")
+    return runs.latest_runs(weekly_runs(spark, sf_dir), 6).select("run_date", "date", "p50")
 
 
 def tracking_join(spark, sf_dir):
+    """From the newest initial plan's first day to the newest run's last."""
     actual = tables.daily_series(spark, sf_dir).groupBy("date").agg(F.sum("demand").alias("demand"))
-    return runs.tracking(_runs(spark, sf_dir), runs.run_picks(_marked(spark, sf_dir)), actual, "2026-04-01", "2026-05-31", spark)
+    picks = runs.run_picks(_marked(spark, sf_dir))
+    span = picks.select(F.date_add("initial_run", 1).alias("first"), F.date_add("latest_run", 28).alias("last"))
+    return runs.tracking(weekly_runs(spark, sf_dir), picks, actual, span)
 
 
 def feature_category(spark, sf_dir):
-    return runs.feature_category(spark.createDataFrame([(n,) for n in feature_names()], "feature string"))
+    """The features of the dates that have orders, with the sum of each and the family that its name belongs to."""
+    dates = tables.daily_series(spark, sf_dir).select(F.col("date").alias("target_date")).distinct()
+    wide = cal.holiday_flags(cal.calendar_features(dates), calendars.holiday_anchors(spark)).drop("target_date")
+    sums = wide.agg(*[rounded(F.sum(c), 3).alias(c) for c in wide.columns]).unpivot([], wide.columns, "feature", "total")
+    return runs.feature_category(sums)
 
 
 def importance_summary(spark, sf_dir):
-    """Importances by horizon: the mean price of the lines of each type and quantity, say."""
+    """Importances by horizon: the summed quantities of the lines of each part and line number stand for them."""
     i = tables.read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("horizon")).agg(F.sum("l_quantity").alias("importance"))
     return runs.importance_summary(i.select(F.concat(F.lit("part_"), F.col("part").cast("string")).alias("feature"), "horizon", "importance")).select("feature", *[rounded(F.col(c)).alias(c) for c in ("mean", "std", "max")])
 
@@ -151,7 +161,7 @@ QUERIES = {
     )
 }
 
-_OCC = "occ(holiday, day_offset, date) AS (VALUES " + ", ".join(f"('{h}', {o}, DATE '{d}')" for h, o, d in OCCURRENCES) + ")"
+_OCC = f"occ AS (SELECT holiday, day_offset, date FROM (SELECT DISTINCT date FROM hourly) JOIN (VALUES {_OF_MONTH}) t(holiday, day_offset, d) ON day(date) = d)"
 _BUCKET = "CASE WHEN isodow({0}) < 5 THEN 'weekday' WHEN isodow({0}) = 5 THEN 'friday' WHEN isodow({0}) = 6 THEN 'saturday' ELSE 'sunday' END"
 _BASE = f"""refs AS (SELECT DISTINCT date AS ref FROM occ),
 usual AS (SELECT *, {_BUCKET.format("date")} AS bucket FROM shares WHERE date NOT IN (SELECT day FROM hdays)),
@@ -167,7 +177,7 @@ decided AS (SELECT *, CASE WHEN reason IN ('consistent_close_match', 'borderline
 prof AS (SELECT o.holiday, o.day_offset, hour, sum(share * (1 + 0.5 * (i - 1) / greatest(k - 1, 1))) / sum(1 + 0.5 * (i - 1) / greatest(k - 1, 1)) AS share
   FROM (SELECT *, row_number() OVER (PARTITION BY holiday, day_offset ORDER BY date) AS i, count(*) OVER (PARTITION BY holiday, day_offset) AS k FROM occ WHERE date IN (SELECT date FROM shares)) o JOIN shares s ON s.date = o.date WHERE k >= 2 GROUP BY ALL)"""
 _H = S.with_(S.HOURLY, S.SHARES, S.ANCHORS, S.HOLIDAY_DAYS, _OCC, _BASE)
-_SPLIT = f"""now AS (SELECT bucket, hour, avg(share) AS share FROM usual WHERE date BETWEEN DATE '2024-01-31' - 90 AND DATE '2024-01-30' GROUP BY ALL HAVING count(*) >= {LEAST}),
+_SPLIT = f"""now AS (SELECT bucket, hour, avg(share) AS share FROM usual WHERE date BETWEEN (SELECT max(date) - 89 FROM hourly) AND (SELECT max(date) FROM hourly) GROUP BY ALL HAVING count(*) >= {LEAST}),
 preds AS (SELECT date, round(sum(demand), 2) AS p50, round(sum(demand), 2) * 0.5 AS p10, round(sum(demand), 2) * 1.5 AS p90 FROM hourly GROUP BY ALL),
 hours AS (SELECT p.*, h::INT AS hour, o.holiday, o.day_offset, d.decision, {_BUCKET.format("p.date")} AS own FROM preds p LEFT JOIN occ o ON o.date = p.date LEFT JOIN decided d ON d.holiday = o.holiday AND d.day_offset = o.day_offset, range(0, 24) t(h)),
 ch AS (SELECT h.*, CASE WHEN decision = 'USE_HOLIDAY_PROFILE' THEN f.share ELSE n.share END AS chosen, w.share AS of_own FROM hours h
@@ -175,9 +185,10 @@ ch AS (SELECT h.*, CASE WHEN decision = 'USE_HOLIDAY_PROFILE' THEN f.share ELSE
 split AS (SELECT date, hour, round(p10 * coalesce(chosen, of_own), 4) AS p10, round(p50 * coalesce(chosen, of_own), 4) AS p50, round(p90 * coalesce(chosen, of_own), 4) AS p90,
   CASE WHEN decision IS NOT NULL AND chosen IS NOT NULL THEN holiday || '_d' || CASE WHEN day_offset >= 0 THEN '+' ELSE '-' END || abs(day_offset) || CASE WHEN decision = 'USE_HOLIDAY_PROFILE' THEN '_holiday_profile' ELSE '_use_' || lower(substr(decision, 5)) END ELSE 'dow_' || own END AS strategy FROM ch WHERE coalesce(chosen, of_own) IS NOT NULL)"""
 _HS = _H.rstrip() + ",\n" + _SPLIT + "\n"
-_RUNS = """total AS (SELECT date, sum(demand) AS demand FROM daily GROUP BY ALL),
-runs AS (SELECT (DATE '2026-03-01' + 7 * r::INT) AS run_date, (DATE '2026-03-01' + 7 * r::INT + k::INT) AS date, demand AS p50 FROM range(0, 8) a(r), range(1, 29) b(k), total t WHERE t.date = DATE '2026-03-01' + 7 * r::INT + k::INT - 28)"""
-_R = S.with_(S.DAILY, _RUNS)
+RUNS_SQL = """total AS (SELECT date, sum(demand) AS demand FROM daily GROUP BY ALL),
+starts AS (SELECT unnest(range(min(date) + 28, max(date) + 1, INTERVAL 7 DAY))::DATE AS run_date FROM total),
+runs AS (SELECT run_date, run_date + k::INT AS date, demand AS p50 FROM starts, range(1, 29) b(k), total t WHERE t.date = run_date + k::INT - 28)"""
+_R = S.with_(S.DAILY, RUNS_SQL)
 _PICKS = "picks AS (SELECT max(run_date) AS latest_run, max(CASE WHEN day(run_date) <= 7 THEN run_date END) AS initial_run FROM runs)"
 
 SQL = {
@@ -196,9 +207,11 @@ SQL = {
     "run_summary": _R + "SELECT run_date, count(*) AS n_days, min(date) AS first_date, max(date) AS last_date, round(min(p50), 6) AS p50_min, round(max(p50), 6) AS p50_max, round(avg(p50), 6) AS p50_mean, round(sum(p50), 6) AS p50_sum FROM runs GROUP BY ALL",
     "run_picks": _R.rstrip() + f", {_PICKS} SELECT * FROM picks",
     "runs_latest_k": _R + "SELECT run_date, date, p50 FROM runs QUALIFY dense_rank() OVER (ORDER BY run_date DESC) <= 6",
-    "tracking_join": _R.rstrip() + f", {_PICKS}, s AS (SELECT d::DATE AS date FROM range(DATE '2026-04-01', DATE '2026-06-01', INTERVAL 1 DAY) t(d))" + """
+    "tracking_join": _R.rstrip() + f", {_PICKS}, s AS (SELECT unnest(range(initial_run + 1, latest_run + 29, INTERVAL 1 DAY))::DATE AS date FROM picks)" + """
         SELECT s.date, i.p50 AS initial_p50, l.p50 AS latest_p50, t.demand AS actual FROM s CROSS JOIN picks LEFT JOIN runs i ON i.date = s.date AND i.run_date = initial_run LEFT JOIN runs l ON l.date = s.date AND l.run_date = latest_run LEFT JOIN total t ON t.date = s.date""",
-    "feature_category": "SELECT feature, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(feature, {k!r})' for k in keys)} THEN '{kind}'" for kind, keys in runs.CATEGORIES) + " ELSE 'other' END AS category FROM (VALUES " + ", ".join(f"('{n}')" for n in feature_names()) + ") t(feature)",
+    "feature_category": f"""WITH c AS ({features.SQL["calendar_features"]}), h AS ({features.SQL["holiday_flags"]}), w AS (SELECT * EXCLUDE (target_date) FROM c JOIN h USING (target_date)),
+        u AS (UNPIVOT (SELECT round(sum(COLUMNS(*))::DOUBLE, 3) FROM w) ON COLUMNS(*) INTO NAME feature VALUE total)
+        SELECT feature, total, CASE """ + " ".join(f"WHEN {' OR '.join(f'contains(feature, {k!r})' for k in keys)} THEN '{kind}'" for kind, keys in runs.CATEGORIES) + " ELSE 'other' END AS category FROM u",
     "importance_summary": """WITH i AS (SELECT 'part_' || l_partkey AS feature, l_linenumber, sum(l_quantity) AS importance FROM lineitem GROUP BY ALL)
         SELECT feature, round(round(avg(importance), 9), 6) AS mean, round(stddev_samp(importance), 6) AS std, round(max(importance), 6) AS max FROM i GROUP BY ALL ORDER BY round(avg(importance), 9) DESC, feature LIMIT 30""",
 }
