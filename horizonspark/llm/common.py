@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,15 +31,21 @@ def unused(df: DataFrame, name: str) -> str:
 def driver_rows(spark: SparkSession, rows: list[tuple], schema: str, literal_bytes: int = 1 << 20) -> DataFrame:
     """A table of rows that the driver holds, by a schema of names and types.
 
-    Up to literal_bytes it is a literal of the plan, so that no Python worker starts for it (createDataFrame takes two more in
-    each executor, which stay); beyond, it is createDataFrame's. The rows are the same.
+    It is a literal of the plan, or several of about literal_bytes each, so that no Python worker starts for it (createDataFrame takes two more in
+    each executor, which stay).
     """
     names = [f.split()[0] for f in schema.split(", ")]
-    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
-    if len(text) > literal_bytes:
-        return spark.createDataFrame(rows, schema)
-    held = F.from_json(F.lit(text), f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in schema.split(', '))}>>", {"mode": "FAILFAST"})
-    return spark.range(0, 1, 1, 1).select(F.inline(held))
+    kind = f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in schema.split(', '))}>>"
+    texts, size = [[]], 0
+    for r in rows:
+        text = json.dumps(dict(zip(names, r, strict=True)))
+        if size + len(text) > literal_bytes and texts[-1]:
+            texts.append([])
+            size = 0
+        texts[-1].append(text)
+        size += len(text)
+    held = [spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(f"[{', '.join(part)}]"), kind, {"mode": "FAILFAST"}))) for part in texts]
+    return reduce(DataFrame.union, held)
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner", limit: int = 1_000) -> DataFrame:

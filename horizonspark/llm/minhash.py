@@ -4,11 +4,12 @@ Equal shingle sets are one node from the start, so a group of copies costs one
 signature. Nodes that share a band's key are candidates. A bucket is never
 expanded into rows for all its pairs. First each bucket compares its members with its
 smallest one (a star, linear in the bucket). Members that have met in one component need
-no more comparisons; a bucket whose members have not is compared on: a small one as rows; in
-a larger one those outside its main component with all members, in blocks of bounded bytes, pair of blocks by
-pair of blocks, where a task emits a link only if it joins two components. So no bucket is capped,
-no link between components is lost to a bucket's size, and what is emitted stays linear. What is moved and compared grows with
-the product of the members outside the main component and all members.
+no more comparisons; a bucket whose members have not is compared on: a small one as rows. The members of larger ones are
+grouped anew by their rarest shingles, which is exact: under one order of all shingles, two sets of similarity t, the smaller x and the larger y, share one of the first
+|x| - 2t/(1+t)|x| + 1 of x and one of the first |y| - t|y| + 1 of y. So members meet in such a group only if x's part of its own is small
+enough for a link, and texts that share a long template but no more meet in none. Groups are resolved like buckets: small ones as rows, a star in the others; what a star has not united there is compared
+in blocks of bounded bytes, those outside the main component with all. So no bucket is capped,
+no link between components is lost to a bucket's size, and what is emitted stays linear.
 
 A pair's signatures are compared batch by batch. After n positions with m
 matches, under a uniform prior on the similarity J, P(J >= t | m, n) is a
@@ -35,6 +36,10 @@ from horizonspark.llm.shingles import shingle_sets
 BROADCAST_IDS = 1_000_000
 #: Buckets of up to so many members are compared as rows, larger ones in blocks.
 ROWS = 16
+#: The same for groups of a rare shingle.
+GROUP = 64
+#: Counters of the sketch that orders shingles by how often they occur; a wrong count costs comparisons, not links.
+COUNTERS = 1 << 20
 #: Bytes of signatures and sets in a block, about.
 BLOCK_BYTES = 4 << 20
 
@@ -125,17 +130,14 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def _blocks(bands: int, rows: int, batch: int, threshold: float, miss: float, num: int, den: int):
-    """Links that join components between the first and the second members of one pair of blocks of a bucket."""
-    positions = bands * rows
+def _blocks(positions: int, batch: int, threshold: float, miss: float, num: int, den: int):
+    """Links that join components between the first and the second members of one pair of blocks of a group."""
     steps = [(lo, min(positions, lo + batch), least_matches(min(positions, lo + batch), threshold, miss)) for lo in range(0, positions, batch)]
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, positions)
-        keys = np.array(group["bands"].tolist(), dtype=np.int64).reshape(-1, bands)
-        band = int(np.argmax((keys == key[0]).all(axis=0)))
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        comp, node, first, other = (group[c].to_numpy() for c in ("comp", "node", "first", "other"))
+        comp, node, first, other, home = (group[c].to_numpy() for c in ("comp", "node", "first", "other", "home"))
         root = {c: c for c in comp.tolist()}
 
         def find(c: int) -> int:
@@ -148,10 +150,7 @@ def _blocks(bands: int, rows: int, batch: int, threshold: float, miss: float, nu
         second = np.flatnonzero(~first)
         for i in np.flatnonzero(first).tolist():
             # each pair once: with the main component's members, and with those of the others that come later
-            with_i = second[(comp[second] != comp[i]) & (~other[second] | (node[second] > node[i]))]
-            # the first band that a pair shares is where it is compared
-            if band:
-                with_i = with_i[~(keys[with_i, :band] == keys[i, :band]).any(axis=1)]
+            with_i = second[(comp[second] != comp[i]) & (~other[second] | (node[second] > node[i])) & (home[second] | home[i])]
             seen = np.zeros(len(with_i), np.int64)
             for lo, hi, need in steps:
                 seen += (sig[with_i, lo:hi] == sig[i, lo:hi]).sum(axis=1)
@@ -167,6 +166,46 @@ def _blocks(bands: int, rows: int, batch: int, threshold: float, miss: float, nu
     return run
 
 
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) % COUNTERS
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each counter's shingles occur in a task's sets."""
+    held = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for x in batch.column(0):
+            np.add.at(held, _counter(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+    at = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], names=["counter", "c"])
+
+
+def prefix_lengths(n: int, num: int, den: int) -> tuple[int, int]:
+    """Of a set of n shingles in order, how many it is looked up by as the smaller and as the larger one of a pair of similarity num / den or more."""
+    both = -(-2 * num * n // (num + den))
+    return n - both + 1, n - -(-num * n // den) + 1
+
+
+def _prefixes(counts, num: int, den: int):
+    """(key, node, home) of each set's rarest shingles; home: the set may be the smaller one of a pair that meets there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = counts.value
+        for batch in batches:
+            keys, nodes, homes = [], [], []
+            for node, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.frombuffer(x.as_buffer(), np.uint64)
+                small, large = prefix_lengths(len(h), num, den)
+                first = h[np.lexsort((h, of[_counter(h)]))[:large]]
+                keys.append(first.view(np.int64))
+                nodes.append(np.full(len(first), node, np.int64))
+                homes.append(np.arange(len(first)) < small)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(homes))], names=["key", "node", "home"])
+
+    return run
+
+
 def _confirm(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,7 +298,7 @@ def near_duplicates(
     links = links.union(_verified(pairs, *check))
     large = held.where(F.col("n") > ROWS)
     if not large.isEmpty():
-        links = links.union(_compared_in_blocks(large, known, texts, scratch, shingle_words, percent, bands, rows, batch, miss))
+        links = links.union(_by_rare_shingles(scratch.save(large.select("node", "comp").distinct()), check))
     comp = components(links, scratch)
     roots = classes.join(comp, "node", "left").select("set_key", F.coalesce("comp", "node").alias("root"))
     out = feats.select("doc_id", "n_shingles", "set_key").join(roots, "set_key", "left")
@@ -284,24 +323,52 @@ def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, scratch: Scr
     return scratch.save(full.mapInArrow(_confirm(percent, 100), "a bigint, b bigint").distinct())
 
 
-def _compared_in_blocks(large: DataFrame, known: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int, bands: int, rows: int, batch: int, miss: float) -> DataFrame:
-    """Links between components within the buckets of (band, node, comp), a pair of blocks in a task."""
-    sets = _full_sets(large.select("node").distinct(), texts, scratch, k)
-    sizes = large.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    main = scratch.save(sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n")).select("band", "n", F.col("m.comp").alias("main")))
-    weighed = join_hot(large.select("band", "node", "comp"), main, ["band"], "n").select("band", "node", "comp", (F.col("comp") != F.col("main")).alias("other"))
+def _by_rare_shingles(members: DataFrame, check: tuple) -> DataFrame:
+    """Links between the components of members (node, comp), found in groups of their rarest shingles."""
+    known, texts, scratch, k, percent, positions, batch, miss = check
+    spark = members.sparkSession
+    sets = _full_sets(members.select("node"), texts, scratch, k)
+    counted = sets.select("shingles").mapInArrow(_sketch, "counter bigint, c bigint").groupBy("counter").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[counted.column("counter").to_numpy()] = counted.column("c").to_numpy()
+    keys = sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), percent, 100), "key bigint, node bigint, home boolean").join(_small(members), "node")
+    keys = scratch.save(keys.distinct())
+    open_ = F.max("comp") > F.min("comp")
+    groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("home"), F.struct("node", "comp"))).alias("hub"), open_.alias("open")).where("open and hub is not null").drop("open")
+    keys = scratch.save(join_hot(keys, scratch.save(groups), ["key"], "n"))
+    few, many = keys.where(F.col("n") <= GROUP), keys.where(F.col("n") > GROUP)
+    met = few.where("home").select("key", F.col("node").alias("x"), F.col("comp").alias("cx")).join(few.select("key", F.col("node").alias("y"), F.col("comp").alias("cy")), "key").where("x <> y and cx <> cy").select("x", "y")
+    star = many.where("hub.comp <> comp").select(F.col("hub.node").alias("x"), F.col("node").alias("y"))
+    pairs = scratch.save(met.union(star).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    links = _verified(pairs, *check)
+    if many.isEmpty():
+        return links
+    whole = components(links.union(members.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))), scratch)
+    held = many.drop("comp", "hub", "n").join(_small(whole), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    held = scratch.save(held)
+    state = scratch.save(held.groupBy("key").agg(F.count("*").alias("n"), open_.alias("open")).where("open").drop("open"))
+    held = scratch.save(join_hot(held, state, ["key"], "n"))
+    return links if held.isEmpty() else links.union(_compared_in_blocks(held, sets, check))
+
+
+def _compared_in_blocks(held: DataFrame, sets: DataFrame, check: tuple) -> DataFrame:
+    """Links between components within the groups of (key, node, comp, home), a pair of blocks in a task."""
+    known, _, scratch, _, percent, positions, batch, miss = check
+    sizes = held.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = scratch.save(sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n")).select("key", "n", F.col("m.comp").alias("main")))
+    weighed = join_hot(held.select("key", "node", "comp", "home"), main, ["key"], "n").select("key", "node", "comp", "home", (F.col("comp") != F.col("main")).alias("other"))
     weighed = scratch.save(weighed.join(known.select("node", (2 * F.octet_length("sig") + 8 * F.col("n_shingles")).alias("size")), "node"))
-    blocks = weighed.groupBy("band").agg(
+    blocks = weighed.groupBy("key").agg(
         F.count("*").alias("n"),
         F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("n_all"),
         F.ceil(F.sum(F.when(F.col("other"), F.col("size")).otherwise(0)) / BLOCK_BYTES).cast("int").alias("n_others"),
     )
-    rows_of = join_hot(weighed, scratch.save(blocks), ["band"], "n")
+    rows_of = join_hot(weighed, scratch.save(blocks), ["key"], "n")
     i, j = F.pmod(F.xxhash64("node"), F.col("n_others")).cast("int"), F.pmod(F.xxhash64("node"), F.col("n_all")).cast("int")
     firsts = rows_of.where("other").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1))).withColumn("first", F.lit(True))
     seconds = rows_of.withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_others") - 1))).withColumn("first", F.lit(False))
-    columns = ["band", "i", "j", "node", "comp", "other", "first"]
+    columns = ["key", "i", "j", "node", "comp", "home", "other", "first"]
     met = firsts.select(columns).unionByName(seconds.select(columns))
-    full = met.join(known.select("node", "sig", "bands"), "node").join(sets, "node")
-    found = full.groupBy("band", "i", "j").applyInPandas(_blocks(bands, rows, batch, percent / 100, miss, percent, 100), "a bigint, b bigint")
+    full = met.join(known.select("node", "sig"), "node").join(sets, "node")
+    found = full.groupBy("key", "i", "j").applyInPandas(_blocks(positions, batch, percent / 100, miss, percent, 100), "a bigint, b bigint")
     return scratch.save(found.distinct())

@@ -18,6 +18,10 @@ from horizonspark.llm.common import Scratch, driver_rows
 
 #: numpy's own draws are limited to populations below this.
 NUMPY_LIMIT = 10**9
+#: Counts in the matrix at most, and input partitions; more partitions are read by fewer tasks.
+CELLS, PARTITIONS = 4_000_000, 8_192
+#: Between the seeds of the two drawn keys: rand() adds the partition's number to its seed, so nearer seeds would give neighbouring partitions the same numbers.
+SEEDS_APART = 1 << 40
 
 
 def _hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
@@ -74,13 +78,13 @@ def shard_uniform(docs: DataFrame, n_shards: int, seed: int = 0, rows_per_sort:
     rows are dealt like any others; an empty table gives an empty result. Columns
     named shard or slot in docs are replaced. The same input partitions and seed give the
     same result; the drawn keys are written down once, so lost executors cannot change them.
-    The matrix has one row of n_shards counts for each partition: it does not grow with texts.
+    The matrix has one row of n_shards counts for each partition, of which PARTITIONS are read at most: it does not grow with texts, and its size on the driver is bounded.
     A shard is sorted in ranges of about rows_per_sort rows and bytes_per_sort bytes at most, so that no task sorts a whole shard.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    drawn = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row") if kept else F.struct(F.lit(1)).alias("row"), F.rand(seed).alias("first"), F.rand(seed + 1).alias("second"))
+    drawn = docs.coalesce(max(64, min(PARTITIONS, CELLS // n_shards))).select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row") if kept else F.struct(F.lit(1)).alias("row"), F.rand(seed).alias("first"), F.rand(seed + SEEDS_APART).alias("second"))
     # local permutation: the row's place after sorting its partition by the drawn key
     placed = drawn.sortWithinPartitions("first").select("row", "second", F.monotonically_increasing_id().alias("at"))
     rows = scratch.save(placed.select("row", "second", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("rank")))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from horizonspark.llm import minhash
-from horizonspark.llm.minhash import least_matches, near_duplicates
+from horizonspark.llm.minhash import least_matches, near_duplicates, prefix_lengths
 from horizonspark.llm.shingles import shingle_sets
 
 
@@ -45,9 +45,10 @@ def corpus(seed, n=60):
     return [(i * 3, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("k,seed,few,size", [(2, 1, 1, 8 << 20), (5, 2, 16, 8 << 20), (2, 3, 1, 20_000)])
-def test_against_brute_force(spark, k, seed, few, size, monkeypatch):
+@pytest.mark.parametrize("k,seed,few,group,size", [(2, 1, 1, 64, 8 << 20), (5, 2, 16, 64, 8 << 20), (2, 3, 1, 2, 20_000)])
+def test_against_brute_force(spark, k, seed, few, group, size, monkeypatch):
     monkeypatch.setattr(minhash, "ROWS", few)
+    monkeypatch.setattr(minhash, "GROUP", group)
     monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, "x", 1, b"") for d, t in rows], "doc_id bigint, text string, band string, node int, sig binary")
@@ -77,3 +78,29 @@ def test_posterior_bound():
     rng = np.random.default_rng(0)
     lost = (rng.binomial(160, 0.8, 200_000) < least_matches(160, 0.8, 1e-6)).mean()
     assert lost < 1e-4
+
+
+def test_prefixes_meet_every_linked_pair():
+    r = random.Random(5)
+    for _ in range(3000):
+        y = r.sample(range(1000), r.randrange(1, 60))
+        x = [v for v in y if r.random() > 0.12] + [1000 + i for i in range(r.randrange(0, 5))]
+        x, y = sorted((sorted(x, key=lambda v: (v * 7919) % 1013), sorted(y, key=lambda v: (v * 7919) % 1013)), key=len)
+        if x and 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y)):
+            assert set(x[: prefix_lengths(len(x), 80, 100)[0]]) & set(y[: prefix_lengths(len(y), 80, 100)[1]])
+
+
+def test_a_shared_template_is_not_compared(spark, monkeypatch):
+    """Texts that share seven tenths meet in large buckets, but in no group of rare shingles; the few near copies among them are found."""
+    r = random.Random(6)
+    template = [f"t{i}" for i in range(140)]
+    rows = [(i, " ".join(template + [f"u{i}x{j}" for j in range(60)])) for i in range(300)]
+    rows += [(1000 + i, rows[i][1].replace(f"u{i}x{r.randrange(60)}", "edited")) for i in range(0, 300, 30)]
+    compared = []
+    verified, blocks = minhash._verified, minhash._compared_in_blocks
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *a: compared.append(pairs.count()) or verified(pairs, *a))
+    monkeypatch.setattr(minhash, "_compared_in_blocks", lambda *a: compared.append(10**9) or blocks(*a))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {d["doc_id"]: d["component_id"] for d in near_duplicates(docs, shingle_words=2).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    assert len(compared) == 3 and compared[-1] < 1000

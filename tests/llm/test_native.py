@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from horizonspark.llm import sharding
 from horizonspark.llm.chunk_dedup import chunks_of, exact_dedup
 from horizonspark.llm.common import driver_rows, join_hot
 from horizonspark.llm.mixing import mix_sources, poisson_cdf
@@ -131,6 +132,29 @@ def test_shuffle_is_uniform(spark):
     assert abs(slots.mean() - 1000) < 40
 
 
+def test_neighbouring_partitions_are_independent(spark):
+    """Where a partition's rows stand in their shards says nothing about the shards of the rows at the same places of the next one."""
+    each, parts = 4000, 5
+    docs = spark.range(each * parts, numPartitions=parts)
+    out = {r["id"]: r for r in shard_uniform(docs, 2, seed=11).collect()}
+    slot, shard = (np.array([[out[p * each + i][c] for i in range(each)] for p in range(parts)], float) for c in ("slot", "shard"))
+    for a in (slot, shard):
+        for b in (slot, shard):
+            assert all(abs(np.corrcoef(a[p], b[p + 1])[0, 1]) < 0.07 for p in range(parts - 1))
+    assert all(abs(np.corrcoef(slot[p], shard[p])[0, 1]) < 0.07 for p in range(parts))
+
+
+def test_many_partitions_give_a_bounded_matrix(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PARTITIONS", 64)
+    docs = spark.range(900, numPartitions=300)
+    seen = []
+    draw = sharding.communication_matrix
+    monkeypatch.setattr(sharding, "communication_matrix", lambda rows, *a: seen.append(len(rows)) or draw(rows, *a))
+    out = shard_uniform(docs, 7, seed=1)
+    assert out.count() == 900 and seen == [64]
+    assert "Python" not in out._jdf.queryExecution().toString()
+
+
 def test_mix(spark):
     n = 9000
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 6000, "hot").when(F.col("id") < 8500, "cool").otherwise("free").alias("source"), F.lit("x").alias("copy"), F.lit("y").alias("_source"), F.lit(1).alias("_U"))
@@ -158,7 +182,7 @@ def test_driver_rows(spark):
     rows = [("a\" '\\", [0.1, 1e-300, 1 / 3], 1), (None, [], None), ("b", None, 2)]
     schema = "s string, c array<double>, n bigint"
     plain = spark.createDataFrame(rows, schema)
-    for limit in (1 << 20, 0):
+    for limit in (1 << 20, 50, 0):
         got = driver_rows(spark, rows, schema, limit)
         assert got.dtypes == plain.dtypes and sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
     assert driver_rows(spark, [], schema).count() == 0
