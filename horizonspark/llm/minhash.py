@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from horizonspark.llm.common import Scratch, join_hot, text_bytes
-from horizonspark.llm.shingles import shingle_sets
+from horizonspark.llm.shingles import _ODD, mix, shingle_sets
 
 #: Up to so many ids are broadcast to pick rows by id (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -130,6 +130,18 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
+def _earlier(groups: pd.Series, homes: pd.Series, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which groups of smaller keys each member stands in, and is at home in: a row for each member, a column for each such group."""
+    column = {k: c for c, k in enumerate(sorted({k for ks in groups for k in ks if k < key}))}
+    out = []
+    for lists in (groups, homes):
+        marks = np.zeros((len(lists), len(column)), bool)
+        for i, ks in enumerate(lists):
+            marks[i, [column[k] for k in ks if k < key]] = True
+        out.append(marks)
+    return out[0], out[1]
+
+
 def _blocks(positions: int, batch: int, threshold: float, miss: float, num: int, den: int):
     """Links that join components between the first and the second members of one pair of blocks of a group."""
     steps = [(lo, min(positions, lo + batch), least_matches(min(positions, lo + batch), threshold, miss)) for lo in range(0, positions, batch)]
@@ -137,7 +149,10 @@ def _blocks(positions: int, batch: int, threshold: float, miss: float, num: int,
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, positions)
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        n = np.array([len(x) for x in sets])
         comp, node, first, other, home = (group[c].to_numpy() for c in ("comp", "node", "first", "other", "home"))
+        # the groups of smaller keys that members stand in and are at home in
+        stands, at_home = _earlier(group["groups"], group["homes"], key[0])
         root = {c: c for c in comp.tolist()}
 
         def find(c: int) -> int:
@@ -150,7 +165,13 @@ def _blocks(positions: int, batch: int, threshold: float, miss: float, num: int,
         second = np.flatnonzero(~first)
         for i in np.flatnonzero(first).tolist():
             # each pair once: with the main component's members, and with those of the others that come later
-            with_i = second[(comp[second] != comp[i]) & (~other[second] | (node[second] > node[i])) & (home[second] | home[i])]
+            with_i = second[(comp[second] != comp[i]) & (~other[second] | (node[second] > node[i]))]
+            # the smaller one of a pair is at home here, and not too small
+            with_i = with_i[(home[with_i] & (n[with_i] <= n[i])) | (home[i] & (n[with_i] >= n[i]))]
+            # the first group where a pair meets so is where it is compared
+            met = (at_home[with_i] & stands[i]).any(axis=1) & (n[with_i] <= n[i]) | (stands[with_i] & at_home[i]).any(axis=1) & (n[with_i] >= n[i])
+            with_i = with_i[~met]
+            with_i = with_i[den * np.minimum(n[with_i], n[i]) >= num * np.maximum(n[with_i], n[i])]
             seen = np.zeros(len(with_i), np.int64)
             for lo, hi, need in steps:
                 seen += (sig[with_i, lo:hi] == sig[i, lo:hi]).sum(axis=1)
@@ -187,21 +208,28 @@ def prefix_lengths(n: int, num: int, den: int) -> tuple[int, int]:
 
 
 def _prefixes(counts, num: int, den: int):
-    """(key, node, home) of each set's rarest shingles; home: the set may be the smaller one of a pair that meets there."""
+    """(key, node, size, home) of each set's rarest shingles; home: the set may be the smaller one of a pair that meets there.
+
+    Keys are of a shingle and a class of sizes, each as wide as the sizes of a pair may differ; a set meets the smaller ones in its own class and the one below.
+    """
+    wide = math.log(den / num)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counts.value
         for batch in batches:
-            keys, nodes, homes = [], [], []
+            keys, nodes, sizes, homes = [], [], [], []
             for node, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = np.frombuffer(x.as_buffer(), np.uint64)
                 small, large = prefix_lengths(len(h), num, den)
                 first = h[np.lexsort((h, of[_counter(h)]))[:large]]
-                keys.append(first.view(np.int64))
-                nodes.append(np.full(len(first), node, np.int64))
-                homes.append(np.arange(len(first)) < small)
+                own = int(math.log(len(h)) / wide)
+                for kind in (own, own - 1):
+                    keys.append(mix(first + np.uint64((kind + 2) * int(_ODD) % (1 << 64))).view(np.int64))
+                    nodes.append(np.full(len(first), node, np.int64))
+                    sizes.append(np.full(len(first), len(h), np.int64))
+                    homes.append((np.arange(len(first)) < small) & (kind == own))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(homes))], names=["key", "node", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, homes)], names=["key", "node", "size", "home"])
 
     return run
 
@@ -331,20 +359,22 @@ def _by_rare_shingles(members: DataFrame, check: tuple) -> DataFrame:
     counted = sets.select("shingles").mapInArrow(_sketch, "counter bigint, c bigint").groupBy("counter").agg(F.sum("c").alias("c")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     counts[counted.column("counter").to_numpy()] = counted.column("c").to_numpy()
-    keys = sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), percent, 100), "key bigint, node bigint, home boolean").join(_small(members), "node")
+    keys = sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), percent, 100), "key bigint, node bigint, size bigint, home boolean").join(_small(members), "node")
     keys = scratch.save(keys.distinct())
     open_ = F.max("comp") > F.min("comp")
     groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("home"), F.struct("node", "comp"))).alias("hub"), open_.alias("open")).where("open and hub is not null").drop("open")
     keys = scratch.save(join_hot(keys, scratch.save(groups), ["key"], "n"))
     few, many = keys.where(F.col("n") <= GROUP), keys.where(F.col("n") > GROUP)
-    met = few.where("home").select("key", F.col("node").alias("x"), F.col("comp").alias("cx")).join(few.select("key", F.col("node").alias("y"), F.col("comp").alias("cy")), "key").where("x <> y and cx <> cy").select("x", "y")
+    near = f"sx <= sy and 100 * sx >= {percent} * sy"
+    met = few.where("home").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx")).join(few.select("key", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy")), "key")
+    met = met.where(f"x <> y and cx <> cy and {near}").select("x", "y")
     star = many.where("hub.comp <> comp").select(F.col("hub.node").alias("x"), F.col("node").alias("y"))
     pairs = scratch.save(met.union(star).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     links = _verified(pairs, *check)
     if many.isEmpty():
         return links
     whole = components(links.union(members.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))), scratch)
-    held = many.drop("comp", "hub", "n").join(_small(whole), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    held = many.drop("comp", "hub", "n", "size").join(_small(whole), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     held = scratch.save(held)
     state = scratch.save(held.groupBy("key").agg(F.count("*").alias("n"), open_.alias("open")).where("open").drop("open"))
     held = scratch.save(join_hot(held, state, ["key"], "n"))
@@ -369,6 +399,7 @@ def _compared_in_blocks(held: DataFrame, sets: DataFrame, check: tuple) -> DataF
     seconds = rows_of.withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_others") - 1))).withColumn("first", F.lit(False))
     columns = ["key", "i", "j", "node", "comp", "home", "other", "first"]
     met = firsts.select(columns).unionByName(seconds.select(columns))
-    full = met.join(known.select("node", "sig"), "node").join(sets, "node")
+    marks = scratch.save(held.groupBy("node").agg(F.collect_set("key").alias("groups"), F.collect_set(F.when(F.col("home"), F.col("key"))).alias("homes")))
+    full = met.join(known.select("node", "sig"), "node").join(sets, "node").join(marks, "node")
     found = full.groupBy("key", "i", "j").applyInPandas(_blocks(positions, batch, percent / 100, miss, percent, 100), "a bigint, b bigint")
     return scratch.save(found.distinct())
