@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from horizonspark.sources.store import work_folder
+
 _AT, _SIDE, _ORDER, _LEFT, _RIGHT, _PART = "_asof_at", "_asof_side", "_asof_order", "_asof_left", "_asof_right", "_asof_part"
 
 
@@ -29,7 +31,10 @@ def _carried(keys: list[str], forward: bool) -> Column:
 def _in_ranges(rows: DataFrame, keys: list[str], forward: bool) -> DataFrame:
     """rows with the carried right row as _asof_found, sorted in ranges that may cut a key anywhere."""
     tied = rows.withColumn("_asof_tie", F.monotonically_increasing_id())
-    ranged = tied.repartitionByRange(*keys, *_order(forward), "_asof_tie").drop("_asof_tie").withColumn(_PART, F.spark_partition_id())
+    # written down, as it is read twice, and another sample would draw other ranges
+    path = work_folder(rows.sparkSession, "asof")
+    tied.repartitionByRange(*keys, *_order(forward), "_asof_tie").drop("_asof_tie").withColumn(_PART, F.spark_partition_id()).write.parquet(path)
+    ranged = rows.sparkSession.read.parquet(path)
     rank = F.when(F.col(_SIDE) == 0, F.struct(_AT, _ORDER))
     nearest = (F.min_by if forward else F.max_by)(F.col(_RIGHT), rank)
     before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)

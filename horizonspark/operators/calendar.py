@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from horizonspark import calendars
 from horizonspark.functions import flag
+from horizonspark.operators.islands import island_starts
 
 
 def calendar_columns(d: Column) -> dict[str, Column]:
@@ -91,13 +92,12 @@ def holiday_membership(dates: DataFrame, anchors: DataFrame, date_col: str = "ta
 def workday_blocks(calendar: DataFrame) -> DataFrame:
     """Blocks of consecutive days off, for a calendar (date, is_workday) that should reach past the dates of interest.
 
-    Workdays and unknown days have block 0; an unknown or missing day ends a block. The
-    calendar is one for all series, a few thousand days, so its window may be one task's.
+    Workdays and unknown days have block 0; an unknown or missing day ends a block.
     """
-    off = calendar.where(~F.col("is_workday"))
-    island = F.date_sub("date", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")))
-    block = Window.partitionBy("island")
-    blocks = off.withColumn("island", island).select("date", F.count("*").over(block).cast("int").alias("n"), (F.datediff("date", F.min("date").over(block)) + 1).alias("i"))
+    off = calendar.where(~F.col("is_workday")).select("date", F.unix_date("date").alias("at"))
+    member = island_starts(off, [], "at", width=366)
+    ends = member.groupBy("island_start").agg((F.max("at") - F.col("island_start") + 1).cast("int").alias("n"))
+    blocks = member.join(ends, "island_start").select("date", "n", (F.col("at") - F.col("island_start") + 1).cast("int").alias("i"))
     joined = calendar.join(blocks, "date", "left")
     n, i = F.coalesce("n", F.lit(0)), F.coalesce("i", F.lit(0))
     return joined.select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from horizonspark.functions import round_exact
+
 # Weekday buckets in order; distances under which a holiday is as good as a bucket.
 BUCKETS = ["weekday", "friday", "saturday", "sunday"]
 CLOSE, BORDERLINE, MARGIN = 0.05, 0.10, 0.03
@@ -95,7 +97,7 @@ def split_daily(predictions: DataFrame, membership: DataFrame, decided: DataFram
     how = F.when(F.col("decision") == "USE_HOLIDAY_PROFILE", "holiday_profile").otherwise(F.concat(F.lit("use_"), F.col("named")))
     followed = F.col("decision").isNotNull() & chosen.isNotNull()
     strategy = F.when(followed, F.concat("holiday", F.lit("_d"), offset, F.lit("_"), how)).otherwise(F.concat(F.lit("dow_"), F.col("own")))
-    return joined.where(share.isNotNull()).select("date", "hour", *[F.round(F.col(p) * share, 4).alias(p) for p in ("p10", "p50", "p90")], strategy.alias("strategy"))
+    return joined.where(share.isNotNull()).select("date", "hour", *[round_exact(F.col(p) * share).alias(p) for p in ("p10", "p50", "p90")], strategy.alias("strategy"))
 
 
 def reconcile(daily: DataFrame, hourly: DataFrame, tolerance: float = 1.0) -> DataFrame:

@@ -177,13 +177,24 @@ decided AS (SELECT *, CASE WHEN reason IN ('consistent_close_match', 'borderline
 prof AS (SELECT o.holiday, o.day_offset, hour, sum(share * (1 + 0.5 * (i - 1) / greatest(k - 1, 1))) / sum(1 + 0.5 * (i - 1) / greatest(k - 1, 1)) AS share
   FROM (SELECT *, row_number() OVER (PARTITION BY holiday, day_offset ORDER BY date) AS i, count(*) OVER (PARTITION BY holiday, day_offset) AS k FROM occ WHERE date IN (SELECT date FROM shares)) o JOIN shares s ON s.date = o.date WHERE k >= 2 GROUP BY ALL)"""
 _H = S.with_(S.HOURLY, S.SHARES, S.ANCHORS, S.HOLIDAY_DAYS, _OCC, _BASE)
+
+
+def _exact(x: str, high: str) -> str:
+    """A double rounded to four digits by its exact value, halves to even; high is its upper half."""
+    n = f"floor({x} * 10000)"
+    above = f"(({high} * 20000 - (2 * {n} + 1)) + ({x} - {high}) * 20000)"
+    return f"(CASE WHEN {above} > 0 THEN {n} + 1 WHEN {above} < 0 THEN {n} ELSE {n} + {n} % 2 END) / 10000"
+
+
 _SPLIT = f"""now AS (SELECT bucket, hour, avg(share) AS share FROM usual WHERE date BETWEEN (SELECT max(date) - 89 FROM hourly) AND (SELECT max(date) FROM hourly) GROUP BY ALL HAVING count(*) >= {LEAST}),
 preds AS (SELECT date, round(sum(demand), 2) AS p50, round(sum(demand), 2) * 0.5 AS p10, round(sum(demand), 2) * 1.5 AS p90 FROM hourly GROUP BY ALL),
 hours AS (SELECT p.*, h::INT AS hour, o.holiday, o.day_offset, d.decision, {_BUCKET.format("p.date")} AS own FROM preds p LEFT JOIN occ o ON o.date = p.date LEFT JOIN decided d ON d.holiday = o.holiday AND d.day_offset = o.day_offset, range(0, 24) t(h)),
 ch AS (SELECT h.*, CASE WHEN decision = 'USE_HOLIDAY_PROFILE' THEN f.share ELSE n.share END AS chosen, w.share AS of_own FROM hours h
   LEFT JOIN prof f ON f.holiday = h.holiday AND f.day_offset = h.day_offset AND f.hour = h.hour LEFT JOIN now n ON n.bucket = lower(substr(decision, 5)) AND n.hour = h.hour LEFT JOIN now w ON w.bucket = own AND w.hour = h.hour),
-split AS (SELECT date, hour, round(p10 * coalesce(chosen, of_own), 4) AS p10, round(p50 * coalesce(chosen, of_own), 4) AS p50, round(p90 * coalesce(chosen, of_own), 4) AS p90,
-  CASE WHEN decision IS NOT NULL AND chosen IS NOT NULL THEN holiday || '_d' || CASE WHEN day_offset >= 0 THEN '+' ELSE '-' END || abs(day_offset) || CASE WHEN decision = 'USE_HOLIDAY_PROFILE' THEN '_holiday_profile' ELSE '_use_' || lower(substr(decision, 5)) END ELSE 'dow_' || own END AS strategy FROM ch WHERE coalesce(chosen, of_own) IS NOT NULL)"""
+cut AS (SELECT *, x10 * 134217729 - (x10 * 134217729 - x10) AS g10, x50 * 134217729 - (x50 * 134217729 - x50) AS g50, x90 * 134217729 - (x90 * 134217729 - x90) AS g90
+  FROM (SELECT *, p10 * coalesce(chosen, of_own) AS x10, p50 * coalesce(chosen, of_own) AS x50, p90 * coalesce(chosen, of_own) AS x90 FROM ch)),
+split AS (SELECT date, hour, {_exact('x10', 'g10')} AS p10, {_exact('x50', 'g50')} AS p50, {_exact('x90', 'g90')} AS p90,
+  CASE WHEN decision IS NOT NULL AND chosen IS NOT NULL THEN holiday || '_d' || CASE WHEN day_offset >= 0 THEN '+' ELSE '-' END || abs(day_offset) || CASE WHEN decision = 'USE_HOLIDAY_PROFILE' THEN '_holiday_profile' ELSE '_use_' || lower(substr(decision, 5)) END ELSE 'dow_' || own END AS strategy FROM cut WHERE coalesce(chosen, of_own) IS NOT NULL)"""
 _HS = _H.rstrip() + ",\n" + _SPLIT + "\n"
 RUNS_SQL = """total AS (SELECT date, sum(demand) AS demand FROM daily GROUP BY ALL),
 starts AS (SELECT unnest(range(min(date) + 28, max(date) + 1, INTERVAL 7 DAY))::DATE AS run_date FROM total),

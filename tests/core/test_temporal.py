@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from horizonspark.operators.asof import asof_join
 from horizonspark.operators.intervals import first_match, interval_join
+from horizonspark.operators.islands import islands
 
 
 def asof_rows(seed, n=120, keys=4):
@@ -71,3 +72,69 @@ def test_no_spans(spark):
     a = spark.createDataFrame([], "a bigint, b bigint")
     b = spark.range(3).select(F.col("id").alias("a"), F.col("id").alias("b"))
     assert interval_join(a, b, {}, ("a", "b"), ("a", "b")).count() == 0 and interval_join(b, a, {}, ("a", "b"), ("a", "b")).count() == 0
+
+
+@pytest.mark.parametrize("limit", [10**6, 30, 0])
+@pytest.mark.parametrize("keyed", [True, False])
+def test_islands(spark, limit, keyed):
+    r = random.Random(limit)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, *range(0, 150)])) for _ in range(130)]
+    rows += [("a", k) for k in range(200, 290)] + [("b", 250)] * 40
+    keys = ["k"] if keyed else []
+    got = islands(spark.createDataFrame(rows, "k string, at bigint").repartition(3), keys, "at", 2, rows_per_key=limit).collect()
+    want = []
+    for key in {x[0] for x in rows} if keyed else {"all"}:
+        places = sorted(at for k, at in rows if at is not None and (not keyed or k == key))
+        start = 0
+        for i in range(1, len(places) + 1):
+            if i == len(places) or places[i] - places[i - 1] > 2:
+                want.append((*([key] if keyed else []), places[start], places[i - 1], i - start))
+                start = i
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert islands(spark.createDataFrame([], "k string, at bigint"), keys, "at").count() == 0
+
+
+@pytest.mark.parametrize("few", [5, 10**6])
+@pytest.mark.parametrize("keyed", [True, False])
+def test_exact_quantiles(spark, tmp_path, monkeypatch, few, keyed):
+    import numpy as np
+
+    from horizonspark.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "BINS", 8)
+    r = random.Random(few)
+    rows = [(k, r.choice([None, float("nan"), 1.5, r.gauss(0, 1), r.gauss(0, 1) * 10**9, -(10**300) * r.random()])) for k in ("a", None, "b") for _ in range(150)] + [("c", None), ("d", 2.0)] + [("e", 7.0)] * 60
+    ps = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = quantiles.exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"] if keyed else [], "v", ps, str(tmp_path), few)
+    want = {}
+    for key in {x[0] for x in rows} if keyed else {"all"}:
+        vs = [v for k, v in rows if v is not None and v == v and (not keyed or k == key)]
+        for p in ps if vs else []:
+            want[(key, p)] = (float(np.quantile(vs, p)), len(vs))
+    assert len(want) == got.count()
+    for x in got.collect():
+        q, n = want[(x["k"] if keyed else "all", x["probability"])]
+        assert x["n"] == n and x["quantile"] == pytest.approx(q, rel=1e-9, abs=1e-9)
+
+
+def test_rounding_is_pythons(spark):
+    from horizonspark.functions import round_exact
+
+    r = random.Random(3)
+    ties = [0.5 / 10**4 * k for k in range(1, 60, 2)] + [k + 0.00005 for k in range(40)] + [k / 2**5 for k in range(100)] + [2.675, 1.00015, 0.00025, -0.00005, -1.00005, 1e9 + 0.00005, 0.0]
+    values = ties + [r.uniform(0, 5000) for _ in range(2000)] + [round(r.uniform(0, 9), 4) + 0.00005 for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    for digits in (2, 4):
+        for x in df.select("x", round_exact(F.col("x"), digits).alias("y")).collect():
+            assert x["y"] == (None if x["x"] is None else round(x["x"], digits))
+
+
+def test_sql_functions_are_inlined(spark):
+    from horizonspark.functions.sql import FUNCTIONS, register
+
+    register(spark)
+    df = spark.createDataFrame([(4.0, 5.0), (0.0, 1.0), (None, 2.0), (-2.0, None)], "y double, p double")
+    out = spark.sql("SELECT ape(y, p) a, ape_guarded(y, p) g, ape_floor(y, p) f, clip(p, 0, 1.5) c, at_least(y, 1) l, share_of(p, y) s, total_variation(array(y, p), array(p, y)) t FROM {df}", df=df)
+    assert [tuple(r) for r in out.collect()] == [(0.25, 0.25, 0.25, 1.5, 4.0, 1.25, 1.0), (None, None, 1.0, 1.0, 1.0, None, 1.0), (None, None, None, 1.5, None, None, None), (None, None, None, None, 1.0, None, None)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and not any(f.split("(")[0] in plan for f in FUNCTIONS)
