@@ -70,13 +70,15 @@ def storm_days(spark: SparkSession) -> DataFrame:
 
 
 def weekdays_around(daily: DataFrame) -> DataFrame:
-    """The default calendar from a month before the first date of daily to two after the last."""
-    a, b = daily.agg(F.min("date"), F.max("date")).first()
-    a, b = (a, b) if a else (dt.date(2024, 1, 1),) * 2
-    return weekday_calendar(daily.sparkSession, str(a - dt.timedelta(days=31)), str(b + dt.timedelta(days=64)))
+    """The default calendar from a month before the first date of daily to two after the last; no days if daily has none."""
+    ends = daily.agg(F.date_sub(F.min("date"), 31).alias("a"), F.date_add(F.max("date"), 64).alias("b"))
+    return _weekdays(ends.select(F.explode(F.sequence("a", "b")).alias("date")))
+
+
+def _weekdays(days: DataFrame) -> DataFrame:
+    return days.select("date", (F.weekday("date") < 5).alias("is_workday"))
 
 
 def weekday_calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
     """The default workday calendar, Monday to Friday; a real one is an input table of the same shape."""
-    days = spark.sql(f"SELECT explode(sequence(date'{first}', date'{last}')) AS date")
-    return days.select("date", (F.weekday("date") < 5).alias("is_workday"))
+    return _weekdays(spark.sql(f"SELECT explode(sequence(date'{first}', date'{last}')) AS date"))

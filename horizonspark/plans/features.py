@@ -63,7 +63,7 @@ def train_split(spark, sf_dir):
 
     d = tables.daily_series(spark, sf_dir)
     m = hist.horizon_matrix(d)
-    return split(m, F.date_sub(F.lit(d.agg(F.max("date").alias("last")).first()["last"]).cast("date"), S.AHEAD)).groupBy("series_id", "horizon").agg(F.count("*").alias("n_rows"), F.min("target_date").alias("first_date"), F.max("target_date").alias("last_date"))
+    return split(m, F.date_sub(d.agg(F.max("date")).scalar(), S.AHEAD)).groupBy("series_id", "horizon").agg(F.count("*").alias("n_rows"), F.min("target_date").alias("first_date"), F.max("target_date").alias("last_date"))
 
 
 def horizon_matrix(spark, sf_dir):

@@ -21,7 +21,7 @@ CELL = ["series_id", "dow", "horizon"]
 
 def _with_last(rows: DataFrame, spark, sf_dir) -> DataFrame:
     """rows with each series' newest date."""
-    return rows.join(tables.daily_series(spark, sf_dir).groupBy("series_id").agg(F.max("date").alias("last")), "series_id")
+    return rows.join(tables.series_ends(spark, sf_dir), "series_id")
 
 
 def ahead(rows: DataFrame, spark, sf_dir, date: str = "target_date") -> DataFrame:

@@ -10,7 +10,7 @@ from horizonspark.operators import history as hist
 from horizonspark.operators.refresh import history_matrix, refresh_matrix
 from horizonspark.plans import features, operations
 from horizonspark.plans import sql as S
-from horizonspark.sources import tables
+from horizonspark.sources import signals, tables
 from horizonspark.sources.store import RunStore, fingerprint, work_folder
 
 #: The newest days that a refreshed matrix has not seen, the place from the end of the run that is written again, and its factor.
@@ -45,11 +45,20 @@ def matrix_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features._round(out.select(*hist.KEY, "y", *SHOWN), hist.KEY)
 
 
-QUERIES = {f.__name__: f for f in (run_store_latest, table_fingerprint, matrix_refresh)}
+def signal_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of interval_parse, written as text files and read again by the data source of signal records."""
+    path = work_folder(spark, "records")
+    operations.record_lines(spark, sf_dir).write.text(path)
+    signals.register(spark)
+    return spark.read.format("signal_records").load(path).where("corrupt is null").select("start", "end", "signal", "name")
+
+
+QUERIES = {f.__name__: f for f in (run_store_latest, table_fingerprint, matrix_refresh, signal_records)}
 
 _PAST = {"lag_7": 7, "lag_28": 28, "lag_365": 365, "lag_728": 728}
 _WINDOWS = {"rolling_mean_28": S.window("avg(demand)", 28), "rolling_std_7": S.window("CASE WHEN count(demand) > 1 THEN stddev_pop(demand) END", 7), "ewma_28": features._ewma(28)}
 SQL = {
+    "signal_records": operations.SQL["interval_parse"],
     "run_store_latest": S.with_(S.DAILY, operations.RUNS_SQL).rstrip() + f""", n AS (SELECT *, dense_rank() OVER (ORDER BY run_date DESC) AS r FROM runs)
         SELECT run_date, date, round(p50 * 0.9 * f, 6) AS p10, round(p50 * f, 6) AS p50, round(p50 * 1.1 * f, 6) AS p90 FROM (SELECT *, CASE WHEN r = {REWRITTEN} THEN {FACTOR} ELSE 1 END::DOUBLE AS f FROM n WHERE r <= 6)""",
     "table_fingerprint": S.with_(S.DAILY) + """, r AS (SELECT series_id, md5(strlen(date::VARCHAR) || ':' || date || coalesce(strlen(demand::BIGINT::VARCHAR) || ':' || demand::BIGINT, '-') || coalesce(strlen(floortables::BIGINT::VARCHAR) || ':' || floortables::BIGINT, '-')) AS h FROM daily)

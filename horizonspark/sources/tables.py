@@ -42,6 +42,11 @@ def daily_series(spark: SparkSession, sf_dir: str, first: str | None = None, las
     return orders.groupBy("series_id", "date").agg(F.count("*").cast("double").alias("demand"), F.countDistinct("o_custkey").cast("double").alias("floortables"))
 
 
+def series_ends(spark: SparkSession, sf_dir: str, by: str = "o_orderpriority") -> DataFrame:
+    """series_id, last: each daily series' newest date, from the orders themselves, so that no series is built for it."""
+    return read(spark, sf_dir, "orders").groupBy(F.col(by).alias("series_id")).agg(F.max(moved("o_orderdate")).alias("last"))
+
+
 def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patron-level reservations: update_date, inhouse_date, patron_id, seq (input order)."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
