@@ -143,3 +143,10 @@ def leaderboard(metrics: DataFrame) -> DataFrame:
     """Metrics of strategies with a grade: mape under 2 %, under 3 %, or other."""
     grade = F.when(F.col("mape") < 0.02, "A").when(F.col("mape") < 0.03, "B").otherwise("C")
     return metrics.withColumn("grade", grade)
+
+
+def marked_best(board: DataFrame) -> DataFrame:
+    """The board with is_best: the least mape (ties by name) of the strategies that do not look at the target. A board has a row for each strategy, a dozen or two."""
+    able = F.when(~F.contains("strategy", F.lit("oracle")) & F.col("mape").isNotNull(), F.struct("mape", "strategy"))
+    held = board.agg(F.collect_list(F.struct(*board.columns)).alias("rows"), F.min(able).alias("best"))
+    return held.select(F.explode("rows").alias("row"), "best").select("row.*", F.coalesce(F.col("row.strategy") == F.col("best.strategy"), F.lit(False)).alias("is_best"))

@@ -202,6 +202,41 @@ def strategy_leaderboard(spark, sf_dir):
     return _metrics(B.leaderboard(M.error_metrics(one.unionByName(equal).unionByName(median), ["strategy"])))
 
 
+def final_scale(spark, sf_dir):
+    """One factor for each series that makes the equal blend's mape least."""
+    return B.dow_scale_median(_equal(spark, sf_dir), ["series_id"]).select("series_id", rounded(F.col("scale")).alias("scale"))
+
+
+def strategy_comparison(spark, sf_dir):
+    """All ways to blend, over the days before the schedule: models, means, weights, selections, scales, and the best three in hindsight (an upper bound that cannot win)."""
+    rows = validation(spark, sf_dir)
+    keys = [*KEY, "dow", "y"]
+    scores = B.model_scores(rows, CELL)
+    equal = B.equal_blend(rows, keys).withColumn("blend", rounded(F.col("blend")))
+
+    def scaled(scales, on):
+        return equal.join(scales, on).withColumn("blend", F.col("blend") * F.col("scale"))
+
+    best = B.best_by(B.model_scores(rows, ["series_id", "dow"]), ["series_id", "dow"]).select("series_id", "dow", "model")
+    errors = B.oracle_topk(rows, 3, keys).select(*KEY, "model").join(rows, [*KEY, "model"])
+    ways = {
+        "equal": equal,
+        "median": B.median_blend(rows, keys),
+        "inverse_mape": B.inverse_mape_blend(rows, B.model_scores(rows, ["series_id"]), keys=keys),
+        "selection_top1": B.selection_blend(rows, B.selection_table(scores, CELL, top=1), CELL, keys),
+        "selection_top2": B.selection_blend(rows, B.selection_table(scores, CELL), CELL, keys),
+        "dow_best": rows.join(best, ["series_id", "dow", "model"]).withColumn("blend", F.col("pred")),
+        "dow_scaled": scaled(B.dow_scale(equal, ["series_id", "dow"]), ["series_id", "dow"]),
+        "dow_scaled_median": scaled(B.dow_scale_median(equal, ["series_id", "dow"]), ["series_id", "dow"]),
+        "final_scaled": scaled(B.dow_scale_median(equal, ["series_id"]), ["series_id"]),
+        "oracle_top3": B.equal_blend(errors, keys),
+    }
+    out = rows.select("y", "pred", F.col("model").alias("strategy"))
+    for name, df in ways.items():
+        out = out.unionByName(df.select("y", F.col("blend").alias("pred"), F.lit(name).alias("strategy")))
+    return B.marked_best(_metrics(B.leaderboard(M.error_metrics(out, ["strategy"]))))
+
+
 def _model(spark, sf_dir):
     """The flagship's one model: same-weekday mean, else the mean of 28 or 7 days."""
     w = wide(spark, sf_dir)
@@ -236,7 +271,7 @@ QUERIES = {
     for f in (
         wide_predictions, natural_schedule, predict_targets, impute_mean, equal_blend, median_blend, inv_mape_blend, selection_scores, selection_scores_floor, selection_table, selection_blend,
         winner_frequency, yoy_growth, influence_mask, anchor_calibration, anchor_apply, anchor_apply_hol, dow_scale, dow_scale_median, dow_best, oracle_topk, forecast_metrics, backtest_metrics,
-        strategy_leaderboard, residual_quantiles, forecast_intervals, interval_variants, interval_coverage,
+        strategy_leaderboard, final_scale, strategy_comparison, residual_quantiles, forecast_intervals, interval_variants, interval_coverage,
     )
 }
 
@@ -314,6 +349,33 @@ SQL = {
     "backtest_metrics": _W + f"SELECT model, {_ERR} FROM long l JOIN sched s ON s.series_id = l.series_id AND s.target_date = l.target_date AND s.horizon = l.horizon WHERE {_OK} GROUP BY ALL",
     "strategy_leaderboard": _W + f""", a AS (SELECT model AS strategy, y, pred FROM long UNION ALL SELECT 'equal', y, blend FROM equal UNION ALL SELECT 'median', y, median(pred) FROM long GROUP BY series_id, target_date, horizon, y),
         m AS (SELECT strategy, {_ERR} FROM a WHERE {_OK} GROUP BY ALL) SELECT *, CASE WHEN mape < 0.02 THEN 'A' WHEN mape < 0.03 THEN 'B' ELSE 'C' END AS grade FROM m""",
+    "final_scale": _W + """, r AS (SELECT series_id, round(y / b, 9) AS k, sum(b / y) AS w FROM (SELECT *, round(blend, 6) AS b FROM equal) WHERE y > 0 AND b > 0 GROUP BY ALL),
+        c AS (SELECT *, sum(w) OVER (PARTITION BY series_id ORDER BY k) AS cum, sum(w) OVER (PARTITION BY series_id) AS total FROM r)
+        SELECT series_id, round(min(k), 6) AS scale FROM c WHERE cum >= total * (0.5 - 1e-12) GROUP BY ALL""",
+    "strategy_comparison": _W.replace("val AS (", "val AS MATERIALIZED (") + f""", {_SCORES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY series_id, dow, horizon ORDER BY mape ASC NULLS LAST, pool_ord) AS rk FROM scores WHERE n >= 3),
+        cells AS (SELECT DISTINCT series_id, dow, horizon FROM ranked),
+        eq AS (SELECT series_id, target_date, horizon, dow, y, round(avg(pred), 6) AS blend FROM val GROUP BY ALL),
+        iw AS (SELECT series_id, model, pow(1 / nullif(round({_MAPE}, 9), 0), 4) AS w FROM val GROUP BY ALL),
+        db AS (SELECT series_id, dow, model FROM (SELECT series_id, dow, model, pool_ord, round({_MAPE}, 9) AS mape FROM val GROUP BY ALL) WHERE mape IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id, dow ORDER BY mape, pool_ord) = 1),
+        sc AS (SELECT series_id, dow, coalesce(least(greatest(sum(CASE WHEN blend IS NOT NULL THEN y END) / nullif(sum(CASE WHEN y IS NOT NULL THEN blend END), 0), 0.9), 1.1), 1.0) AS scale FROM eq GROUP BY ALL),
+        r AS (SELECT series_id, dow, round(y / blend, 9) AS k, sum(blend / y) AS w FROM eq WHERE y > 0 AND blend > 0 GROUP BY ALL),
+        md AS (SELECT series_id, dow, min(k) AS scale FROM (SELECT *, sum(w) OVER (PARTITION BY series_id, dow ORDER BY k) AS cum, sum(w) OVER (PARTITION BY series_id, dow) AS total FROM r) WHERE cum >= total * (0.5 - 1e-12) GROUP BY ALL),
+        rs AS (SELECT series_id, k, sum(w) AS w FROM r GROUP BY ALL),
+        fs AS (SELECT series_id, min(k) AS scale FROM (SELECT *, sum(w) OVER (PARTITION BY series_id ORDER BY k) AS cum, sum(w) OVER (PARTITION BY series_id) AS total FROM rs) WHERE cum >= total * (0.5 - 1e-12) GROUP BY ALL),
+        top AS (SELECT series_id, target_date, horizon, y, pred FROM val WHERE {_OK} QUALIFY row_number() OVER (PARTITION BY series_id, target_date, horizon ORDER BY round(abs(pred - y), 9), pool_ord) <= 3),
+        chosen AS (SELECT v.*, c.dow IS NULL AS free, t.rk FROM val v LEFT JOIN cells c ON c.series_id = v.series_id AND c.dow = v.dow AND c.horizon = v.horizon LEFT JOIN ranked t ON t.series_id = v.series_id AND t.dow = v.dow AND t.horizon = v.horizon AND t.model = v.model),
+        a AS (SELECT model AS strategy, y, pred FROM val UNION ALL SELECT 'equal', y, blend FROM eq
+          UNION ALL SELECT 'median', y, median(pred) FROM val GROUP BY series_id, target_date, horizon, y
+          UNION ALL SELECT 'inverse_mape', y, sum(pred * w) / sum(w) FROM val JOIN iw USING (series_id, model) WHERE pred IS NOT NULL AND w IS NOT NULL GROUP BY series_id, target_date, horizon, y
+          UNION ALL SELECT 'selection_top1', y, CASE WHEN count(pred) = count(*) THEN avg(pred) END FROM chosen WHERE free OR rk <= 1 GROUP BY series_id, target_date, horizon, y
+          UNION ALL SELECT 'selection_top2', y, CASE WHEN count(pred) = count(*) THEN avg(pred) END FROM chosen WHERE free OR rk <= 2 GROUP BY series_id, target_date, horizon, y
+          UNION ALL SELECT 'dow_best', y, pred FROM val JOIN db USING (series_id, dow, model)
+          UNION ALL SELECT 'dow_scaled', y, blend * scale FROM eq JOIN sc USING (series_id, dow)
+          UNION ALL SELECT 'dow_scaled_median', y, blend * scale FROM eq JOIN md USING (series_id, dow)
+          UNION ALL SELECT 'final_scaled', y, blend * scale FROM eq JOIN fs USING (series_id)
+          UNION ALL SELECT 'oracle_top3', y, avg(pred) FROM top GROUP BY series_id, target_date, horizon, y),
+        m AS (SELECT strategy, {_ERR} FROM a WHERE {_OK} GROUP BY ALL)
+        SELECT *, CASE WHEN mape < 0.02 THEN 'A' WHEN mape < 0.03 THEN 'B' ELSE 'C' END AS grade, strategy = (SELECT strategy FROM m WHERE NOT contains(strategy, 'oracle') AND mape IS NOT NULL ORDER BY mape, strategy LIMIT 1) AS is_best FROM m""",
     "residual_quantiles": _W + f", {_MODEL} SELECT series_id, horizon, round(ql, 6) AS q_low, round(qh, 6) AS q_high FROM q",
     "forecast_intervals": _W + f", {_MODEL}, {_BANDS} SELECT series_id, target_date, horizon, round(CASE WHEN ok THEN least(lo, p50) END, 6) AS p10, round(p50, 6) AS p50, round(CASE WHEN ok THEN greatest(hi, p50) END, 6) AS p90 FROM iv",
     "interval_variants": _W + f", {_MODEL}, {_BANDS} SELECT series_id, target_date, horizon, round(CASE WHEN ok THEN lo END, 6) AS p10, round(p50, 6) AS p50, round(CASE WHEN ok THEN greatest(hi, p50) END, 6) AS p90 FROM iv",

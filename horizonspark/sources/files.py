@@ -69,6 +69,24 @@ def read_reservations(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("update_date", "inhouse_date").agg(F.max_by("rooms_otb", "seq").alias("rooms_otb"))
 
 
+def read_reservations_strict(spark: SparkSession, path: str) -> DataFrame:
+    """The same without repairs: a missing file means no rows, but a missing column or a value that is no date or number is an error, and repeated pairs all stay.
+
+    With patron_id the rows of a pair are counted, whatever else the file has.
+    """
+    try:
+        raw = spark.read.option("header", True).csv(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "update_date date, inhouse_date date, rooms_otb double")
+    to = lambda c, kind: F.when(F.col(c).isNotNull(), F.coalesce(F.expr(f"try_cast(trim({c}) AS {kind})"), F.raise_error(F.concat(F.lit(f"{c} is no {kind}: "), c)))).alias(c)
+    pair = [to("update_date", "date"), to("inhouse_date", "date")]
+    if "patron_id" in raw.columns:
+        return raw.select(*pair).groupBy("update_date", "inhouse_date").agg(F.count("*").cast("double").alias("rooms_otb"))
+    return raw.select(*pair, to("rooms_otb", "double"))
+
+
 def parse_signals(lines: DataFrame, value: str = "value") -> DataFrame:
     """Signal records of tab-separated lines: start, end, signal, name.
 

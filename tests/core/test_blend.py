@@ -106,3 +106,9 @@ def test_learners():
     b = a @ np.array([0.7, 0.0, 0.3, 0.0])
     assert L.simplex_weights(a, b) == pytest.approx([0.7, 0, 0.3, 0], abs=0.01)
     assert L.nonnegative_least_squares(a, b) == pytest.approx([0.7, 0, 0.3, 0], abs=1e-6)
+
+
+def test_the_best_strategy_does_not_look_at_the_target(spark):
+    board = spark.createDataFrame([("oracle_top3", 0.01), ("b", 0.02), ("a", 0.02), ("c", None)], "strategy string, mape double")
+    assert {r["strategy"]: r["is_best"] for r in B.marked_best(board).collect()} == {"oracle_top3": False, "a": True, "b": False, "c": False}
+    assert B.marked_best(board.limit(0)).count() == 0

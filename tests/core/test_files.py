@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from horizonspark.operators import runs
@@ -37,6 +38,17 @@ def test_reservations_of_both_formats(spark, tmp_path):
     assert files.read_reservations(spark, c).count() == 0 and files.read_reservations(spark, str(tmp_path / "no.csv")).count() == 0
 
 
+def test_strict_reservations(spark, tmp_path):
+    a = write(tmp_path / "a.csv", "update_date,inhouse_date,rooms_otb\n2024-01-01,2024-01-05,3\n2024-01-01,2024-01-05,4\n2024-01-01,2024-01-06,\n")
+    assert sorted((str(r[1]), r[2] or 0) for r in files.read_reservations_strict(spark, a).collect()) == [("2024-01-05", 3.0), ("2024-01-05", 4.0), ("2024-01-06", 0)]
+    b = write(tmp_path / "b.csv", "update_date,inhouse_date,patron_id,rooms_otb\n2024-01-01,2024-01-05,p,9\n2024-01-01,2024-01-05,q,9\n")
+    assert [r[2] for r in files.read_reservations_strict(spark, b).collect()] == [2.0]
+    for text in ("update_date,inhouse_date,rooms_otb\n2024-01-01,2024-01-05,x\n", "update_date,inhouse_date,rooms_otb\nbad,2024-01-05,1\n", "update_date,rooms_otb\n2024-01-01,1\n"):
+        with pytest.raises(Exception, match="is no|inhouse_date"):
+            files.read_reservations_strict(spark, write(tmp_path / "c.csv", text)).collect()
+    assert files.read_reservations_strict(spark, str(tmp_path / "no.csv")).count() == 0
+
+
 def test_signal_records(spark):
     ok = "﻿1\tT\tYagi\t8\tN\t0000\t5\t9\t2024\t+\t0100\t6\t9\t2024\t+\t1200"
     bad = [ok.replace("\t8\t", "\tx\t"), "\t".join(ok.split("\t")[:15]), ok[:-4], "", ok.replace("\t5\t9\t", "\t31\t2\t")]
