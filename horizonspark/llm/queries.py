@@ -121,6 +121,15 @@ def oracle_sql() -> dict[str, str]:
                               ELSE (SELECT count(*) FROM c WHERE c.source = d.source AND c.cdf < d.u) END AS n_copies FROM d),
                  e AS (SELECT doc_id, source, n_copies, unnest(range(1, n_copies + 1)) AS copy FROM m)
             SELECT doc_id, source, copy, n_copies, substr(md5(concat_ws(':', 'mix', doc_id::VARCHAR, copy::VARCHAR)), 1, 16) AS shuffle_key FROM e""",
+        "op10_minhash_bayes": r"""
+            WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+            s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+            n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+            l AS MATERIALIZED (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+            e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+            r(doc_id, low) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.low FROM r JOIN e ON e.x = r.doc_id AND r.low < e.y)
+            SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.low) AS component_id, d.doc_id = min(r.low) AS kept FROM d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n""",
         "op12_merkle_manifest": merkle.SQL,
         "op13_filter_audit": filter_audit.SQL,
     }
