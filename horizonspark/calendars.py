@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +51,15 @@ STORMS = [
 NO_ANCHOR = 366
 
 
+def _literal(spark: SparkSession, rows: list[str], names: str) -> DataFrame:
+    """A small table as a literal of the plan, for which no Python worker starts."""
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({names})")
+
+
 def holiday_anchors(spark: SparkSession, anchors: dict[str, list[str]] = ANCHORS, windows: dict[str, tuple[int, int]] = WINDOWS) -> DataFrame:
     """holiday, ord, anchor, anchor_ord, ws, we: a few rows a holiday and year."""
-    rows = [(h, i, dt.date.fromisoformat(a), j, *windows[h]) for i, (h, days) in enumerate(anchors.items()) for j, a in enumerate(days)]
-    return spark.createDataFrame(rows, "holiday string, ord int, anchor date, anchor_ord int, ws int, we int")
+    rows = [f"('{h}', {i}, DATE'{a}', {j}, {windows[h][0]}, {windows[h][1]})" for i, (h, days) in enumerate(anchors.items()) for j, a in enumerate(days)]
+    return _literal(spark, rows, "holiday, ord, anchor, anchor_ord, ws, we")
 
 
 def holiday_days(anchors: DataFrame) -> DataFrame:
@@ -66,7 +69,7 @@ def holiday_days(anchors: DataFrame) -> DataFrame:
 
 
 def storm_days(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(dt.date.fromisoformat(d), n, s) for d, n, s in STORMS], "date date, typhoon_name string, highest_signal int")
+    return _literal(spark, [f"(DATE'{d}', '{n}', {s})" for d, n, s in STORMS], "date, typhoon_name, highest_signal")
 
 
 def weekdays_around(daily: DataFrame) -> DataFrame:
