@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from horizonspark.llm.common import Scratch, join_hot, text_bytes
 from horizonspark.llm.shingles import _ODD, mix, shingle_sets
 
+#: Up to so many edges are united in one task (about 200 bytes of memory each).
+FEW_EDGES = 500_000
 #: Up to so many ids are broadcast to pick rows by id (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Buckets of up to so many members are compared as rows, larger ones in blocks.
@@ -92,6 +94,16 @@ def _features(k: int, bands: int, rows: int):
     return run
 
 
+def _frugal(run):
+    """run, after which what Arrow's pool holds unused is given back: workers stay, and an executor's memory has to do for all of them."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return held
+
+
 def _bayes(positions: int, batch: int, threshold: float, miss: float):
     steps = [(lo, min(positions, lo + batch), least_matches(min(positions, lo + batch), threshold, miss)) for lo in range(0, positions, batch)]
 
@@ -212,23 +224,24 @@ def _prefixes(counts, num: int, den: int):
 
     Keys are of a shingle and a class of sizes, each as wide as the sizes of a pair may differ; a set meets the smaller ones in its own class and the one below.
     """
-    wide = math.log(den / num)
+    wide = max(1e-9, math.log(den / num))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counts.value
         for batch in batches:
-            keys, nodes, sizes, homes = [], [], [], []
-            for node, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = np.frombuffer(x.as_buffer(), np.uint64)
-                small, large = prefix_lengths(len(h), num, den)
-                first = h[np.lexsort((h, of[_counter(h)]))[:large]]
-                own = int(math.log(len(h)) / wide)
-                for kind in (own, own - 1):
-                    keys.append(mix(first + np.uint64((kind + 2) * int(_ODD) % (1 << 64))).view(np.int64))
-                    nodes.append(np.full(len(first), node, np.int64))
-                    sizes.append(np.full(len(first), len(h), np.int64))
-                    homes.append((np.arange(len(first)) < small) & (kind == own))
-            if keys:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys, nodes, sizes, homes = [], [], [], []
+                for node, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    h = np.frombuffer(x.as_buffer(), np.uint64)
+                    small, large = prefix_lengths(len(h), num, den)
+                    first = h[np.lexsort((h, of[_counter(h)]))[:large]]
+                    own = int(math.log(len(h)) / wide)
+                    for kind in (own, own - 1):
+                        keys.append(mix(first + np.uint64((kind + 2) * int(_ODD) % (1 << 64))).view(np.int64))
+                        nodes.append(np.full(len(first), node, np.int64))
+                        sizes.append(np.full(len(first), len(h), np.int64))
+                        homes.append((np.arange(len(first)) < small) & (kind == own))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, homes)], names=["key", "node", "size", "home"])
 
     return run
@@ -247,17 +260,41 @@ def _confirm(num: int, den: int):
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
+def few_broadcast(df: DataFrame) -> DataFrame:
     """A saved table, to be broadcast if it has few rows; else Spark joins it as it sees fit."""
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, comp) of all edges that one task reads."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+            root[max(x, y)] = min(x, y)
+    nodes = sorted(root)
+    for at in range(0, len(nodes), 1 << 16):
+        part = nodes[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["node", "comp"])
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) for every node of the edges (a, b): comp is the smallest node reachable.
 
-    Minimum over neighbours, then a pointer jump, until nothing changes.
+    Up to FEW_EDGES edges are united by one task, whose memory that number bounds. More take rounds of
+    minimum over neighbours, then a pointer jump, until nothing changes; the result is the same.
     """
-    both = scratch.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = scratch.save(edges.select("a", "b").distinct())
+    if edges.count() <= FEW_EDGES:
+        return scratch.save(edges.coalesce(1).mapInArrow(_united, "node bigint, comp bigint"))
+    both = scratch.save(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp"), F.count("*").alias("degree")))
     few = labels.count() <= BROADCAST_IDS
     while True:
@@ -299,7 +336,7 @@ def near_duplicates(
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text"))
-    feats = scratch.save(src.mapInArrow(_features(shingle_words, bands, rows), "doc_id bigint, n_shingles bigint, set_key binary, sig binary, bands array<bigint>"))
+    feats = scratch.save(src.mapInArrow(_frugal(_features(shingle_words, bands, rows)), "doc_id bigint, n_shingles bigint, set_key binary, sig binary, bands array<bigint>"))
     real = feats.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.save(real.groupBy("set_key").agg(F.min("doc_id").alias("node")))
     reps = real.join(classes, (real.doc_id == classes.node) & (real.set_key == classes.set_key), "left_semi").withColumnRenamed("doc_id", "node")
@@ -307,7 +344,7 @@ def near_duplicates(
     shared = scratch.save(dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
     members = scratch.save(join_hot(dealt, shared, ["band"], "n").select("band", "node", "hub"))
     nodes = scratch.save(members.select("node").distinct())
-    known = scratch.save(reps.join(_small(nodes), "node", "left_semi").dropDuplicates(["node", "set_key"]).select("node", "n_shingles", "sig", "bands"))
+    known = scratch.save(reps.join(few_broadcast(nodes), "node", "left_semi").dropDuplicates(["node", "set_key"]).select("node", "n_shingles", "sig", "bands"))
     texts = src.withColumnRenamed("doc_id", "node").where(F.col("node").isNotNull())
     check = (known, texts, scratch, shingle_words, percent, bands * rows, batch, miss)
 
@@ -316,7 +353,7 @@ def near_duplicates(
     comp = components(links, scratch)
 
     # what the stars have not united: buckets whose other members are in several components
-    held = members.where("node <> hub").select("band", "node").join(_small(comp), "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
+    held = members.where("node <> hub").select("band", "node").join(few_broadcast(comp), "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
     held = scratch.save(held)
     state = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
     held = scratch.save(join_hot(held, scratch.save(state), ["band"], "n"))
@@ -336,19 +373,19 @@ def near_duplicates(
 
 def _full_sets(ids: DataFrame, texts: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     """(node, shingles) of the nodes in ids, read again from the texts."""
-    picked = texts.join(_small(scratch.save(ids)), "node", "left_semi")
-    return scratch.save(picked.mapInArrow(_sets(k), "node bigint, shingles binary").distinct())
+    picked = texts.join(few_broadcast(scratch.save(ids)), "node", "left_semi")
+    return scratch.save(picked.mapInArrow(_frugal(_sets(k)), "node bigint, shingles binary").distinct())
 
 
 def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int, positions: int, batch: int, miss: float) -> DataFrame:
     """Those of the distinct pairs (a, b) that link."""
     both = pairs.join(known.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
-    likely = scratch.save(both.mapInArrow(_bayes(positions, batch, percent / 100, miss), "a bigint, b bigint").distinct())
+    likely = scratch.save(both.mapInArrow(_frugal(_bayes(positions, batch, percent / 100, miss)), "a bigint, b bigint").distinct())
     if likely.isEmpty():
         return likely
     sets = _full_sets(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), texts, scratch, k)
     full = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b").select("a", "b", "xa", "xb")
-    return scratch.save(full.mapInArrow(_confirm(percent, 100), "a bigint, b bigint").distinct())
+    return scratch.save(full.mapInArrow(_frugal(_confirm(percent, 100)), "a bigint, b bigint").distinct())
 
 
 def _by_rare_shingles(members: DataFrame, check: tuple) -> DataFrame:
@@ -356,10 +393,10 @@ def _by_rare_shingles(members: DataFrame, check: tuple) -> DataFrame:
     known, texts, scratch, k, percent, positions, batch, miss = check
     spark = members.sparkSession
     sets = _full_sets(members.select("node"), texts, scratch, k)
-    counted = sets.select("shingles").mapInArrow(_sketch, "counter bigint, c bigint").groupBy("counter").agg(F.sum("c").alias("c")).toArrow()
+    counted = sets.select("shingles").mapInArrow(_frugal(_sketch), "counter bigint, c bigint").groupBy("counter").agg(F.sum("c").alias("c")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     counts[counted.column("counter").to_numpy()] = counted.column("c").to_numpy()
-    keys = sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), percent, 100), "key bigint, node bigint, size bigint, home boolean").join(_small(members), "node")
+    keys = sets.mapInArrow(_frugal(_prefixes(spark.sparkContext.broadcast(counts), percent, 100)), "key bigint, node bigint, size bigint, home boolean").join(few_broadcast(members), "node")
     keys = scratch.save(keys.distinct())
     open_ = F.max("comp") > F.min("comp")
     groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("home"), F.struct("node", "comp"))).alias("hub"), open_.alias("open")).where("open and hub is not null").drop("open")
@@ -374,7 +411,7 @@ def _by_rare_shingles(members: DataFrame, check: tuple) -> DataFrame:
     if many.isEmpty():
         return links
     whole = components(links.union(members.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))), scratch)
-    held = many.drop("comp", "hub", "n", "size").join(_small(whole), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    held = many.drop("comp", "hub", "n", "size").join(few_broadcast(whole), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     held = scratch.save(held)
     state = scratch.save(held.groupBy("key").agg(F.count("*").alias("n"), open_.alias("open")).where("open").drop("open"))
     held = scratch.save(join_hot(held, state, ["key"], "n"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from horizonspark.llm import minhash
+from horizonspark.llm.common import Scratch
 from horizonspark.llm.minhash import least_matches, near_duplicates, prefix_lengths
 from horizonspark.llm.shingles import shingle_sets
 
@@ -104,3 +105,24 @@ def test_a_shared_template_is_not_compared(spark, monkeypatch):
     got = {d["doc_id"]: d["component_id"] for d in near_duplicates(docs, shingle_words=2).collect()}
     assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
     assert len(compared) == 3 and compared[-1] < 1000
+
+
+@pytest.mark.parametrize("few,ids", [(10**6, 10**6), (0, 10**6), (0, 0)])
+def test_components(spark, monkeypatch, few, ids):
+    monkeypatch.setattr(minhash, "FEW_EDGES", few)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", ids)
+    r = random.Random(9)
+    edges = [(i, i + 1) for i in range(-20, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(400, 400)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = minhash.components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "t")).collect()
+    assert {x["node"]: x["comp"] for x in got} == {x: find(x) for x in root} and len(got) == len(root)
+    assert minhash.components(spark.createDataFrame([], "a bigint, b bigint"), Scratch(spark, "t")).count() == 0
