@@ -28,9 +28,9 @@ def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", "day", *named)
 
 
-def _open_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as spans of time in the years of the events: from order to shipping (or the other way round), with hours of their own."""
-    o = tables.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+def _open_lines(spark: SparkSession, sf_dir: str, customers: DataFrame) -> DataFrame:
+    """Lines of some customers (o_custkey) as spans of time in the years of the events: from order to shipping (or the other way round), with hours of their own."""
+    o = tables.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").join(customers, "o_custkey", "left_semi")
     i = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     at = lambda c: micros(F.col(c)) + F.lit(tables.SHIFT * 24 * HOUR)
     later: Column = F.col("l_linenumber") * F.lit(HOUR)
@@ -40,7 +40,8 @@ def _open_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each event, how many lines of the customer of its user's number are open then, and the first of them by line number and order."""
     events = tables.read(spark, sf_dir, "events").select("event_id", "user_id", micros(F.col("ts")).alias("at"))
-    pairs = interval_join(events, _open_lines(spark, sf_dir), {"user_id": "o_custkey"}, ("at", "at"), ("opened", "closed"))
+    users = events.select(F.col("user_id").alias("o_custkey")).distinct()
+    pairs = interval_join(events, _open_lines(spark, sf_dir, users), {"user_id": "o_custkey"}, ("at", "at"), ("opened", "closed"))
     found = first_match(pairs, ["event_id"], ["l_linenumber", "l_orderkey", "l_returnflag"], {"l_orderkey": "first_order", "l_linenumber": "first_line", "l_returnflag": "first_flag"})
     return events.select("event_id", "user_id").join(found, "event_id", "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
 

@@ -1,6 +1,7 @@
 """As-of joins, overlaps and islands against plain loops."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,25 @@ def test_no_spans(spark):
     assert interval_join(a, b, {}, ("a", "b"), ("a", "b")).count() == 0 and interval_join(b, a, {}, ("a", "b"), ("a", "b")).count() == 0
 
 
+def test_interval_join_looks_where_the_other_side_is(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        made.add(1)
+        return x
+
+    points = spark.range(1000, 1100).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    rows = [(1050 - 2**k, 1050 + 2**k) for k in range(60)] + [(-(2**k), 999) for k in range(60)]
+    wide = spark.createDataFrame(rows, "a bigint, b bigint").withColumn("b", F.udf(count, "bigint").asNondeterministic()("b"))
+    want = sum(a <= t <= b for a, b in rows for t in range(1000, 1100))
+    got = interval_join(points, wide, {}, ("a", "b"), ("a", "b"))
+    assert got.count() == want
+    assert made.value == len(rows), "the right side is made once"
+    levels = re.search(r"filter\(\[([\d,]+)\]", got._jdf.queryExecution().executedPlan().toString())[1].split(",")
+    assert len(levels) <= 2, "a point looks at levels of the lengths that lie among the points"
+    assert interval_join(wide, points, {}, ("a", "b"), ("a", "b")).count() == want
+
+
 @pytest.mark.parametrize("limit", [10**6, 30, 0])
 @pytest.mark.parametrize("keyed", [True, False])
 def test_islands(spark, limit, keyed):
