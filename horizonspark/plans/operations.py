@@ -95,9 +95,9 @@ def strategy_counts(spark, sf_dir):
 def record_lines(spark, sf_dir) -> DataFrame:
     """Tab-separated records made of the lines' columns, some of them broken."""
     i = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.to_date("l_shipdate").alias("d"))
-    e = F.date_add("d", F.col("l_linenumber"))
+    day = lambda d: [part(d).cast("string") for part in (F.dayofmonth, F.month, F.year)]
     f = [F.col("l_orderkey").cast("string"), F.lit("T"), F.col("l_returnflag"), F.when(F.col("l_linenumber") == 5, "x").otherwise(F.col("l_linenumber").cast("string")), F.lit("N"), F.lit("0000")]
-    f += [F.date_format("d", "d"), F.date_format("d", "M"), F.date_format("d", "y"), F.lit("+"), F.lit("0100"), F.date_format(e, "d"), F.date_format(e, "M"), F.date_format(e, "y"), F.lit("+")]
+    f += [*day("d"), F.lit("+"), F.lit("0100"), *day(F.date_add("d", F.col("l_linenumber"))), F.lit("+")]
     last = F.when(F.col("l_linenumber") == 6, "").otherwise("1200")
     return i.select(F.concat_ws("\t", *f, last).alias("value"))
 

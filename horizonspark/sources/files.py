@@ -94,13 +94,14 @@ def parse_signals(lines: DataFrame, value: str = "value") -> DataFrame:
     blank lines, records of fewer than 16 fields and signals that aren't whole numbers or days that don't exist.
     """
     f = F.split(F.trim(F.regexp_replace(F.col(value), "^﻿|\\s+$", "")), "\t")
-    rows = lines.select(f.alias("f")).where(F.size("f") >= 16)
+    # generators of one row each: a filter is not pushed below them, where it would split the line again for every use of a field
+    rows = lines.select(F.explode(F.array(f)).alias("f")).where(F.size("f") >= 16)
 
     def day(at: int) -> Column:
         return F.expr(f"try_to_date(concat_ws('-', trim(f[{at + 2}]), trim(f[{at + 1}]), trim(f[{at}])), 'y-M-d')")
 
     signal = F.expr("CASE WHEN trim(f[3]) RLIKE '^[+-]?[0-9]+$' THEN try_cast(trim(f[3]) AS int) END")
-    out = rows.select(day(6).alias("start"), day(11).alias("end"), signal.alias("signal"), F.element_at("f", 3).alias("name"))
+    out = rows.select(F.inline(F.array(F.struct(day(6).alias("start"), day(11).alias("end"), signal.alias("signal"), F.element_at("f", 3).alias("name")))))
     return out.where("signal is not null and start is not null and end is not null")
 
 

@@ -56,6 +56,12 @@ def test_signal_records(spark):
     assert [tuple(r) for r in rows] == [(dt.date(2024, 9, 5), dt.date(2024, 9, 6), 8, "Yagi")]
 
 
+def test_a_line_of_signals_is_split_once(spark):
+    lines = spark.range(3).select(F.concat_ws("\t", *[F.col("id").cast("string")] * 16).alias("value"))
+    plan = files.parse_signals(lines)._jdf.queryExecution().executedPlan().toString()
+    assert [plan.count(f) for f in ("concat_ws(\t", "regexp_replace(", "split(", "RLIKE", "gettimestamp(")] == [1, 1, 1, 1, 2]
+
+
 def test_runs_are_replaced_one_by_one(spark, tmp_path):
     root = str(tmp_path / "runs")
     rows = lambda run, v: spark.createDataFrame([(dt.date.fromisoformat(run), dt.date(2026, 6, 1), v)], "run_date date, date date, p50 double")
